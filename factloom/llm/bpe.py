@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.spans import SpanHasher
+
 ENDLESS = np.int64(1) << 40
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
@@ -276,7 +278,7 @@ class Encoder:
         specials = self.vocabulary.specials
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.kind = _kinds()
-        self.power = np.ones(1, np.uint64)
+        self.hashed = SpanHasher()
         self.failed = 0
         self._forget()
 
@@ -357,19 +359,6 @@ class Encoder:
         per_text = np.concatenate([[0], stops])[np.searchsorted(cut, ends)]
         return np.split(ids, per_text[:-1])
 
-    def _keys(self, raw: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
-        """64-bit hashes of words that lie in ``raw``, equal for equal words."""
-        if len(self.power) <= len(raw):
-            base = np.full(len(raw) + 1, 0x9E3779B97F4A7C15 | 5, np.uint64)
-            base[0] = 1
-            self.power = np.cumprod(base)
-            base[1:] = pow(int(base[-1]), -1, 1 << 64)
-            self.inverse = np.cumprod(base)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)])])
-        mixed = (sums[until] - sums[at]) * self.inverse[at] + (until - at).astype(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 63) - 1)).astype(np.int64)
-
     def _words(self, raw: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
         """The place of each word in what is remembered; new words are learnt.
 
@@ -378,7 +367,7 @@ class Encoder:
         """
         if self.words > REMEMBERED:
             self._forget()
-        key = self._keys(raw, at, until)
+        key = (self.hashed(raw, at, until) & np.uint64((1 << 63) - 1)).astype(np.int64)
         word = self.known(key)
         long = until - at > LONG
         word[long] = -1
@@ -454,15 +443,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Ids and texts of rows, some millions of characters at a time; null becomes empty."""
+def in_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of rows, about a million characters or ``rows`` at a time; null becomes empty."""
     for batch in batches:
         ids, texts, chars = [], [], 0
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids.append(i)
             texts.append(text.as_py() or "")
             chars += len(texts[-1])
-            if chars >= BATCH_CHARS:
+            if chars >= BATCH_CHARS or len(ids) == rows:
                 yield ids, texts
                 ids, texts, chars = [], [], 0
         if ids:

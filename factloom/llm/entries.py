@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exactdup, packing
+from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,15 +19,31 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_digests(_documents(spark, folder))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(_documents(spark, folder))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.groups(_documents(spark, folder))
 
 
+def op6_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digests(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.digests(_documents(spark, folder))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op5_exact_dedup, op8_bpe)}
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.digests(_documents(spark, folder))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
@@ -35,4 +51,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op6_warc_revisits": warc.SQL,
+    "op7_line_dedup": linedup.SQL,
 }
