@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, warc
+from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_documents(spark, folder))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(_documents(spark, folder))
+
+
+def op4_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(_documents(spark, folder))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.groups(_documents(spark, folder))
 
@@ -43,7 +51,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.digests(_documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
