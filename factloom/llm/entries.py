@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, quality, secrets, warc
+from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, pii, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,15 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_documents(spark, folder))
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(_documents(spark, folder))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.digests(_documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op9_personal_data, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
