@@ -17,8 +17,8 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries: the first line of each benchmark passage."""
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("query"))
+    """Queries: each benchmark passage."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +32,7 @@ def bm25_sql(where: str = "") -> str:
     WITH items AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text, source FROM documents {where}),
     ts AS (SELECT chunk_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) <= 40) AS ts FROM items),
     p AS (SELECT chunk_id, len(ts) AS length, term, count(*) AS tf FROM (SELECT chunk_id, ts, unnest(ts) AS term FROM ts) GROUP BY ALL),
-    asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+'), lambda t: length(t) <= 40)) AS term FROM benchmark),
+    asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) <= 40)) AS term FROM benchmark),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     s AS (SELECT query_id, chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM items) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256.0))), 6) AS score
           FROM p JOIN df USING (term) JOIN asked USING (term) GROUP BY ALL),
@@ -87,7 +87,7 @@ def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     bm25_sql()
     + """
-    , terms AS (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ('a', 'an', 'and', 'in', 'is', 'of', 'the', 'to', 'was', 'what'))) AS term FROM benchmark),
+    , terms AS (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ('a', 'an', 'and', 'in', 'is', 'of', 'the', 'to', 'was', 'what'))) AS term FROM benchmark),
     hit AS (SELECT DISTINCT t.query_id FROM terms t JOIN bm ON bm.query_id = t.query_id AND bm.rank < 5 JOIN documents ON doc_id = chunk_id WHERE contains(lower(text), term))
     SELECT item_id AS query_id, CASE WHEN hit.query_id IS NULL THEN 'insufficient_evidence' ELSE 'candidate_evidence' END AS status FROM benchmark LEFT JOIN hit ON item_id = hit.query_id
     """
