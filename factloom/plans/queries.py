@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import q_facts, q_records, q_retrieval  # noqa: F401
+from factloom.plans import q_answers, q_facts, q_records, q_retrieval  # noqa: F401
 from factloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
