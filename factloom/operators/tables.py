@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import computed
 from factloom.functions.text import GROUPS, PERIOD, RESIDENCES, UNIT, YEAR, parse_number, periods, plain, qualifiers, single_year, squeezed, unit
 from factloom.operators.chunking import HEADING, blocks, cells, full_lines
 
@@ -62,17 +63,17 @@ def header_paths(levels: Column, width: Column) -> Column:
 def statement_tables(pages: DataFrame) -> DataFrame:
     """One row for each printed table with a row of column numbers and a label column, continued ones numbered alike."""
     t = contexts(pages).filter("kind = 'table'").select("document_id", "region", "source_checksum", "page_number", "block_no", "context_no", "statement", "table_title", full_lines(F.col("block")).alias("lines"))
-    t = t.withColumn("rows", F.transform("lines", cells))
+    t = computed(t, rows=F.transform("lines", cells))
     counts = lambda row: (F.size(row) >= 2) & F.forall(F.transform(row, lambda c, i: plain(c) == (i + 1).cast("string")), lambda ok: ok)
     rule = lambda row: F.forall(row, lambda c: c.rlike("^[-:]*$"))
-    t = t.withColumn("number_row", F.array_position(F.transform("rows", counts), F.lit(True)).cast("int") - 1).filter("number_row >= 0")
-    t = t.withColumn("width", F.size(F.get("rows", F.col("number_row"))))
+    t = computed(t, number_row=F.array_position(F.transform("rows", counts), F.lit(True)).cast("int") - 1).filter("number_row >= 0")
+    t = computed(t, width=F.size(F.get("rows", F.col("number_row"))))
     levels = F.filter(F.slice("rows", F.lit(1), F.col("number_row")), lambda r: ~rule(r))
-    t = t.withColumn("paths", header_paths(levels, F.col("width")))
-    heads = F.transform("paths", lambda p: F.lower(F.array_join(p, " ")))
-    t = t.withColumn("heads", heads).withColumn("code_column", F.nullif(F.array_position(F.transform("heads", lambda h: h.rlike(r"\bcode\b")), F.lit(True)).cast("int"), F.lit(0)) - 1)
+    t = computed(t, paths=header_paths(levels, F.col("width")))
+    t = computed(t, heads=F.transform("paths", lambda p: F.lower(F.array_join(p, " "))))
+    t = computed(t, code_column=F.nullif(F.array_position(F.transform("heads", lambda h: h.rlike(r"\bcode\b")), F.lit(True)).cast("int"), F.lit(0)) - 1)
     labelled = F.transform("heads", lambda h, i: h.rlike("district|state|india|union territory") & ~i.eqNullSafe(F.col("code_column")))
-    t = t.withColumn("label_column", F.nullif(F.array_position(labelled, F.lit(True)).cast("int"), F.lit(0)) - 1).filter("label_column is not null")
+    t = computed(t, label_column=F.nullif(F.array_position(labelled, F.lit(True)).cast("int"), F.lit(0)) - 1).filter("label_column is not null")
     label = F.get("heads", F.col("label_column"))
     t = t.withColumn("entity_kind", F.when(label.contains("district"), "district").when(label.rlike(r"\b(?:state|india|union territory)\b"), "state"))
     # A statement's table goes on over pages while its header stays the same.
