@@ -33,14 +33,10 @@ MOST_CLASSES, MOST_COMMON = 0.3, 0.45
 SHARE = 0.001
 #: The key of the reference for all other rows.
 ANY = ""
-# Fixed value: character classes; what none of them holds is the last class.
-CLASSES = (r"[a-z]+", r"[A-Z]+", r"[0-9]+", r"[ \t-\r]+", r"[.,;:!?'\"()-]+", r"[#*$%&|<>@^~=+_/\\{}\[\]`]+")
-# Words and symbols of the base rules.
+# Words, spaces and symbols of the base rules.
 WORD, SPACE, SYMBOLS = r"[^ \t-\r]+", r"[ \t-\r]+", r"[#*$%&|<>]+"
-
-
-def _without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
+# Fixed value: character classes, each counted in what the ones before it leave; what none of them holds is the last.
+CLASSES = (r"[a-z]+", SPACE, r"[.,;:!?'\"()-]+", r"[A-Z]+", r"[0-9]+", SYMBOLS, r"[@^~=+_/\\{}\[\]`]+")
 
 
 def _total(values: Column) -> Column:
@@ -63,7 +59,7 @@ def js_distance(p: Column, q: Column) -> Column:
 def repeat_words(words: str) -> Column:
     """Words in windows of three that the text has more than once, from the column of its sorted windows."""
     col = F.col(words)
-    same = lambda x, k: (F.get(col, k)["a"] == x["a"]) & (F.get(col, k)["b"] == x["b"])
+    same = lambda x, k: F.get(col, k)["a"] == x["a"]
     starts = F.sort_array(F.transform(F.filter(col, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
     # Starts closer than three share words.
     bound = F.transform(F.array(starts), lambda s: _total(F.transform(s, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(s, k + 1) - p, F.lit(3))).cast("long"))))
@@ -71,11 +67,11 @@ def repeat_words(words: str) -> Column:
 
 
 def common_words(docs: DataFrame, words: int = COMMON) -> tuple[list[str], dict[str, list[str]]]:
-    """Languages with their own reference, and the commonest words by language, in lower case."""
+    """Languages with their own reference, and the commonest words by language."""
     least = docs.count() * SHARE
     rows = docs.groupBy("lang_key").count().filter((F.col("count") >= least) & (F.col("lang_key") != ANY)).collect()
     languages = sorted(r["lang_key"] for r in rows)  # a thousand at most
-    each = docs.select(_key(languages).alias("lang_key"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    each = docs.select(_key(languages).alias("lang_key"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
     counts = each.groupBy("lang_key", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang_key").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= words).collect()
@@ -99,26 +95,28 @@ def features(docs: DataFrame, words: int = COMMON) -> tuple[DataFrame, list[str]
     languages, common = common_words(source, words)
     listed = F.create_map(*[x for lang, ws in common.items() for x in (F.lit(lang), F.array(*map(F.lit, ws)).cast("array<string>"))])
     w, text = F.col("words"), F.col("text")
-    cut = source.withColumn("lang_key", _key(languages)).select("doc_id", "lang_key", "text", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("low"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("lines"))
-    window = lambda i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    windows = F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(*window(i)).alias("a"), F.hash(*window(i)).alias("b"), i.alias("i")))))
-    low, n_chars = F.col("low"), F.length(text)
-    left = [n_chars - _without(text, c) for c in CLASSES]
+    # Each class is taken out of the text before the next one is counted, so the rest soon is short.
+    cut = source.withColumn("lang_key", _key(languages)).select("doc_id", "lang_key", F.length(text).alias("rest0"), F.regexp_replace(text, CLASSES[0], "").alias("rest1"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("lines"))
+    for k, c in enumerate(CLASSES[1:], 2):
+        cut = cut.withColumn(f"rest{k}", F.regexp_replace(f"rest{k - 1}", c, "")).withColumn(f"rest{k - 1}", F.length(f"rest{k - 1}"))
+    cut = cut.withColumn(f"rest{len(CLASSES)}", F.length(f"rest{len(CLASSES)}"))
+    left = [F.col(f"rest{k}") - F.col(f"rest{k + 1}") for k in range(len(CLASSES))]
+    hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    windows = F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(hashed(i).alias("a"), i.alias("i")))))
     counted = cut.select(
         "doc_id",
         "lang_key",
         F.size(w).cast("long").alias("n_words"),
-        _without(text, SPACE).cast("long").alias("word_chars"),
-        (n_chars - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.col("rest0") - left[CLASSES.index(SPACE)]).cast("long").alias("word_chars"),
+        left[CLASSES.index(SYMBOLS)].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
-        F.array(*left).cast("array<long>").alias("some"),
-        n_chars.cast("long").alias("n_chars"),
-        F.transform(listed[F.col("lang_key")], lambda t: (F.size(low) - F.size(F.array_remove(low, t))).cast("long")).alias("common"),
+        F.array(*left, F.col(f"rest{len(CLASSES)}")).cast("array<long>").alias("classes"),
+        F.transform(listed[F.col("lang_key")], lambda t: (F.size(w) - F.size(F.array_remove(w, t))).cast("long")).alias("common"),
     )
     out = counted.select(
         "doc_id", "lang_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat_words("windows").alias("n_repeat_words"),
-        F.concat("some", F.array(F.col("n_chars") - _total(F.col("some")))).alias("classes"),
+        "classes",
         F.concat("common", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - _total(F.col("common"))))).alias("common"),
     )
     return staged(out, "quality"), languages
