@@ -192,10 +192,10 @@ def language_of(model: dict, spark_context) -> object:  # noqa: ANN001
     return identify
 
 
-def with_language(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with ``identified``: a struct of ``lang_pred, score, ambiguous``."""
+def with_language(docs: DataFrame, model: dict | None = None, into: str = "identified") -> DataFrame:
+    """``docs`` with a struct ``into`` of ``lang_pred, score, ambiguous``, in place of any such column."""
     identify = language_of(model or fit(docs), docs.sparkSession.sparkContext)
-    return docs.withColumn("identified", identify(F.col("text").cast("string")))
+    return docs.withColumn(into, identify(F.col("text").cast("string")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -206,5 +206,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a language: those without letters are rejected."""
-    named = with_language(docs)
-    return named.filter(F.col("identified.lang_pred") != "und").drop("identified")
+    named = with_language(docs, into="__identified")
+    return named.filter(F.col("__identified.lang_pred") != "und").select(docs.columns)

@@ -56,7 +56,8 @@ def places_to_remove(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text shortened, and ``n_lines`` and ``n_removed``."""
+    """``docs`` with its text shortened, and ``n_lines`` and ``n_removed`` in place of any such columns."""
+    docs = docs.drop("n_lines", "n_removed")
     remove = places_to_remove(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("places").alias("__places"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = keyed.join(remove, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
