@@ -29,11 +29,11 @@ from factloom.llm.spans import SpanHasher
 
 ENDLESS = np.int64(1) << 40
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 300_000
 #: Longest word that is remembered, in bytes.
 LONG = 64
 #: Characters that are encoded together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -444,7 +444,7 @@ def encoder(path: str) -> Encoder:
 
 
 def in_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Ids and texts of rows, about a million characters or ``rows`` at a time; null becomes empty."""
+    """Ids and texts of rows, some hundred thousand characters or ``rows`` at a time; null becomes empty."""
     for batch in batches:
         ids, texts, chars = [], [], 0
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -458,6 +458,14 @@ def in_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterat
             yield ids, texts
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """Let texts go to Python workers a thousand at a time, unless the session has set how many."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":  # Spark's default: long texts by the ten thousand fill a worker
+        conf.set(name, "1000")
+    return docs
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids array<int>, decoded string``, one row for each of ``docs``."""
     path = vocabulary or default_vocabulary()
@@ -468,7 +476,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFra
             arrays = e.encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())), pa.array([e.vocabulary.decode(a) for a in arrays])], ["doc_id", "ids", "decoded"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return narrow(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -489,8 +497,8 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def narrow(docs: DataFrame) -> DataFrame:
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

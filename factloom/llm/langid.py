@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import BATCH_CHARS
+from factloom.llm.bpe import BATCH_CHARS, in_small_batches
 from factloom.llm.spans import mixed
 
 #: Hashed n-grams; training rows of a language; steps of the training.
 FEATURES, SAMPLE, STEPS = 4096, 800, 120
 #: Texts that are counted together.
-TEXTS = 400
+TEXTS = 200
 #: Under this score a prediction is ambiguous.
 AMBIGUOUS = 0.6
 
@@ -126,7 +126,7 @@ def decode(margins: np.ndarray, code: np.ndarray, reliable: np.ndarray) -> tuple
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Train on a bounded sample of ``docs``: at most about ``sample`` rows of each language."""
-    known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = in_small_batches(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
@@ -195,7 +195,7 @@ def language_of(model: dict, spark_context) -> object:  # noqa: ANN001
 def with_language(docs: DataFrame, model: dict | None = None, into: str = "identified") -> DataFrame:
     """``docs`` with a struct ``into`` of ``lang_pred, score, ambiguous``, in place of any such column."""
     identify = language_of(model or fit(docs), docs.sparkSession.sparkContext)
-    return docs.withColumn(into, identify(F.col("text").cast("string")))
+    return in_small_batches(docs).withColumn(into, identify(F.col("text").cast("string")))
 
 
 def digests(docs: DataFrame) -> DataFrame:

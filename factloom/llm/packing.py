@@ -110,8 +110,7 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, end: int = END, vocabulary: st
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long")
+    return bpe.narrow(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long")
 
 
 def placed(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
