@@ -10,12 +10,16 @@ noise, in proportion to the corpus like ``RARE``, is taken off.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` shingles from each
 document; the chance that two documents draw the same is their weighted Jaccard
-similarity.  Documents that agree on a whole band are candidates.  In a bucket
-each one is paired with the smallest and with its neighbours by signature, so
-pairs grow as the bucket's members, and buckets of one group of copies chain
-it together over several bands.  Candidates are verified by the weighted
-Jaccard similarity of their whole shingle sets; components of what passes are
-the classes.
+similarity.  Documents that agree on a whole band are candidates.  They are
+verified by the weighted Jaccard similarity of their whole shingle sets;
+components of what passes are the classes.  Pairs that verified ones connect
+anyway need no comparing, so there are three passes.  The first pairs each
+member of a bucket with the smallest and with its neighbours by signature, in
+another order of draws for each band.  The second compares the draws of every
+member outside its bucket's largest component with those of all members of
+other components, in blocks, and verifies the best partner in each block.  The
+third verifies all pairs of a bucket that are still in different components
+and agree in enough draws, so none that could pass is left out.
 
 Exact copies are one node each.  A bucket that many documents share is counted
 before the shuffle, split by Spark when it is joined, and dealt by a hash for
@@ -59,8 +63,10 @@ DAMPING, RARE, LEVELS = 0.25, 0.005, 8
 SKETCH_ROWS, SKETCH_BITS = 3, 18
 #: Entries of the table that random draws come from.
 DRAW_BITS = 16
-#: Members of a bucket that one window sorts, about.
+#: Members of a bucket that one window sorts, and of a side of a block of comparisons, about.
 SALT_ROWS = 500
+#: Members up to which the first pass has compared all pairs of a bucket.
+ALL_PAIRED = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -282,25 +288,75 @@ def signed(table: DataFrame, levels: np.ndarray) -> DataFrame:
 # --- candidates and classes -------------------------------------------------
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of nodes to verify, from the bands of ``node, signature, bands``."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of nodes to verify first, from the bands of ``node, signature, bands``; ``key, node`` of buckets with other pairs."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = staged(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     # Most keys are of one document alone; a filter keeps them out of the join's shuffle.
-    shared = nodes.select("node", "signature", F.explode("bands").alias("key")).filter(member_test(buckets, "key")(F.col("key")))
+    shared = nodes.select("node", "signature", F.posexplode("bands").alias("band", "key")).filter(member_test(buckets, "key")(F.col("key")))
     met = shared.join(buckets, "key")
     star = met.select(F.col("least").alias("a"), F.col("node").alias("b"))
-    # Neighbours by signature, in parts of some hundred members of a bucket.
+    # Neighbours by signature from the draws after the band's own, in parts of some hundred members of a bucket.
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT_ROWS))
-    window = Window.partitionBy("key", "part").orderBy("signature", "node")
-    near = met.filter("n > 2").withColumn("part", part)
+    start = (F.col("band") + 1) * ROWS
+    turned = F.concat(F.substring("signature", start + 1, F.lit(DRAWS)), F.substring("signature", F.lit(1), start))
+    window = Window.partitionBy("key", "part").orderBy("turned", "node")
+    near = met.filter("n > 2").withColumn("part", part).withColumn("turned", turned)
     near = near.select("node", *[F.lag("node", k).over(window).alias(f"lag{k}") for k in (1, 2)])
     near = near.select(F.explode(F.array("lag1", "lag2")).alias("x"), "node").filter("x is not null").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-    return star.unionByName(near).filter("a < b").distinct()
+    large = staged(buckets.filter(F.col("n") > ALL_PAIRED).select("key"), "large")
+    crowds = keys.filter(member_test(large, "key")(F.col("key"))).join(large, "key").select("key", "node")
+    return star.unionByName(near).filter("a < b").distinct(), staged(crowds, "crowds")
+
+
+def unconnected(crowds: DataFrame, nodes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs ``a < b`` of a bucket's members in different components that agree in enough draws; with ``best``, only each one's best partner in a block."""
+    # A node has a label if an edge or a repeated id reaches it.
+    member = crowds.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("size"))
+    heads = sizes.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    heads = staged(heads.select("key", "main", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most")) / SALT_ROWS).cast("int").alias("high")), "open")
+    opened = staged(member.filter(member_test(heads, "key")(F.col("key"))).join(heads, "key"), "opened")
+    used = staged(opened.select("node").distinct(), "opened-nodes")
+    drawn = nodes.filter(member_test(used, "node")(F.col("node"))).select("node", "signature")
+    rows = opened.join(drawn, "node")
+    # Blocks of a bucket: those outside its largest component, by ``i``, against all members, by ``j``.
+    hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("label <> main").select("key", hashed(1, "high").alias("i"), every("wide").alias("j"), F.lit(True).alias("out"), "node", "label", "signature")
+    right = rows.select("key", every("high").alias("i"), hashed(2, "wide").alias("j"), F.lit(False).alias("out"), "node", "label", "signature")
+    blocks = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.struct("out", "node", "label", "signature")).alias("members"))
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The pairs whose similarity is at least ``SIMILAR``: first by their draws, then by their whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = batch.column(0)[k].values
+                out = held.field("out").to_numpy(zero_copy_only=False)
+                node, label = (held.field(n).to_numpy(zero_copy_only=False) for n in ("node", "label"))
+                draws = np.frombuffer(b"".join(held.field("signature").to_pylist()), np.uint8).reshape(-1, DRAWS)
+                x, y = np.flatnonzero(out), np.flatnonzero(~out)
+                for some in np.array_split(x, len(x) // SALT_ROWS + 1):
+                    if not len(some) or not len(y):
+                        continue
+                    same = np.zeros((len(some), len(y)), np.uint8)
+                    for d in range(DRAWS):
+                        same += draws[some, d][:, None] == draws[y, d]
+                    same[label[some][:, None] == label[y]] = 0
+                    if best:
+                        to = same.argmax(1)
+                        enough = same[np.arange(len(some)), to] >= PRUNED * DRAWS
+                        a, b = node[some[enough]], node[y[to[enough]]]
+                    else:
+                        i, j = np.nonzero(same >= PRUNED * DRAWS)
+                        a, b = node[some[i]], node[y[j]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return blocks.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose similarity is at least ``SIMILAR``, first by their draws, then by their whole sets; and all whose sets were compared."""
     sent = table.sparkSession.sparkContext.broadcast(levels)
     side = lambda t, name, cols: t.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
@@ -328,8 +384,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.nd
     sets = staged(sets.join(used, "node", "left_semi"), "sets")
     joined = likely.join(side(sets, "a", ["hashes", "counts"]), "a").join(side(sets, "b", ["hashes", "counts"]), "b")
     edges = staged(joined.mapInArrow(run, "a long, b long"), "edges")
-    release(sets, likely)
-    return edges
+    release(sets)
+    return edges, likely
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,13 +419,25 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = sign.join(exact, "digest").filter("doc_id = node").select("node", "signature", "bands").dropDuplicates(["node", "signature"])
     nodes = staged(nodes, "nodes")
     release(sign)
-    pairs = candidates(nodes)
-    near = verified(pairs, nodes, table.filter("doc_id is not null").withColumnRenamed("doc_id", "node"), levels)
-    copies = table.filter("doc_id is not null").select("doc_id", "digest").join(exact, "digest").select("doc_id", "node")
+    named = table.filter("doc_id is not null")
+    copies = named.select("doc_id", "digest").join(exact, "digest").select("doc_id", "node")
     linked = staged(copies, "linked")
     # Repeated ids hold the classes of their texts together.
-    repeats = linked.groupBy(F.col("doc_id").alias("a")).agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("a", F.explode(F.array("b", "c")).alias("b"))
-    labels = components(near.unionByName(repeats))
+    several = linked.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("doc_id", "b")
+    edges = staged(linked.join(several, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "repeats")
+    sets = named.withColumnRenamed("doc_id", "node")
+    pairs, crowds = candidates(nodes)
+    near, tried = verified(pairs, nodes, sets, levels)
+    edges = edges.unionByName(near)
+    labels = components(edges)
+    for best in (True, False):
+        more = staged(unconnected(crowds, nodes, labels, best).join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        near, likely = verified(more, nodes, sets, levels)
+        tried, edges = tried.unionByName(likely), edges.unionByName(near)
+        if not near.isEmpty():
+            labels = components(edges)
     placed = linked.join(labels, linked.node == labels.node, "left").select("doc_id", F.coalesce("label", linked.node).alias("class_id"))
     lone = table.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return placed.unionByName(lone).select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))

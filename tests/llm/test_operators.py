@@ -182,6 +182,28 @@ def test_near_classes(small, docs):
     assert neardup.without_near_copies(docs).columns == docs.columns
 
 
+def test_star_of_edited_copies(spark):
+    """Copies similar enough to the original alone, which has neither the smallest id nor a place of its own in an order."""
+    rng = random.Random(11)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    rows, centre = [], 637
+    for i in range(1001):
+        words = list(original)
+        for k in rng.sample(range(0, 600, 6), 9) if i != centre else []:
+            words[k + rng.randrange(2)] = f"edit{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(5000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 0 if i < 5000 else i for i, _ in rows}
+
+
+def test_all_texts_of_an_id_are_linked(spark):
+    texts_ = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(k, t) for k, t in enumerate(texts_, 1)] + [(5, t) for t in texts_]
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 1)}
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
