@@ -2,8 +2,10 @@
 
 Base rules count words, symbols, repeated lines and words in repeated windows
 of three.  The method compares two histograms of a document with those of its
-language: of character classes, and of the language's commonest words (with
-all others as one).  Both distances are the square root of the Jensen-Shannon
+language: of character classes, and of the language's commonest words, the
+further words that cover half of its text in four groups by frequency, and all
+others as one.  So a text without its language's words is at 0.56, beyond the
+limit.  Both distances are the square root of the Jensen-Shannon
 divergence to base 2.  A document fails if either exceeds its limit; documents
 under ``LEAST_WORDS`` words are too short to tell and are not failed by it.
 
@@ -21,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.plans.staging import staged
+from factloom.plans.staging import release, staged
 
 #: Words under which histograms are not compared.
 LEAST_WORDS = 50
-#: Common words of a language.
+#: Common words of a language; the share of its text that they and its further words cover, and most of both.
 COMMON = 20
+COVERED, MOST_WORDS = 0.5, 1000
+#: Groups of further words, alike in how often their words occur together.
+GROUPS = 4
 #: Largest distances of character classes and of common words.
 MOST_CLASSES, MOST_COMMON = 0.3, 0.45
 #: Share of rows from which on a language has its own reference.
@@ -66,23 +71,39 @@ def repeat_words(words: str) -> Column:
     return F.coalesce(F.get(bound, F.lit(0)), F.lit(0).cast("long"))
 
 
-def common_words(docs: DataFrame, words: int = COMMON) -> tuple[list[str], dict[str, list[str]]]:
-    """Languages with their own reference, and the commonest words by language."""
+def common_words(docs: DataFrame, words: int = COMMON) -> tuple[list[str], dict[str, list[str]], dict[str, list[list[str]]]]:
+    """Languages with their own reference, and by language the commonest words and the groups of further ones."""
     least = docs.count() * SHARE
     rows = docs.groupBy("lang_key").count().filter((F.col("count") >= least) & (F.col("lang_key") != ANY)).collect()
     languages = sorted(r["lang_key"] for r in rows)  # a thousand at most
     each = docs.select(_key(languages).alias("lang_key"), F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    counts = each.groupBy("lang_key", "word").agg(F.count("*").alias("n"))
+    counts = staged(each.groupBy("lang_key", "word").agg(F.count("*").alias("n")), "words")
     rank = F.row_number().over(Window.partitionBy("lang_key").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= words).collect()
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= MOST_WORDS).collect()
+    total = {r["lang_key"]: r["n"] for r in counts.groupBy("lang_key").agg(F.sum("n").alias("n")).collect()}
+    release(counts)
     out: dict[str, list[str]] = {lang: [] for lang in [*languages, ANY]}
+    further: dict[str, list[list[str]]] = {lang: [[] for _ in range(GROUPS)] for lang in out}
     weight: dict[str, int] = {}
+
+    def share_out(lang: str, ranked: list[tuple[str, int]], n: int) -> None:
+        covered = first = sum(times for _, times in ranked[:words])
+        out[lang] = [word for word, _ in ranked[:words]]
+        for word, times in ranked[words:MOST_WORDS]:
+            if covered >= COVERED * n:
+                break
+            further[lang][int(GROUPS * (covered - first) / (COVERED * n - first))].append(word)
+            covered += times
+
+    ranked: dict[str, list[tuple[str, int]]] = {}
     for row in sorted(top, key=lambda r: (r["lang_key"], r["rank"])):
-        out[row["lang_key"]].append(row["word"])
+        ranked.setdefault(row["lang_key"], []).append((row["word"], row["n"]))
         weight[row["word"]] = weight.get(row["word"], 0) + row["n"]
+    for lang in languages:
+        share_out(lang, ranked.get(lang, []), total.get(lang, 0))
     # The reference for all other rows has the words that are common anywhere.
-    out[ANY] = sorted(weight, key=lambda w: (-weight[w], w))[:words]
-    return languages, out
+    share_out(ANY, sorted(weight.items(), key=lambda x: (-x[1], x[0])), sum(total.values()))
+    return languages, out, further
 
 
 def _key(languages: list[str]) -> Column:
@@ -92,7 +113,9 @@ def _key(languages: list[str]) -> Column:
 def features(docs: DataFrame, words: int = COMMON) -> tuple[DataFrame, list[str]]:
     """Counts of each document, written: base rules, ``classes`` and ``common``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(ANY)).alias("lang_key"))
-    languages, common = common_words(source, words)
+    languages, common, further = common_words(source, words)
+    # Words hold no white space, so the last line break parts the language from the word.
+    others = [[f"{lang}\n{x}" for lang, groups in further.items() for x in groups[g]] for g in range(GROUPS)]
     listed = F.create_map(*[x for lang, ws in common.items() for x in (F.lit(lang), F.array(*map(F.lit, ws)).cast("array<string>"))])
     w, text = F.col("words"), F.col("text")
     # Each class is taken out of the text before the next one is counted, so the rest soon is short.
@@ -103,6 +126,7 @@ def features(docs: DataFrame, words: int = COMMON) -> tuple[DataFrame, list[str]
     left = [F.col(f"rest{k}") - F.col(f"rest{k + 1}") for k in range(len(CLASSES))]
     hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     windows = F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(hashed(i).alias("a"), i.alias("i")))))
+    times = lambda ws: (F.size(F.filter(w, lambda x: F.concat("lang_key", F.lit("\n"), x).isin(ws))) if ws else F.lit(0)).cast("long")
     counted = cut.select(
         "doc_id",
         "lang_key",
@@ -113,11 +137,12 @@ def features(docs: DataFrame, words: int = COMMON) -> tuple[DataFrame, list[str]
         windows.alias("windows"),
         F.array(*left, F.col(f"rest{len(CLASSES)}")).cast("array<long>").alias("classes"),
         F.transform(listed[F.col("lang_key")], lambda t: (F.size(w) - F.size(F.array_remove(w, t))).cast("long")).alias("common"),
+        F.array(*map(times, others)).alias("further"),
     )
     out = counted.select(
         "doc_id", "lang_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat_words("windows").alias("n_repeat_words"),
         "classes",
-        F.concat("common", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - _total(F.col("common"))))).alias("common"),
+        F.concat("common", "further", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - _total(F.col("further")) - _total(F.col("common"))))).alias("common"),
     )
     return staged(out, "quality"), languages
 
@@ -125,7 +150,7 @@ def features(docs: DataFrame, words: int = COMMON) -> tuple[DataFrame, list[str]
 def judged(docs: DataFrame, words: int = COMMON) -> DataFrame:
     """One row for each of ``docs``: base counts and verdict, both distances, ``kept``."""
     counts, languages = features(docs, words)
-    sizes = {"classes": len(CLASSES) + 1, "common": words + 1}
+    sizes = {"classes": len(CLASSES) + 1, "common": words + GROUPS + 1}
     sums = [F.sum(F.get(name, F.lit(k))).alias(f"{name}{k}") for name, n in sizes.items() for k in range(n)]
     found = counts.groupBy("lang_key").agg(*sums).collect()  # a thousand rows at most
     empty = F.array().cast("array<double>")

@@ -300,6 +300,20 @@ def test_distance_is_jensen_shannon(spark):
     assert got == pytest.approx([0.5**0.5, 0.0])
 
 
+def test_texts_without_their_languages_words_fail(spark, small):
+    rng = random.Random(7)
+    clean = small.filter("lang in ('en', 'es')")
+    letters = [c for r in clean.filter("lang = 'en'").limit(50).collect() for c in (r.text or "").lower() if c.isalpha()]
+    gibberish = " ".join("".join(rng.choices(letters, k=rng.randint(6, 9))).capitalize() + rng.choice(["", "", ",", "."]) for _ in range(200))
+    # References count all rows, so only a small part of the table is mislabelled.
+    spanish = " ".join(max(clean.filter("lang = 'es'").collect(), key=lambda r: len(r.text or "")).text.split()[:200])
+    added = spark.createDataFrame([(10**6, gibberish, "en"), (10**6 + 1, spanish, "en"), (10**6 + 2, spanish, "es")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judged(small.select("doc_id", "text", "lang").unionByName(added)).filter("doc_id >= 1000000").collect()}
+    for i in (10**6, 10**6 + 1):
+        assert not got[i].kept and got[i].common_distance > quality.MOST_COMMON
+    assert got[10**6 + 2].common_distance < quality.MOST_COMMON
+
+
 # --- 7 and 6 ----------------------------------------------------------------
 
 
