@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in single-machine tests, a temporary
-    folder is chosen and set as Spark's checkpoint folder.
+    Only where the setting is absent on a local master, as in single-machine
+    tests, a temporary folder is chosen and set as Spark's checkpoint folder; a
+    cluster without the setting is an error, as its executors share no other.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         current = context._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
             current = context._jsc.sc().getCheckpointDir()
         folder = current.get()
