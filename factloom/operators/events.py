@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 HIDDEN = ("credential", "token", "embedding", "prompt", "chain_of_thought", "api_key")
 VALUE_CHARS = 2000
 TERMINAL = ("succeeded", "failed")
+#: Ranges in which the values of a group are counted.
+SPANS = 4096
 
 
 def safe_details(details: Column) -> Column:
@@ -23,17 +29,38 @@ def durations(events: DataFrame, key: str = "run_id") -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n_events"), F.round((F.max(at) - F.min(at)) / 1e6, 3).alias("seconds"))
 
 
-def nearest_rank(values: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """The sorted value at index ``max(0, round(share * n) - 1)``, halves rounded to even; an exact value of the data.
+def values_at(values: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact values of a group in sorted order, at places from 0 that are told by how many there are: ``group, n`` and a column for each.
 
-    Values are counted before they are sorted, so each group's window has its
-    distinct values only.
+    Values are counted in ``SPANS`` ranges between the least and the greatest;
+    only those in the range that holds a place are then sorted, so no task
+    sorts a whole group.
     """
-    counts = values.groupBy(*group, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*group)
-    upto = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
-    index = F.greatest(F.lit(0), F.bround(F.col("n") * share, 0).cast("long") - 1)
-    return upto.filter(F.col("upto") > index).groupBy(*group).agg(F.min(value).alias("p"), F.first("n").alias("n"))
+    ends = values.groupBy(*group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
+    wide = F.col("e.high").cast("double") - F.col("e.low").cast("double")
+    span = F.when(wide > 0, F.least(F.lit(SPANS - 1), F.floor((F.col(f"v.{value}").cast("double") - F.col("e.low").cast("double")) / wide * SPANS))).otherwise(0).cast("int")
+    placed = values.filter(F.col(value).isNotNull()).alias("v").join(ends.alias("e"), same("v", "e")).select(*[F.col(f"v.{g}").alias(g) for g in group], F.col(f"v.{value}").alias("value"), span.alias("span"), F.col("e.n").alias("n"))
+    counts = placed.groupBy(*group, "span").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    upto = F.sum("k").over(Window.partitionBy(*group).orderBy("span"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()]))
+    spans = counts.withColumn("before", upto - F.col("k")).select(*group, "span", "k", "before", wanted.alias("w")).filter("w.place >= before and w.place < before + k")
+    met = placed.groupBy(*group, "span", "value", "n").agg(F.count("*").alias("m")).alias("p").join(spans.select(*group, "span", "before", "w.*").alias("s"), same("p", "s") & (F.col("p.span") == F.col("s.span")))
+    met = met.select(*[F.col(f"p.{g}").alias(g) for g in group], "p.value", "p.n", "p.m", "s.before", "s.name", "s.place")
+    reached = F.col("before") + F.sum("m").over(Window.partitionBy(*group, "name").orderBy("value"))
+    hits = met.withColumn("reached", reached).filter("reached > place")
+    return hits.groupBy(*group).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in places])
+
+
+def nearest_rank(values: DataFrame, group: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """The sorted value at index ``max(0, round(share * n) - 1)``, halves rounded to even; an exact value of the data."""
+    return values_at(values, group, value, {"p": lambda n: F.greatest(F.lit(0), F.bround(n * share, 0).cast("long") - 1)}).select(*group, "p", "n")
+
+
+def median(values: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``group, n, median``: the middle value, or the mean of the two in the middle."""
+    middle = values_at(values, group, value, {"a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.floor(n / 2)})
+    return middle.select(*group, "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def latest_state(jobs: DataFrame, key: str = "job_id") -> DataFrame:

@@ -104,7 +104,7 @@ def year_cells(scopes: DataFrame, facts: DataFrame, default_population: str = "p
     own = facts.filter(F.col("aggregate") & (F.lower("entity") == F.lower("region")) & F.col("chunk_id").isNotNull() & (F.size("qualifiers") == 0))
     own = own.select(F.col("region").alias("f_region"), metric_words(F.col("metric")).alias("words"), "year", F.coalesce("residence", F.lit("total")).alias("f_residence"), "population_group", "entity", "metric", "raw_value", "value", "unit", "page_number", "chunk_id", "line")
     plain_group = F.coalesce(F.col("population_group"), F.lit(default_population)) == default_population
-    met = asked.join(documents, "region", "left").join(own.filter(plain_group), (F.col("region") == F.col("f_region")) & (F.col("wanted") == F.col("words")) & (F.col("wanted_year") == F.col("year")) & (F.col("wanted_residence") == F.col("f_residence")), "left")
+    met = asked.join(documents, "region", "left").join(own.filter(plain_group), (F.col("n_documents") == 1) & (F.col("region") == F.col("f_region")) & (F.col("wanted") == F.col("words")) & (F.col("wanted_year") == F.col("year")) & (F.col("wanted_residence") == F.col("f_residence")), "left")
     reason = F.when(F.coalesce("n_documents", F.lit(0)) != 1, "TABLE_AMBIGUOUS_DOCUMENT").when(F.col("value").isNull(), "TABLE_STATE_ROW_MISSING")
     out = met.select("spec_id", "region", F.col("wanted_year").alias("year"), "metric", F.col("wanted_residence").alias("residence"), "entity", "raw_value", "value", "unit", "page_number", "chunk_id", "line", reason.alias("reason"))
     return out.withColumn("turn", F.row_number().over(Window.partitionBy("spec_id").orderBy(F.desc("year"))))

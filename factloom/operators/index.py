@@ -19,9 +19,15 @@ def stale_ids(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFram
 
 
 def fingerprints(chunks: DataFrame) -> DataFrame:
-    """A digest of all chunks of each document, whatever their order; chunks are hashed before they are gathered."""
-    each = chunks.select("document_id", F.struct("chunk_index", F.sha2(F.to_json(F.struct(*sorted(c for c in chunks.columns if c != "document_id"))), 256).alias("h")).alias("c"))
-    return each.groupBy("document_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["h"]), ""), 256).alias("fingerprint"), F.count("*").alias("n_chunks"))
+    """A digest of all chunks of each document, whatever their order.
+
+    Each chunk is hashed with its index; hashes are combined by sums that tasks
+    add up before anything is shuffled, so a document may have any number.
+    """
+    body = F.to_json(F.struct(*sorted(c for c in chunks.columns if c != "document_id")))
+    each = chunks.select("document_id", *[F.xxhash64(F.lit(k), body).alias(f"h{k}") for k in range(3)])
+    mixed = each.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.bit_xor("h0").alias("x"), *[F.sum(F.col(f"h{k}").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)])
+    return mixed.select("document_id", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n_chunks", "x", "s1", "s2")]), 256).alias("fingerprint"), "n_chunks")
 
 
 def unchanged(state: DataFrame, now: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import decimals
-from factloom.operators.events import nearest_rank
+from factloom.operators.events import median, nearest_rank
 
 CLOSE = 0.005
 
@@ -61,7 +61,8 @@ def verdicts(cases: DataFrame, claims: DataFrame, expected: DataFrame) -> DataFr
 def scorecard(results: DataFrame) -> DataFrame:
     """One row: counts of verdicts, median latency without errors, and how many cases change between repeats."""
     counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("passed", "wrong_answer", "false_refusal", "unsupported", "incomplete", "error")]
-    one = results.agg(F.count("*").alias("n"), *counts, F.round(F.median(F.when(F.col("verdict") != "error", F.col("latency"))), 1).alias("median_latency"))
+    middle = median(results.filter("verdict <> 'error'").withColumn("g", F.lit(1)), ["g"], "latency").select(F.round("median", 1).alias("median_latency"))
+    one = results.agg(F.count("*").alias("n"), *counts).join(F.broadcast(middle), how="left")
     unstable = results.groupBy("case_id").agg(F.countDistinct(F.col("verdict") == "passed").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_unstable"))
     return one.crossJoin(F.broadcast(unstable))
 

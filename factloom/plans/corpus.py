@@ -21,17 +21,33 @@ class Corpus:
     facts: DataFrame
 
 
-_built: dict[tuple[str, str], Corpus] = {}
+_built: dict[tuple, Corpus] = {}
 
 
-def corpus(spark: SparkSession, folder: str) -> Corpus:
-    """Ingest the state reports of a folder: written tables that all queries of the session share."""
-    key = (spark.sparkContext.applicationId, folder)
+def _version(spark: SparkSession, folder: str) -> tuple:
+    """Sizes and times of the files that reports are made of: a changed one is another corpus."""
+    context = spark.sparkContext
+    out = []
+    for name in ("orders", "customer", "nation", "region"):
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        status = at.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def built(pages: DataFrame) -> Corpus:
+    """Written tables of paged reports: chunks, printed tables, their columns, rows and facts."""
+    pages = staged(pages, "pages")
+    chunks = staged(chunking.chunk_pages(pages), "chunks")
+    found = staged(tables.statement_tables(pages), "tables")
+    columns = staged(tables.table_columns(found), "columns")
+    rows = staged(tables.table_rows(found, chunks), "rows")
+    return Corpus(pages, chunks, found, columns, rows, staged(tables.facts(found, chunks), "facts"))
+
+
+def corpus(spark: SparkSession, folder: str, source: str = "state") -> Corpus:
+    """Ingest the reports of a folder: written tables that all queries of the session share."""
+    key = (spark.sparkContext.applicationId, folder, source, _version(spark, folder))
     if key not in _built:
-        pages = staged(reports.state_reports(spark, folder), "pages")
-        chunks = staged(chunking.chunk_pages(pages), "chunks")
-        found = staged(tables.statement_tables(pages), "tables")
-        columns = staged(tables.table_columns(found), "columns")
-        rows = staged(tables.table_rows(found, chunks), "rows")
-        _built[key] = Corpus(pages, chunks, found, columns, rows, staged(tables.facts(found, chunks), "facts"))
+        _built[key] = built((reports.state_reports if source == "state" else reports.irregular_reports)(spark, folder))
     return _built[key]

@@ -14,7 +14,7 @@ from factloom.operators import facts as X
 from factloom.operators import retrieval as R
 from factloom.operators import trust as T
 from factloom.plans.corpus import corpus
-from factloom.plans.q_facts import CELLS, YEAR, selection
+from factloom.plans.q_facts import CELLS, REPORTS, selection
 from factloom.plans.q_retrieval import TOP, _asked, _items, bm25_sql
 from factloom.plans.registry import query, table
 
@@ -90,17 +90,17 @@ def evidence_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     CELLS
     + """
-    , p AS (SELECT a.slug, a.entity, a.res, a.value - b.value AS result, a.y FROM cells a JOIN cells b ON a.slug = b.slug AND a.entity = b.entity AND a.res = b.res AND a.statement = b.statement AND a.y = b.y + 1 WHERE a.statement = 1)
+    , p AS (SELECT a.slug, a.entity, a.res, a.value - b.value AS result, a.y FROM cells a JOIN cells b ON a.slug = b.slug AND a.entity = b.entity AND a.res = b.res AND a.statement = b.statement AND a.y = b.y + 1)
     SELECT 'orders-' || slug AS document_id, CASE WHEN y = 2001 THEN 'INVALID_DERIVATION' WHEN y = 2000 THEN 'DERIVED_MISSING_INPUT_CITATIONS' END AS code, count(*) AS n FROM p GROUP BY ALL
     """
 )
 def derived_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Year-on-year differences: right ones, ones that state another number, ones with an input uncited."""
     c = corpus(spark, folder)
-    claims = _claims(spark, folder).filter("document_id is not null and claim_id like '%/t001-%'")
+    claims = _claims(spark, folder)
     cited = C.validate(claims, c.chunks, c.facts)
     later, earlier = claims.alias("a"), claims.alias("b")
-    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.residence") == F.col("b.residence")) & (F.col("a.year") == F.col("b.year") + 1)
+    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.metric") == F.col("b.metric")) & (F.col("a.subgroup") == F.col("b.subgroup")) & (F.col("a.residence") == F.col("b.residence")) & (F.col("a.year") == F.col("b.year") + 1)
     result = X.difference(F.col("a.value"), F.col("b.value")).cast("double")
     pairs = later.join(earlier, same).select(
         F.concat_ws("|", F.col("a.claim_id"), F.lit("difference")).alias("calc_id"), F.col("a.claim_id").alias("left_claim"), F.when(F.col("a.year") == 2000, "nobody").otherwise(F.col("b.claim_id")).alias("right_claim"), F.lit("difference").alias("operation"), result.alias("result"), (result + F.when(F.col("a.year") == 2001, 1).otherwise(0)).alias("stated"),
@@ -134,18 +134,18 @@ def citation_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _proposals(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows that a model might propose, right or wrong in one field, for the counts of one year."""
-    f = corpus(spark, folder).facts.filter(f"statement = '1' and not aggregate and year = {YEAR}")
-    base = f.select("document_id", "region", F.col("entity").alias("label"), "value", F.lit("order count").alias("metric"), "year", "residence", F.concat_ws("/", "document_id", "entity", "residence").alias("row_id"))
+    """Rows that a model might propose, right or wrong in one field, for all counts."""
+    f = corpus(spark, folder).facts.filter("statement = '1' and not aggregate")
+    base = f.select("document_id", "region", F.col("entity").alias("label"), "value", F.lit("order count").alias("metric"), "year", "residence", F.concat_ws("/", "document_id", "entity", "residence", F.col("year").cast("string")).alias("row_id"))
     changes = {"none": {}, "label": {"label": F.lit("NOWHERE")}, "value": {"value": F.col("value") + 1_000_003}, "year": {"year": F.lit(2011)}, "metric": {"metric": F.lit("literacy rate")}, "residence": {"residence": F.lit("suburban")}, "region": {"region": F.lit("ELSEWHERE")}}
     return reduce(DataFrame.unionByName, [base.withColumns({**c, "row_id": F.concat(F.lit(f"{k}:"), "row_id")}).select(base.columns) for k, c in changes.items()])
 
 
 @query(
     CELLS
-    + f"""
+    + """
     , m(mutation, reason) AS (VALUES ('none', NULL), ('label', 'WRONG_REGION_ROW'), ('value', 'UNSUPPORTED_OR_WRONG_TABLE_CELL'), ('year', 'WRONG_YEAR'), ('metric', 'WRONG_METRIC'), ('residence', 'WRONG_RESIDENCE'), ('region', 'WRONG_REQUIRED_REGION'))
-    SELECT mutation, reason, count(*) AS n FROM m, cells WHERE statement = 1 AND NOT aggregate AND y = {YEAR} GROUP BY ALL
+    SELECT mutation, reason, count(*) AS n FROM m, cells WHERE statement = 1 AND NOT aggregate GROUP BY ALL
     """
 )
 def hydrate_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,16 +154,16 @@ def hydrate_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy(F.substring_index("row_id", ":", 1).alias("mutation"), "reason").agg(F.count("*").alias("n"))
 
 
-@query(CELLS + f"SELECT code, count(*) AS n FROM (SELECT CASE WHEN res = 'urban' THEN 'MISSING_LINEAGE' WHEN res = 'rural' THEN 'VALUE_DIFFERS' END AS code FROM cells WHERE statement = 1 AND NOT aggregate AND y = {YEAR}) WHERE code IS NOT NULL GROUP BY 1")
+@query(CELLS + "SELECT code, count(*) AS n FROM (SELECT CASE WHEN res = 'urban' THEN 'MISSING_LINEAGE' WHEN res = 'rural' THEN 'VALUE_DIFFERS' END AS code FROM cells) WHERE code IS NOT NULL GROUP BY 1")
 def lineage_check(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of a dataset against their source records: one residence's are lost, another's say something else."""
-    f = corpus(spark, folder).facts.filter(f"statement = '1' and not aggregate and year = {YEAR}")
-    rows = f.select(F.concat_ws("/", "document_id", "entity", "residence").alias("row_id"), "value", "unit", "residence")
+    f = corpus(spark, folder).facts
+    rows = f.select(F.concat_ws("/", "document_id", "table_id", "entity", F.col("column_index").cast("string")).alias("row_id"), "value", "unit", "residence")
     sources = rows.filter("residence <> 'urban'").withColumn("value", F.when(F.col("residence") == "rural", F.col("value") + 1).otherwise(F.col("value")))
     return C.lineage_errors(rows, sources).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'orders-' || replace(lower(r_name), ' ', '-') || '/' || k AS spec_id, count(*) - CASE WHEN k = 'rural' THEN 1 ELSE 0 END AS n_rows, count(*) AS n_entities, CASE WHEN k = 'rural' THEN 'RANKING_COVERAGE_INCOMPLETE' END AS reason FROM region JOIN nation ON n_regionkey = r_regionkey, (VALUES ('count'), ('rural'), ('price'), ('segment')) t(k) GROUP BY r_name, k")
+@query(REPORTS + "SELECT 'orders-' || replace(lower(r_name), ' ', '-') || '/' || k AS spec_id, count(*) - CASE WHEN k = 'rural' THEN 1 ELSE 0 END AS n_rows, count(*) AS n_entities, CASE WHEN k = 'rural' THEN 'RANKING_COVERAGE_INCOMPLETE' END AS reason FROM reports JOIN nation ON n_regionkey = r_regionkey, (VALUES ('count'), ('rural'), ('price'), ('segment')) t(k) GROUP BY r_name, k")
 def completeness_guard(spark: SparkSession, folder: str) -> DataFrame:
     """A ranking of fewer rows than its table has entities is refused; here one residence loses a row."""
     c = corpus(spark, folder)
@@ -224,7 +224,7 @@ def sibling_expand(spark: SparkSession, folder: str) -> DataFrame:
     return R.sibling_pages(found, items).groupBy("query_id", "document_id").agg(F.countDistinct("page_number").alias("n_pages"))
 
 
-@query("SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 2::BIGINT AS n_sections FROM region")
+@query(REPORTS + "SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 2::BIGINT AS n_sections FROM reports")
 def summary_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return R.summary_evidence(corpus(spark, folder).chunks).groupBy("document_id").agg(F.count("*").alias("n_sections"))
 

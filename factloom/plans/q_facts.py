@@ -14,12 +14,13 @@ from factloom.sources import reports
 YEAR = 1997
 DOCUMENT = "concat('orders-', replace(lower(r_name), ' ', '-'))"
 #: All cells of the reports, from the base tables (a printed name is read without emphasis marks): statement 1 counts, 2 average prices, 3 counts of one segment.
-CELLS = """
-    WITH o AS (
-        SELECT r_name, n_name, n_nationkey, year(o_orderdate) AS y, o_orderstatus = 'O' AS rural, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents, c_mktsegment = 'BUILDING' AS seg
+REPORTS = f"WITH blocks AS (SELECT DISTINCT c_custkey // {reports.BLOCK} AS b FROM customer), reports AS (SELECT r_regionkey, b, r_name || ' ' || b AS r_name FROM region, blocks)"
+CELLS = REPORTS + f""",
+    o AS (
+        SELECT r_name || ' ' || (c_custkey // {reports.BLOCK}) AS r_name, n_name, n_nationkey, year(o_orderdate) AS y, o_orderstatus = 'O' AS rural, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents, c_mktsegment = 'BUILDING' AS seg
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     grid AS (
-        SELECT r_name, n_name, y, res FROM region JOIN nation ON n_regionkey = r_regionkey, (SELECT unnest(range(1995, 2002)) AS y), (SELECT unnest(['total', 'rural', 'urban']) AS res)),
+        SELECT r_name, n_name, y, res FROM reports JOIN nation ON n_regionkey = r_regionkey, (SELECT unnest(range(1995, 2002)) AS y), (SELECT unnest(['total', 'rural', 'urban']) AS res)),
     hits AS (
         SELECT g.r_name, g.n_name, g.y, g.res, o.cents, o.seg
         FROM grid g LEFT JOIN o ON o.n_name = g.n_name AND o.r_name = g.r_name AND o.y = g.y AND (g.res = 'total' OR (g.res = 'rural') = o.rural)),
@@ -66,12 +67,12 @@ def facts_total(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("document_id", "entity", "aggregate", F.col("statement").cast("int").alias("statement"), "year", "residence", F.col("value").cast("double").alias("value"))
 
 
-@query("SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, y AS year FROM region, (SELECT unnest(range(1995, 2002)) AS y)")
+@query(REPORTS + "SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, y AS year FROM reports, (SELECT unnest(range(1995, 2002)) AS y)")
 def census_years(spark: SparkSession, folder: str) -> DataFrame:
     return tables.census_years(corpus(spark, folder).facts).select("document_id", F.explode("years").alias("year")).withColumn("year", F.col("year").cast("long"))
 
 
-@query("SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 'bound' AS state, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) * 3 + 3 AS n FROM region")
+@query(REPORTS + "SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 'bound' AS state, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) * 3 + 3 AS n FROM reports")
 def row_binding(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of tables by whether one chunk alone holds their line."""
     rows = corpus(spark, folder).rows
@@ -79,7 +80,7 @@ def row_binding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("document_id", state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) * 4 AS n_pages, 0::BIGINT AS n_unsafe_pages, 0::BIGINT AS n_unsafe_chunks, 0::BIGINT AS n_repeated_ids FROM region")
+@query(REPORTS + "SELECT count(*) * 4 AS n_pages, 0::BIGINT AS n_unsafe_pages, 0::BIGINT AS n_unsafe_chunks, 0::BIGINT AS n_repeated_ids FROM reports")
 def chunk_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Every page has chunks; none is unsafe, no id repeats, every snippet is in its text."""
     c = corpus(spark, folder)
@@ -101,10 +102,11 @@ def prose_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """
-    WITH k(name, status, reason) AS (VALUES ('count', 'ok', NULL), ('rural', 'ok', NULL), ('price', 'ok', NULL), ('segment', 'ok', NULL), ('blank', 'refused', 'TABLE_METRIC_UNRECOGNIZED'),
+    REPORTS
+    + """,
+    k(name, status, reason) AS (VALUES ('count', 'ok', NULL), ('rural', 'ok', NULL), ('price', 'ok', NULL), ('segment', 'ok', NULL), ('blank', 'refused', 'TABLE_METRIC_UNRECOGNIZED'),
         ('unknown', 'refused', 'TABLE_NO_MATCHING_COLUMN'), ('late', 'refused', 'TABLE_NO_MATCHING_COLUMN'), ('sex', 'refused', 'TABLE_NO_MATCHING_COLUMN'), ('state', 'refused', 'TABLE_NO_MATCHING_COLUMN'))
-    SELECT 'orders-' || replace(lower(r_name), ' ', '-') || '/' || name AS spec_id, status, reason FROM region, k
+    SELECT 'orders-' || replace(lower(r_name), ' ', '-') || '/' || name AS spec_id, status, reason FROM reports, k
     """
 )
 def select_column(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,15 +165,15 @@ def year_change(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("spec_id", facts.difference(F.col("left"), F.col("right")).cast("double").alias("change"), facts.percentage_difference(F.col("left"), F.col("right")).alias("percent"))
 
 
-@query(CELLS + f"SELECT a.r_name AS left_region, b.r_name AS right_region, a.value - b.value AS gap, CASE WHEN a.value >= b.value THEN 'higher' ELSE 'lower' END AS verdict FROM cells a JOIN cells b ON a.r_name < b.r_name AND a.res = b.res AND a.y = b.y AND a.statement = b.statement WHERE a.aggregate AND b.aggregate AND a.statement = 1 AND a.res = 'total' AND a.y = {YEAR}")
+@query(CELLS + "SELECT a.r_name AS left_region, b.r_name AS right_region, a.y AS year, a.value - b.value AS gap, CASE WHEN a.value >= b.value THEN 'higher' ELSE 'lower' END AS verdict FROM cells a JOIN cells b ON regexp_extract(a.r_name, '[0-9]+$') = regexp_extract(b.r_name, '[0-9]+$') AND a.r_name < b.r_name AND a.res = b.res AND a.y = b.y AND a.statement = b.statement WHERE a.aggregate AND b.aggregate AND a.statement = 1 AND a.res = 'total'")
 def comparison_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """Regions held against each other, with the sentence that says so."""
-    f = corpus(spark, folder).facts.filter(f"aggregate and statement = '1' and residence = 'total' and year = {YEAR}")
-    side = lambda name: f.select(F.col("region").alias(f"{name}_region"), F.col("value").alias(name), F.col("metric").alias(f"{name}_metric"))
-    pairs = F.broadcast(side("left")).join(side("right"), F.col("left_region") < F.col("right_region"))  # a row for each report
+    """Regions held against each other within a block of customers, in every year, with the sentence that says so."""
+    f = corpus(spark, folder).facts.filter("aggregate and statement = '1' and residence = 'total'")
+    side = lambda name: f.select(F.substring_index("region", " ", -1).alias("block"), "year", F.col("region").alias(f"{name}_region"), F.col("value").alias(name), F.col("metric").alias(f"{name}_metric"))
+    pairs = side("left").join(side("right"), ["block", "year"]).filter("left_region < right_region")
     gap = facts.difference(F.col("left"), F.col("right"))
     said = facts.comparison_sentence(F.col("left_region"), F.col("right_region"), gap, F.col("left_metric"), F.lit("total"))
-    return pairs.select("left_region", "right_region", gap.cast("double").alias("gap"), F.regexp_extract(said, " is (higher|lower) than ", 1).alias("verdict"))
+    return pairs.select("left_region", "right_region", F.col("year").cast("long").alias("year"), gap.cast("double").alias("gap"), F.regexp_extract(said, " is (higher|lower) than ", 1).alias("verdict"))
 
 
 @query(CELLS + "SELECT 'orders-' || slug AS document_id, y AS year, res AS residence, sum(value) FILTER (WHERE NOT aggregate) AS parts, max(value) FILTER (WHERE aggregate) AS total, sum(value) FILTER (WHERE NOT aggregate) - max(value) FILTER (WHERE aggregate) AS gap FROM cells WHERE statement = 1 GROUP BY ALL")
@@ -194,3 +196,42 @@ def parse_number(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice").cast("decimal(18,2)")
     read = lambda c: T.parse_number(c).cast("double")
     return table(spark, folder, "orders").select("o_orderkey", read(T.western(price)).alias("western"), read(T.indian(price)).alias("indian"), read(F.concat(F.lit("about "), price.cast("string"))).alias("no_number"))
+
+
+IRREGULAR = f"""
+    WITH s AS (SELECT r_regionkey, r_name || ' ' || (s_suppkey // {reports.BLOCK}) AS region, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+    d AS (SELECT r_regionkey, region, 'suppliers-' || replace(lower(region), ' ', '-') || '-' || e AS document_id, n FROM s, (VALUES ('a'), ('b')) t(e) WHERE e = 'a' OR r_regionkey % 2 = 1)
+"""
+
+
+@query(
+    IRREGULAR
+    + """
+    , k(name, reason) AS (VALUES ('account balance', NULL), ('parcel count', 'TABLE_ROWS_MALFORMED'), ('refund count', 'TABLE_COLUMN_INCOMPLETE'), ('tanker count', 'TABLE_TOO_FEW_ENTITIES'), ('visit count', 'TABLE_AMBIGUOUS_COLUMN'))
+    SELECT document_id || '/' || name AS spec_id, CASE WHEN reason IS NOT NULL THEN reason WHEN n < 2 THEN 'TABLE_TOO_FEW_ENTITIES' END AS final_reason, CASE WHEN name = 'account balance' AND n >= 2 THEN n END AS n_entities
+    FROM d, k WHERE n >= 2
+    """
+)
+def select_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for flawed tables: each is refused for its own flaw; a table on two pages is whole."""
+    c = corpus(spark, folder, "irregular")
+    names = F.array(*map(F.lit, ("account balance", "parcel count", "refund count", "tanker count", "visit count")))
+    large = c.rows.filter("statement = '1' and not aggregate").groupBy("document_id").agg(F.count("*").alias("n")).filter("n >= 2").select("document_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = large.select("document_id", F.explode(names).alias("metric")).select(F.concat_ws("/", "document_id", "metric").alias("spec_id"), "document_id", "metric", F.lit(2001).alias("year"), none("string").alias("residence"), none("string").alias("population"), F.lit("district").alias("entity_kind"))
+    chosen = facts.select_columns(asked, facts.column_health(c.columns, c.rows, c.facts))
+    counted = facts.selected_facts(chosen, c.facts).filter("not aggregate").groupBy("spec_id").agg(F.count("*").alias("n_entities"))
+    return chosen.join(counted, "spec_id", "left").select("spec_id", F.col("reason").alias("final_reason"), "n_entities")
+
+
+@query(
+    IRREGULAR
+    + """
+    SELECT DISTINCT region AS spec_id, y AS year, CASE WHEN r_regionkey % 2 = 1 THEN 'TABLE_AMBIGUOUS_DOCUMENT' WHEN y = 2002 THEN 'TABLE_STATE_ROW_MISSING' END AS reason FROM d, (VALUES (2001), (2002)) t(y)
+    """
+)
+def year_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of a report's own row: refused if two documents are about its region, or if there is no such year."""
+    c = corpus(spark, folder, "irregular")
+    scopes = c.pages.select("region").distinct().select(F.col("region").alias("spec_id"), "region", F.lit("account balance").alias("metric"), F.array(F.lit(2001), F.lit(2002)).alias("years"), F.lit("total").alias("residence"))
+    return facts.year_cells(scopes, c.facts).select("spec_id", "year", "reason")

@@ -11,27 +11,27 @@ from factloom.operators import events as E
 from factloom.operators import facts as X
 from factloom.operators import retrieval as R
 from factloom.plans.corpus import corpus
-from factloom.plans.q_facts import CELLS, RANKED, _ranks
+from factloom.plans.q_facts import CELLS, RANKED, REPORTS, _ranks
 from factloom.plans.registry import query, table
 from factloom.plans.staging import shared_folder
 from factloom.sources import artifacts
 
 
-@query(CELLS + "SELECT 'orders-' || slug AS document_id, statement, CASE WHEN statement = 2 THEN count(*) ELSE 0 END AS n_stale, count(*) AS n FROM cells WHERE r_name <> 'ASIA' GROUP BY slug, statement")
+@query(CELLS + "SELECT 'orders-' || slug AS document_id, statement, CASE WHEN statement = 2 THEN count(*) ELSE 0 END AS n_stale, count(*) AS n FROM cells WHERE r_name NOT LIKE 'ASIA %' GROUP BY slug, statement")
 def stale_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts against an index where one statement's page moved, and one document was withdrawn."""
     c = corpus(spark, folder)
     moved = c.chunks.withColumn("page_number", F.when(F.col("page_number") == 3, 33).otherwise(F.col("page_number")))
-    withdrawn = c.pages.filter("region = 'ASIA'").select("document_id").distinct()
+    withdrawn = c.pages.filter("region like 'ASIA %'").select("document_id").distinct()
     out = X.still_cited(c.facts, moved, withdrawn)
     return out.groupBy("document_id", F.col("statement").cast("int").alias("statement")).agg(F.count_if("stale").alias("n_stale"), F.count("*").alias("n"))
 
 
-@query("SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 4::BIGINT AS n_pages FROM region WHERE r_name <> 'ASIA'")
+@query(REPORTS + "SELECT 'orders-' || replace(lower(r_name), ' ', '-') AS document_id, 4::BIGINT AS n_pages FROM reports WHERE r_name NOT LIKE 'ASIA %'")
 def withdrawn_documents(spark: SparkSession, folder: str) -> DataFrame:
     """What a search without asked documents may see."""
     c = corpus(spark, folder)
-    return R.allowed(c.chunks, excluded=c.pages.filter("region = 'ASIA'").select("document_id").distinct()).groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages"))
+    return R.allowed(c.chunks, excluded=c.pages.filter("region like 'ASIA %'").select("document_id").distinct()).groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages"))
 
 
 @query(

@@ -11,6 +11,7 @@ from factloom.operators import index as X
 from factloom.operators import pages as P
 from factloom.operators import sessions as S
 from factloom.plans.corpus import corpus
+from factloom.plans.q_facts import REPORTS
 from factloom.plans.registry import query, table
 
 NOW = "timestamp '2024-02-01 00:00:00'"
@@ -116,7 +117,9 @@ def latency_p95(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_type, median(value) AS median, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def median_latency(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.round(F.avg("value"), 4).alias("mean"))
+    events = table(spark, folder, "events")
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
+    return means.join(E.median(events, ["event_type"], "value"), "event_type", "left").select("event_type", "median", "mean")
 
 
 JOBS = """
@@ -254,7 +257,7 @@ def idempotent_skip(spark: SparkSession, folder: str) -> DataFrame:
     return X.unchanged(state(old), state(new))
 
 
-@query("SELECT count(*) * 4 AS n_pages, 0::BIGINT AS bad_page, 0::BIGINT AS bad_checksum, 0::BIGINT AS snippet_not_in_text, 0::BIGINT AS repeated_ids, count(*) * 1 AS excluded_pages FROM region")
+@query(REPORTS + "SELECT count(*) * 4 AS n_pages, 0::BIGINT AS bad_page, 0::BIGINT AS bad_checksum, 0::BIGINT AS snippet_not_in_text, 0::BIGINT AS repeated_ids, count(*) * 1 AS excluded_pages FROM reports")
 def index_audit(spark: SparkSession, folder: str) -> DataFrame:
     """All rules over the chunks of the reports, two pages of which are taken as excluded."""
     chunks = corpus(spark, folder).chunks

@@ -1,8 +1,9 @@
 """Paged state reports, rendered as Markdown from orders; and readers of pages.
 
-A report has a region's statement tables: one a page, with a header of metric,
-year and residence, a row of column numbers, the region's own row and a row
-for each of its nations.  Years, residences and nations are crossed in full.
+A report is about a region's customers of one block of numbers, so reports grow
+with the data.  It has statement tables: one a page, with a header of metric,
+year and residence, a row of column numbers, the report's own row and a row for
+each nation.  Years, residences and nations are crossed in full.
 """
 
 from __future__ import annotations
@@ -16,21 +17,26 @@ from factloom.plans.registry import table
 YEARS = tuple(range(1995, 2002))
 RESIDENCES = ("total", "rural", "urban")
 SEGMENT = "BUILDING"
+#: Customer numbers of a report.
+BLOCK = 250
 PAGES = "document_id string, region string, title string, page_number int, text string, extraction_method string, coverage_status string, source_checksum string"
 
 
 def measures(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders by region, nation and year: counts and average prices by residence, whole and of one market segment.
+    """Orders by report, nation and year: counts and average prices by residence, whole and of one market segment.
 
-    The region's own row comes with a null nation.  Orders are summed before
-    they meet the small dimensions.
+    The report's own row comes with a null nation.  Orders are summed before
+    they meet the dimensions: 25 nations and seven years, for each block of
+    customers.
     """
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).select("c_nationkey", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "O").alias("is_rural"), (F.col("c_mktsegment") == SEGMENT).alias("in_segment"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    small = placed.groupBy("c_nationkey", "year", "is_rural", "in_segment").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+    block = F.floor(F.col("c_custkey") / BLOCK).cast("long")
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).select("c_nationkey", block.alias("o_block"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "O").alias("is_rural"), (F.col("c_mktsegment") == SEGMENT).alias("in_segment"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    small = placed.groupBy("c_nationkey", "o_block", "year", "is_rural", "in_segment").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
     cells = F.broadcast(region).join(F.broadcast(nation), F.col("n_regionkey") == F.col("r_regionkey")).crossJoin(spark.range(len(YEARS)).select((F.col("id") + YEARS[0]).cast("int").alias("y")))
-    joined = cells.join(small, (cells.n_nationkey == small.c_nationkey) & (cells.y == small.year), "left")
+    cells = customer.select(block.alias("block")).distinct().crossJoin(F.broadcast(cells)).withColumn("r_name", F.concat_ws(" ", "r_name", F.col("block").cast("string")))
+    joined = cells.join(small, (cells.n_nationkey == small.c_nationkey) & (cells.y == small.year) & (cells.block == small.o_block), "left")
     pick = {"total": F.lit(True), "rural": F.col("is_rural"), "urban": ~F.col("is_rural")}
     aggs = [F.coalesce(F.sum(F.when(c & extra, F.col("n"))), F.lit(0)).alias(f"{name}_{r}") for r, c in pick.items() for name, extra in (("count", F.lit(True)), ("segment", F.col("in_segment")))]
     aggs += [F.coalesce(F.round(F.sum(F.when(c, F.col("price"))) / F.sum(F.when(c, F.col("n"))), 2), F.lit(0)).cast("decimal(18,2)").alias(f"price_{r}") for r, c in pick.items()]
@@ -86,6 +92,46 @@ def state_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def irregular_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of a report for each region and block of suppliers, with tables that are flawed in turns, in the schema ``PAGES``.
+
+    Each report has a table on two pages with one header (sound), a row that
+    lacks a cell, a blank cell, a single entity, and one metric printed twice
+    with other values.  Reports of odd regions come twice under one name.
+    """
+    nation = table(spark, folder, "nation").join(F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, folder, "supplier").select("s_nationkey", F.floor(F.col("s_suppkey") / BLOCK).cast("long").alias("block"), "s_name", F.round("s_acctbal").cast("long").alias("v"))
+    own = s.join(F.broadcast(nation.select("n_nationkey", "r_regionkey", "r_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+    # A report names at most BLOCK suppliers.
+    one = own.groupBy("r_regionkey", "r_name", "block").agg(F.array_sort(F.collect_list(F.struct("s_name", "v"))).alias("rows"), F.sum("v").alias("total")).withColumn("region", F.concat_ws(" ", "r_name", F.col("block").cast("string")))
+    line = lambda code, name, *cells: F.concat(F.lit("| "), F.concat_ws(" | ", F.lit(code) if isinstance(code, str) else code, name, *cells), F.lit(" |"))
+    head = lambda metric: F.lit(f"| Code | District | {metric} |\n| --- | --- | --- |\n|  |  | 2001 |\n| 1 | 2 | 3 |")
+    shown = lambda v: western(v)
+    total = line("00", F.col("region"), shown(F.col("total")))
+    rows = lambda cell, some="rows": F.transform(F.col(some), lambda r, i: cell(F.lpad((i + 1).cast("string"), 3, "0"), r, i))
+    plain_ = lambda n, r, i: line(n, r["s_name"], shown(r["v"]))
+    body = lambda metric, lines: F.concat_ws("\n", head(metric), lines)
+    half = F.ceil(F.size("rows") / 2).cast("int")
+    one = one.withColumn("front", F.slice("rows", F.lit(1), half)).withColumn("back", F.slice("rows", half + 1, F.size("rows")))
+    titled = lambda k, title, text: F.concat(F.lit(f"Statement {k} : {title}\n\n"), text)
+    first = F.array_join(F.array(total), "\n")
+    texts = [
+        titled(1, "Account Balance by district (Persons)", body("Account Balance", F.concat_ws("\n", first, F.array_join(rows(plain_, "front"), "\n")))),
+        F.when(F.size("back") > 0, body("Account Balance", F.array_join(rows(plain_, "back"), "\n"))),
+        titled(2, "Parcel Count by district (Persons)", body("Parcel Count", F.concat_ws("\n", first, F.array_join(rows(lambda n, r, i: F.when(i == 0, F.concat(F.lit("| "), n, F.lit(" | "), r["s_name"], F.lit(" |"))).otherwise(plain_(n, r, i))), "\n")))),
+        titled(3, "Refund Count by district (Persons)", body("Refund Count", F.concat_ws("\n", first, F.array_join(rows(lambda n, r, i: F.when(i == 0, line(n, r["s_name"], F.lit(""))).otherwise(plain_(n, r, i))), "\n")))),
+        titled(4, "Tanker Count by district (Persons)", body("Tanker Count", F.concat_ws("\n", first, plain_(F.lit("001"), F.get("rows", F.lit(0)), 0)))),
+        titled(5, "Visit Count by district (Persons)", body("Visit Count", F.concat_ws("\n", first, F.array_join(rows(plain_), "\n")))),
+        titled(6, "Visit Count by district (Persons)", body("Visit Count", F.concat_ws("\n", first, F.array_join(rows(lambda n, r, i: line(n, r["s_name"], shown(r["v"] + 1))), "\n")))),
+    ]
+    pages = one.select("r_regionkey", "region", F.explode(F.array(*[F.struct(F.lit(k).alias("page_number"), t.alias("text")) for k, t in enumerate(texts, 1)])).alias("p")).select("r_regionkey", "region", "p.*").filter("text is not null")
+    copies = pages.withColumn("edition", F.explode(F.when(F.col("r_regionkey") % 2 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
+    key = F.concat_ws("-", F.lit("suppliers"), slug(F.col("region")), "edition")
+    return copies.select(
+        key.alias("document_id"), "region", F.concat(F.lit("Suppliers of "), F.col("region")).alias("title"), "page_number", "text", F.lit("provided_markdown").alias("extraction_method"), F.lit("indexed_markdown").alias("coverage_status"), F.sha2(key, 256).alias("source_checksum"),
+    )
+
+
 def prose_pages(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as reports of one page each, lines as paragraphs."""
     docs = table(spark, folder, "documents")

@@ -49,4 +49,4 @@ def test_entry_ranks_entities(spark):
     df = entry.entry(spark)
     assert df.columns == ["spec_id", "entity", "value", "rank"]
     best = {r["spec_id"]: r["entity"] for r in df.filter("rank = 1").collect()}
-    assert best["orders-asia/count"] == "NATION17"
+    assert best["orders-asia-0/count"] == "NATION17"
