@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import SEARCH_STOP_WORDS, tokens
+from factloom.operators import scoring
 
 # BM25's constants, the longest token, and the fusion's constant with ranks from 0.
 K1, B, AVERAGE, TOKEN_CHARS = 1.2, 0.75, 256.0, 40
 FUSION = 2
-#: Queries that meet each block of vectors together.
-QUERY_BLOCK = 256
 
 
 def leg_size(top_k: int) -> int:
@@ -33,38 +35,26 @@ def _best(scored: DataFrame, n: int, item: str) -> DataFrame:
     return scored.withColumn("rank", rank - 1).filter(F.col("rank") < n)
 
 
-def dense_leg(queries: DataFrame, items: DataFrame, n: int, item: str = "chunk_id") -> DataFrame:
-    """``query_id, item, score, rank``: cosine similarity of each of a stated set of queries with all items.
+def _ranked(parts: Iterator[DataFrame], queries: DataFrame, items: DataFrame, n: int, item: str) -> DataFrame:
+    found = list(parts)
+    none = queries.select("query_id").join(items.select(item), F.lit(False)).withColumn("score", F.lit(0.0))
+    return _best(reduce(DataFrame.unionByName, found) if found else none, n, item)
 
-    Queries go out in blocks, and each block meets every item once; a window
-    keeps the best of each task before it shuffles.
-    """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    numbered = queries.select(F.struct("query_id", F.col("vector").alias("vector"), norm(F.col("vector")).alias("norm")).alias("q"), F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(1) * queries.count() / QUERY_BLOCK).cast("long") + 1).alias("block"))
-    blocks = numbered.groupBy("block").agg(F.collect_list("q").alias("qs"))
-    met = items.select(item, F.col("vector").alias("v"), norm(F.col("vector")).alias("n")).crossJoin(blocks).select(item, "v", "n", F.explode("qs").alias("q"))
-    dot = F.aggregate(F.zip_with("v", F.col("q.vector"), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select(F.col("q.query_id").alias("query_id"), item, F.round(dot / (F.col("n") * F.col("q.norm")), 6).alias("score"))
-    return _best(scored, n, item)
 
+def dense_leg(queries: DataFrame, items: DataFrame, n: int, item: str = "chunk_id") -> DataFrame:
+    """``query_id, item, score, rank``: cosine similarity of each of a stated set of queries with all items, in blocks."""
+    return _ranked(scoring.dense(queries, items, n, item), queries, items, n, item)
 
-def postings(items: DataFrame, item: str = "chunk_id") -> DataFrame:
-    """``item, term, tf, length`` of each text's terms, counted before they shuffle."""
-    words = items.select(item, F.filter(tokens(F.coalesce("text", F.lit(""))), lambda t: F.length(t) <= TOKEN_CHARS).alias("ts"))
-    return words.select(item, F.size("ts").alias("length"), F.explode("ts").alias("term")).groupBy(item, "length", "term").agg(F.count("*").alias("tf"))
+
+def terms(text: Column) -> Column:
+    """The words that BM25 counts: letters and digits in lower case, none too long."""
+    return F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: F.length(t) <= TOKEN_CHARS)
 
 
 def bm25_leg(queries: DataFrame, items: DataFrame, n: int, item: str = "chunk_id") -> DataFrame:
     """``query_id, item, score, rank``: the sum over the query's distinct terms of IDF and saturated frequency."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(tokens(F.col("query")), lambda t: F.length(t) <= TOKEN_CHARS))).alias("term"))
-    total = items.count()
-    # Only postings of asked terms go on; which those are is known before the shuffle.
-    some = postings(items, item).join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = some.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / AVERAGE))
-    hits = some.join(frequency, "term").withColumn("part", idf * weight).join(asked, "term")
-    return _best(hits.groupBy("query_id", item).agg(F.round(F.sum("part"), 6).alias("score")), n, item)
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("terms"))
+    return _ranked(scoring.bm25(asked, items.select(item, terms(F.col("text")).alias("terms")), n, item, K1, B, AVERAGE), queries, items, n, item)
 
 
 def fuse(legs: list[DataFrame], top_k: int, item: str = "chunk_id", k: int = FUSION) -> DataFrame:
@@ -76,6 +66,47 @@ def fuse(legs: list[DataFrame], top_k: int, item: str = "chunk_id", k: int = FUS
     return _best(every.groupBy("query_id", item).agg(F.round(F.sum("share"), 6).alias("score")), top_k, item)
 
 
+def label_leg(queries: DataFrame, items: DataFrame, n: int, item: str = "chunk_id") -> DataFrame:
+    """``query_id, item, score, rank``: the first items, by id, of each query's label; items are cut to ``n`` a label before they meet queries."""
+    # Two steps, so that no task ranks all items of a label.
+    part = F.pmod(F.xxhash64(item), F.lit(256))
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(item))).filter(F.col("nth") <= n).drop("nth")
+    top = first(first(items.select(item, "label", part.alias("part")), "label", "part"), "label")
+    return _best(queries.select("query_id", "label").join(top.select(item, "label"), "label").select("query_id", item, F.lit(1.0).alias("score")), n, item)
+
+
+def evidence(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What was found, each chunk once for a query at its best rank, with its text and place; and why it can't be cited, if so."""
+    once = found.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    met = once.join(chunks, "chunk_id", "left")
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    reason = F.when(blank("text"), "EVIDENCE_WITHOUT_TEXT").when(blank("document_id"), "EVIDENCE_WITHOUT_DOCUMENT").when(F.coalesce(F.col("page_number") < 1, F.lit(True)), "EVIDENCE_WITHOUT_PAGE")
+    return met.withColumn("reason", reason)
+
+
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int = 10, documents: list[str] | None = None, regions: list[str] | None = None, withdrawn: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Hybrid search: evidence rows, a status for each query, and the legs with what was fused.
+
+    ``queries``: ``query_id, query, vector``; ``chunks`` with ``chunk_id, text,
+    document_id, region, page_number``; ``vectors``: ``chunk_id, vector``.  The
+    same filter goes under both legs, which fetch more than is asked; a chunk
+    without a vector can be found by its words.
+    """
+    if not 1 <= top_k <= 50:
+        raise ValueError("top_k is from 1 to 50")
+    some = allowed(chunks, documents, regions, withdrawn)
+    asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    size = leg_size(top_k)
+    legs = {"dense": dense_leg(asked.filter("vector is not null"), vectors.join(some.select("chunk_id"), "chunk_id", "left_semi"), size), "bm25": bm25_leg(asked, some, size)}
+    legs["fused"] = fuse([legs["dense"], legs["bm25"]], top_k)
+    rows = evidence(legs["fused"], some)
+    enough = sufficiency(asked, rows).withColumnRenamed("status", "found")
+    counts = rows.groupBy("query_id").agg(F.count("*").alias("n_found"))
+    told = queries.select("query_id", F.trim(F.coalesce("query", F.lit(""))).alias("query")).join(enough, "query_id", "left").join(counts, "query_id", "left")
+    status = told.select("query_id", F.when(F.col("query") == "", "blank_query").otherwise(F.coalesce("found", F.lit("insufficient_evidence"))).alias("status"), F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
+    return rows, status, legs
+
+
 def sufficiency(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """Whether any telling word of a query stands, even as part of a word, in what was found for it."""
     terms = F.filter(F.array_distinct(tokens(F.col("query"))), lambda t: (F.length(t) > 2) & ~t.isin(*SEARCH_STOP_WORDS))
