@@ -49,24 +49,24 @@ def converter_pages(documents: DataFrame) -> DataFrame:
 
 
 def alignment(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The page of each block without markers, where one page of its document is clearly best.
+    """The page of each block without markers, where one page of its document is clearly best; null where none is.
 
     The score is the share of the block's words, with their counts, that the
-    page has; 1 if the page has four words or more of it in a row.  Words are
-    counted and joined, so only pages that share a word are scored.
+    page has; a page with all of the block in a row has all its words.  Words
+    are counted and joined, so only pages that share a word are scored.  All
+    blocks of a document with one page are on it.
     """
     count = lambda df, key, name: df.select(*key, F.explode(tokens(F.col("text"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias(name))
     b, p = count(blocks, ["document_id", "block_no"], "nb"), count(pages, ["document_id", "page_number"], "np")
-    sizes = b.groupBy("document_id", "block_no").agg(F.sum("nb").alias("n"))
+    sizes = blocks.select("document_id", "block_no", F.size(tokens(F.col("text"))).alias("n"))
     shared = b.join(p, ["document_id", "word"]).groupBy("document_id", "block_no", "page_number").agg(F.sum(F.least("nb", "np")).alias("both"))
-    flat = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    met = shared.join(sizes, ["document_id", "block_no"]).join(blocks.select("document_id", "block_no", flat(F.col("text")).alias("block_words")), ["document_id", "block_no"]).join(pages.select("document_id", "page_number", flat(F.col("text")).alias("page_words")), ["document_id", "page_number"])
-    whole = (F.col("n") >= 4) & F.contains("page_words", F.trim(F.col("block_words")))
-    scored = met.select("document_id", "block_no", "page_number", F.round(F.when(whole, 1.0).otherwise(F.col("both") / F.col("n")), 6).alias("score"))
+    scored = shared.join(sizes, ["document_id", "block_no"]).select("document_id", "block_no", "page_number", F.round(F.col("both") / F.col("n"), 6).alias("score"))
     w = Window.partitionBy("document_id", "block_no").orderBy(F.desc("score"), "page_number")
     best = scored.withColumn("turn", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).filter("turn = 1")
+    only = pages.groupBy("document_id").agg(F.min("page_number").alias("only"), F.max("page_number").alias("last")).filter("only = last").select("document_id", "only")
+    met = sizes.join(best.drop("turn"), ["document_id", "block_no"], "left").join(only, "document_id", "left")
     clear = (F.col("score") >= ALIGNED) & (F.col("score") - F.col("second") >= APART)
-    return best.select("document_id", "block_no", F.when(clear, F.col("page_number")).alias("page_number"), "score")
+    return met.select("document_id", "block_no", F.coalesce("only", F.when(clear, F.col("page_number"))).alias("page_number"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def mapped_pages(documents: DataFrame, supplied: DataFrame, fallback: DataFrame, decisions: DataFrame, transcriptions: DataFrame) -> DataFrame:
@@ -87,6 +87,12 @@ def mapped_pages(documents: DataFrame, supplied: DataFrame, fallback: DataFrame,
     return out.select(*key, "source_checksum", "coverage_status", text.alias("text"))
 
 
+def failed_pages(documents: DataFrame, decisions: DataFrame, transcriptions: DataFrame) -> DataFrame:
+    """Pages of documents that could not be mapped: transcribed and decided ones as they are, all others failed."""
+    none = documents.select("document_id", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text")).limit(0)
+    return mapped_pages(documents, none, none, decisions, transcriptions)
+
+
 def coverage_report(pages: DataFrame) -> DataFrame:
     """Per document: how many pages have each status, which, and the share that is indexed."""
     indexed = F.col("coverage_status").rlike("^(indexed_|approved_)")

@@ -194,8 +194,10 @@ def page_markers(spark: SparkSession, folder: str) -> DataFrame:
     s AS (SELECT bw.document_id, block_no, page_number, sum(least(nb, np)) AS shared FROM bw JOIN pw USING (document_id, w) GROUP BY ALL),
     c AS (SELECT s.document_id, s.block_no, s.page_number, round(CASE WHEN len(b.ts) >= 4 AND contains(' ' || array_to_string(p.ts, ' ') || ' ', array_to_string(b.ts, ' ')) THEN 1.0 ELSE shared / len(b.ts) END, 6) AS score
           FROM s JOIN b USING (document_id, block_no) JOIN p ON p.document_id = s.document_id AND p.page_number = s.page_number),
-    r AS (SELECT *, row_number() OVER w AS turn, coalesce(lead(score) OVER w, 0) AS second FROM c WINDOW w AS (PARTITION BY document_id, block_no ORDER BY score DESC, page_number))
-    SELECT document_id, block_no, CASE WHEN score >= 0.75 AND score - second >= 0.15 THEN page_number END AS page_number, score FROM r WHERE turn = 1
+    r AS (SELECT *, row_number() OVER w AS turn, coalesce(lead(score) OVER w, 0) AS second FROM c WINDOW w AS (PARTITION BY document_id, block_no ORDER BY score DESC, page_number)),
+    o AS (SELECT document_id, min(page_number) AS only FROM p GROUP BY 1 HAVING min(page_number) = max(page_number))
+    SELECT b.document_id, b.block_no, CASE WHEN o.only IS NOT NULL THEN o.only WHEN r.score >= 0.75 AND r.score - second >= 0.15 THEN r.page_number END AS page_number, coalesce(r.score, 0) AS score
+    FROM b LEFT JOIN (SELECT * FROM r WHERE turn = 1) r ON r.document_id = b.document_id AND r.block_no = b.block_no LEFT JOIN o ON o.document_id = b.document_id
     """
 )
 def align_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,7 +83,7 @@ def state_reports(spark: SparkSession, folder: str) -> DataFrame:
     title = F.when(F.col("statement") == 3, "Order Count of Scheduled Castes by district (Persons)").when(F.col("statement") == 1, "Order Count by district (Persons)").otherwise("Average Price by district")
     parted = lambda heading, body: F.concat_ws("\n\n", heading, body)
     tables = _tables(spark, folder)
-    statements = tables.select("r_regionkey", "r_name", (F.col("statement") + 1).alias("page_number"), parted(F.concat(F.lit("Statement "), F.col("statement").cast("string"), F.lit(" : "), title), F.col("table")).alias("text"))
+    statements = tables.select("r_regionkey", "r_name", (F.col("statement") + 1).alias("page_number"), F.concat_ws("\n\n", F.concat(F.lit("### Statement "), F.col("statement").cast("string")), title, F.col("table")).alias("text"))
     intro = tables.filter("statement = 1").select("r_regionkey", "r_name", F.lit(1).alias("page_number"), parted(F.concat(F.lit("# Orders of "), F.col("r_name")), F.concat(F.lit("This report counts the orders of "), F.col("r_name"), F.lit(" from 1995 to 2001.\n\n## Statements\n\nThe statements give totals, and rural and urban orders apart."))).alias("text"))
     pages = intro.unionByName(statements)
     return pages.select(
