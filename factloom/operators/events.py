@@ -83,12 +83,23 @@ def tool_budget(calls: DataFrame, limit: int, key: str = "run_id") -> DataFrame:
     return out.withColumn("limit_exceeded", F.col("turn") > limit)
 
 
-def run_status(events: DataFrame, key: str = "run_id") -> DataFrame:
-    """How a run ended, by its last telling event."""
-    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "signup", "refused")
+def run_status(events: DataFrame, endings: dict[str, str], key: str = "run_id") -> DataFrame:
+    """How a run ended, by its last event with an ending; ``endings`` tells which events end a run, and how."""
+    table = F.create_map(*[F.lit(x) for kv in endings.items() for x in kv])
+    kind = table[F.col("event_type")]
     return events.withColumn("kind", kind).groupBy(key).agg(F.coalesce(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("ts", "event_id"))), F.lit("running")).alias("status"))
 
 
+def refusal_reason(refused: Column, invalid: Column, artifact_failed: Column) -> Column:
+    """Why a completed run refused: its citations, its artifact, or too little evidence."""
+    return F.when(refused & invalid, "citation_validation_failed").when(refused & artifact_failed, "artifact_generation_failed").when(refused, "insufficient_evidence")
+
+
+def allowed_details(details: Column, names: tuple[str, ...]) -> Column:
+    """Details under allowed names alone, and of those what is safe."""
+    return F.map_filter(safe_details(details), lambda k, v: k.isin(*names))
+
+
 def provider_error(message: Column) -> Column:
     """The class of a provider's failure, from its message."""
     low = F.lower(message)

@@ -18,7 +18,7 @@ def has_state_row(text: Column, region: Column) -> Column:
 
 
 def unit_known(text: Column) -> Column:
-    return F.lower(text).rlike(r"\bper\s+(?:cent|1,?000|order)\b|%|\b(?:persons|females|males|rate|ratio|count|number)\b")
+    return F.lower(text).rlike(r"\bper\s+(?:cent|1,?000)\b|%|\b(?:persons|females|males|rate|ratio|count|number)\b")
 
 
 def prioritised(items: DataFrame) -> DataFrame:

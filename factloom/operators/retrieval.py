@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import SEARCH_STOP_WORDS, tokens
 from factloom.operators import scoring
+from factloom.plans.staging import staged
 
 # BM25's constants, the longest token, and the fusion's constant with ranks from 0.
 K1, B, AVERAGE, TOKEN_CHARS = 1.2, 0.75, 256.0, 40
@@ -98,7 +99,9 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int
     asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
     size = leg_size(top_k)
     legs = {"dense": dense_leg(asked.filter("vector is not null"), vectors.join(some.select("chunk_id"), "chunk_id", "left_semi"), size), "bm25": bm25_leg(asked, some, size)}
-    legs["fused"] = fuse([legs["dense"], legs["bm25"]], top_k)
+    # Written once, as the evidence, its status and the legs themselves all rest on them.
+    legs = {name: staged(leg, name) for name, leg in legs.items()}
+    legs["fused"] = staged(fuse([legs["dense"], legs["bm25"]], top_k), "fused")
     rows = evidence(legs["fused"], some)
     enough = sufficiency(asked, rows).withColumnRenamed("status", "found")
     counts = rows.groupBy("query_id").agg(F.count("*").alias("n_found"))

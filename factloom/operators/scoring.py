@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that go to the tasks at once, about; cells of a matrix of scores.
 GROUP, CELLS = 2048, 2_000_000
@@ -60,6 +61,10 @@ class Best:
         return pa.RecordBatch.from_arrays([ids.take(pa.array(query, pa.int64())), pa.array(item.tolist(), item_type), pa.array(score, pa.float64())], ["query_id", name, "score"])
 
 
+def _ids(queries: DataFrame, rows: list) -> pa.Array:
+    return pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+
+
 def _kinds(queries: DataFrame, items: DataFrame, item: str) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, score double"
 
@@ -73,7 +78,7 @@ def dense(queries: DataFrame, items: DataFrame, n: int, item: str) -> Iterator[D
         width = len(rows[0]["vector"] or [])
         rows = [r for r in rows if r["vector"] and len(r["vector"]) == width]
         matrix = np.array([r["vector"] for r in rows])
-        sent = items.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows]), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+        sent = items.sparkSession.sparkContext.broadcast((_ids(queries, rows), matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
             ids, asked = sent.value
@@ -110,7 +115,7 @@ def bm25(queries: DataFrame, items: DataFrame, n: int, item: str, k1: float, b:
             for t in r["terms"]:
                 listed[number[t]].append(q)
         counts = np.array([len(x) for x in listed])
-        sent = items.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in rows]), pa.array(terms), np.concatenate([np.array(x, np.int64) for x in listed]), np.cumsum(counts) - counts, counts))
+        sent = items.sparkSession.sparkContext.broadcast((_ids(queries, rows), pa.array(terms), np.concatenate([np.array(x, np.int64) for x in listed]), np.cumsum(counts) - counts, counts))
 
         def postings(batch: pa.RecordBatch, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """Row, term and frequency of asked terms, and the lengths of all rows."""

@@ -85,11 +85,6 @@ def unstable_cases(results: DataFrame) -> DataFrame:
     return results.groupBy("case_id").agg(F.count("*").alias("n_repeats"), F.count_if(passed).alias("n_passed")).filter("n_passed > 0 and n_passed < n_repeats")
 
 
-def legacy_verdict(verdict: Column) -> Column:
-    """Verdicts of the first scorer, in the terms of the second."""
-    return F.when(verdict == "correct", "passed").when(verdict.isin("incorrect", "hallucinated"), "wrong_answer").when(verdict == "refused", "false_refusal").when(verdict == "partial", "incomplete").otherwise(verdict)
-
-
 def is_ranking(rows: DataFrame) -> DataFrame:
     """``chart_id, ranking``: whether a chart has one series of five values or more that only fall or only rise."""
     w = Window.partitionBy("chart_id").orderBy("row_no")

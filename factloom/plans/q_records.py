@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import analyzer as A
 from factloom.operators import events as E
 from factloom.operators import index as X
 from factloom.operators import pages as P
@@ -144,7 +145,7 @@ def tool_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(RUNS + ", k AS (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'refused' END AS kind FROM r) SELECT run_id, coalesce(arg_max(kind, (ts, event_id)) FILTER (WHERE kind IS NOT NULL), 'running') AS status FROM k GROUP BY 1")
 def run_status(spark: SparkSession, folder: str) -> DataFrame:
-    return E.run_status(_runs(spark, folder))
+    return E.run_status(_runs(spark, folder), {"error": "error", "purchase": "completed", "signup": "refused"})
 
 
 @query("SELECT event_id, '{\"event\":\"' || event_type || '\"}' AS details FROM events")
@@ -313,7 +314,7 @@ def named_years(spark: SparkSession, folder: str) -> DataFrame:
     y = F.year("o_orderdate")
     t = F.concat(F.lit("How did orders change between "), y.cast("string"), F.lit(" and "), (y + 3).cast("string"), F.lit(", from "), y.cast("string"), F.lit("?"))
     years = T.named_years(t)
-    return table(spark, folder, "orders").select("o_orderkey", F.array_join(F.transform(years, lambda v: v.cast("string")), "|").alias("years"), T.is_year_change(t).alias("is_change"), F.exists(years, lambda v: v > 2001).alias("beyond"))
+    return table(spark, folder, "orders").select("o_orderkey", F.array_join(F.transform(years, lambda v: v.cast("string")), "|").alias("years"), T.is_year_change(t).alias("is_change"), (F.size(A.beyond(years, F.lit(2001))) > 0).alias("beyond"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (WHERE round_even(CAST(l_extendedprice AS DECIMAL(18,2)), 1) = round_even(CAST(round(l_extendedprice, 1) AS DECIMAL(18,1)), 1)) AS n_compatible FROM lineitem GROUP BY ALL")
