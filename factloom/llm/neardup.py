@@ -13,13 +13,13 @@ document; the chance that two documents draw the same is their weighted Jaccard
 similarity.  Documents that agree on a whole band are candidates.  They are
 verified by the weighted Jaccard similarity of their whole shingle sets;
 components of what passes are the classes.  Pairs that verified ones connect
-anyway need no comparing, so there are three passes.  The first pairs each
-member of a bucket with the smallest and with its neighbours by signature, in
-another order of draws for each band.  The second compares the draws of every
-member outside its bucket's largest component with those of all members of
-other components, in blocks, and verifies the best partner in each block.  The
-third verifies all pairs of a bucket that are still in different components
-and agree in enough draws, so none that could pass is left out.
+anyway need no comparing, so there are two passes.  The first pairs each member
+of a bucket with the smallest and with its neighbours by signature, in another
+order of draws for each band.  The second compares every member outside its
+bucket's largest component with all members of other components, in blocks
+inside of tasks: those that agree in enough draws by their whole sets, each
+pair in the first band that it shares.  Only similar pairs leave a task, and
+none that could pass is left out.
 
 Exact copies are one node each.  A bucket that many documents share is counted
 before the shuffle, split by Spark when it is joined, and dealt by a hash for
@@ -45,9 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.bloom import member_test
+from factloom.llm.bloom import member_test, rows_that_stay
 from factloom.llm.bpe import in_batches, narrow
-from factloom.llm.spans import SpanHasher, mixed
+from factloom.llm.spans import SpanHasher, give_back, mixed
 from factloom.plans.staging import release, staged
 
 #: Words of a shingle; least weighted Jaccard similarity.
@@ -65,6 +65,10 @@ SKETCH_ROWS, SKETCH_BITS = 3, 18
 DRAW_BITS = 16
 #: Members of a bucket that one window sorts, and of a side of a block of comparisons, about.
 SALT_ROWS = 500
+#: Bytes of shingle sets on a side of a block, about.
+BLOCK_BYTES = 4_000_000
+#: Share of all nodes beyond which a bucket is dealt to several tasks, and how many these are at most.
+HOT, MOST_SALTS = 0.001, 1024
 #: Members up to which the first pass has compared all pairs of a bucket.
 ALL_PAIRED = 3
 
@@ -151,6 +155,7 @@ def frequency_levels(table: DataFrame) -> np.ndarray:
                 cells = _cells(np.frombuffer(b"".join(blobs), "<u4"))
                 for k in range(SKETCH_ROWS):
                     counts[k] += np.bincount(cells[k], minlength=width)
+            give_back()
         share = TaskContext.get().partitionId() % shares
         if rows:
             out = [(k * blocks + b, packed(counts[k, b * size : (b + 1) * size])) for k in range(SKETCH_ROWS) for b in range(blocks)]
@@ -225,7 +230,7 @@ class Sampler:
 
     def _values(self, weight: float) -> np.ndarray:
         if weight not in self.tables:
-            if len(self.tables) > 256:
+            if len(self.tables) > 64:
                 self.tables.clear()
             t = np.floor(np.log(weight) / self.r + self.b)
             self.tables[weight] = (self.c - self.r * (t - self.b + 1)).astype(np.float32)
@@ -258,7 +263,7 @@ def _sampler() -> Sampler:
 
 
 def signed(table: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``doc_id, digest, signature, bands`` of texts that have words; ``signature`` has a byte for each draw."""
+    """``doc_id, digest, signature, bands, bytes`` of texts that have words; ``signature`` has a byte for each draw, ``bytes`` tells the size of the set."""
     sent = table.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,85 +283,127 @@ def signed(table: DataFrame, levels: np.ndarray) -> DataFrame:
                 bands = mixed((draws.reshape(len(some), BANDS, ROWS) * by).sum(2) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
                 short = (draws >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in some], pa.int64()), pa.array([digests[k] for k in some], pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "signature", "bands"],
+                    [pa.array([ids[k] for k in some], pa.int64()), pa.array([digests[k] for k in some], pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([len(blobs[k]) for k in some], pa.int64())],
+                    ["doc_id", "digest", "signature", "bands", "bytes"],
                 )
+            give_back()
 
-    return table.mapInArrow(run, "doc_id long, digest binary, signature binary, bands array<long>")
+    return table.mapInArrow(run, "doc_id long, digest binary, signature binary, bands array<long>, bytes long")
 
 
 # --- candidates and classes -------------------------------------------------
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``a < b`` of nodes to verify first, from the bands of ``node, signature, bands``; ``key, node`` of buckets with other pairs."""
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    """Distinct pairs ``a < b`` of nodes to verify first, from the bands of ``nodes``; ``key, band, node, bytes`` of buckets with other pairs.
+
+    A bucket that holds more than ``HOT`` of all nodes is dealt to several
+    tasks, by a salt that its members hash to and that its own row is repeated
+    for.  There are at most ``BANDS / HOT`` such buckets.
+    """
+    keys = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "key"))
     buckets = staged(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    hot_rows = max(SALT_ROWS, HOT * nodes.count())
+    hot = buckets.filter(F.col("n") > hot_rows)
+    hot_keys, most = (lambda r: (r["keys"], r["most"] or 0))(hot.agg(F.collect_set("key").alias("keys"), F.max("n").alias("most")).first())
+    salts = max(1, min(MOST_SALTS, -(-most // SALT_ROWS)))
+    salted = lambda yes, no: F.when(F.col("key").isin(hot_keys), yes).otherwise(no) if hot_keys else no
     # Most keys are of one document alone; a filter keeps them out of the join's shuffle.
     shared = nodes.select("node", "signature", F.posexplode("bands").alias("band", "key")).filter(member_test(buckets, "key")(F.col("key")))
-    met = shared.join(buckets, "key")
+    shared = shared.withColumn("salt", salted(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(salts)).cast("int"), F.lit(0)))
+    spread = buckets.withColumn("salt", F.explode(salted(F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0)))))
+    met = shared.join(spread, ["key", "salt"])
     star = met.select(F.col("least").alias("a"), F.col("node").alias("b"))
     # Neighbours by signature from the draws after the band's own, in parts of some hundred members of a bucket.
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT_ROWS))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / salted(F.lit(salts * SALT_ROWS), F.lit(SALT_ROWS))))
     start = (F.col("band") + 1) * ROWS
     turned = F.concat(F.substring("signature", start + 1, F.lit(DRAWS)), F.substring("signature", F.lit(1), start))
-    window = Window.partitionBy("key", "part").orderBy("turned", "node")
+    window = Window.partitionBy("key", "salt", "part").orderBy("turned", "node")
     near = met.filter("n > 2").withColumn("part", part).withColumn("turned", turned)
     near = near.select("node", *[F.lag("node", k).over(window).alias(f"lag{k}") for k in (1, 2)])
     near = near.select(F.explode(F.array("lag1", "lag2")).alias("x"), "node").filter("x is not null").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     large = staged(buckets.filter(F.col("n") > ALL_PAIRED).select("key"), "large")
-    crowds = keys.filter(member_test(large, "key")(F.col("key"))).join(large, "key").select("key", "node")
-    return star.unionByName(near).filter("a < b").distinct(), staged(crowds, "crowds")
+    crowds = staged(keys.filter(member_test(large, "key")(F.col("key"))).join(large, "key").select("key", "band", "node", "bytes"), "crowds")
+    pairs = staged(star.unionByName(near).filter("a < b").distinct(), "pairs")
+    release(buckets, large)
+    return pairs, crowds
 
 
-def unconnected(crowds: DataFrame, nodes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Distinct pairs ``a < b`` of a bucket's members in different components that agree in enough draws; with ``best``, only each one's best partner in a block."""
+def unconnected(crowds: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``a < b``: similar pairs of a bucket's members in different components, each compared in the first band that it shares.
+
+    Those outside a bucket's largest component meet all members of other
+    components, in blocks of bounded size, each in one task.  What agrees in
+    too few draws is left out; all else is compared by whole sets there, so
+    only similar pairs leave a task.
+    """
     # A node has a label if an edge or a repeated id reaches it.
-    member = crowds.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = member.groupBy("key", "label").agg(F.count("*").alias("size"))
-    heads = sizes.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    heads = staged(heads.select("key", "main", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most")) / SALT_ROWS).cast("int").alias("high")), "open")
-    opened = staged(member.filter(member_test(heads, "key")(F.col("key"))).join(heads, "key"), "opened")
+    member = crowds.join(labels, "node", "left").select("key", "band", "node", "bytes", F.coalesce("label", "node").alias("label"))
+    sizes = member.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    heads = sizes.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.sum("size").alias("n"), F.max("size").alias("most"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / SALT_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    heads = staged(heads.select("key", "main", blocks_of(F.col("n")).alias("wide"), blocks_of(F.col("n") - F.col("most")).alias("high")), "open")
+    opened = staged(member.filter(member_test(heads, "key")(F.col("key"))).join(heads, "key").drop("bytes"), "opened")
     used = staged(opened.select("node").distinct(), "opened-nodes")
-    drawn = nodes.filter(member_test(used, "node")(F.col("node"))).select("node", "signature")
+    needed = member_test(used, "node")
+    drawn = nodes.filter(needed(F.col("node"))).select("node", "digest", "signature", "bands")
+    drawn = staged(drawn.join(sets.filter(needed(F.col("node"))).select("node", "digest", "hashes", "counts").dropDuplicates(["node", "digest"]), ["node", "digest"]).drop("digest"), "drawn")
     rows = opened.join(drawn, "node")
     # Blocks of a bucket: those outside its largest component, by ``i``, against all members, by ``j``.
     hashed = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("label <> main").select("key", hashed(1, "high").alias("i"), every("wide").alias("j"), F.lit(True).alias("out"), "node", "label", "signature")
-    right = rows.select("key", every("high").alias("i"), hashed(2, "wide").alias("j"), F.lit(False).alias("out"), "node", "label", "signature")
-    blocks = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.struct("out", "node", "label", "signature")).alias("members"))
+    fields = ["node", "label", "signature", "bands", "hashes", "counts"]
+    left = rows.filter("label <> main").select("key", "band", hashed(1, "high").alias("i"), every("wide").alias("j"), F.lit(True).alias("out"), *fields)
+    right = rows.select("key", "band", every("high").alias("i"), hashed(2, "wide").alias("j"), F.lit(False).alias("out"), *fields)
+    blocks = left.unionByName(right).groupBy("key", "band", "i", "j").agg(F.collect_list(F.struct("out", *fields)).alias("members"))
+    sent = nodes.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                held = batch.column(0)[k].values
-                out = held.field("out").to_numpy(zero_copy_only=False)
-                node, label = (held.field(n).to_numpy(zero_copy_only=False) for n in ("node", "label"))
-                draws = np.frombuffer(b"".join(held.field("signature").to_pylist()), np.uint8).reshape(-1, DRAWS)
-                x, y = np.flatnonzero(out), np.flatnonzero(~out)
-                for some in np.array_split(x, len(x) // SALT_ROWS + 1):
-                    if not len(some) or not len(y):
-                        continue
-                    same = np.zeros((len(some), len(y)), np.uint8)
-                    for d in range(DRAWS):
-                        same += draws[some, d][:, None] == draws[y, d]
-                    same[label[some][:, None] == label[y]] = 0
-                    if best:
-                        to = same.argmax(1)
-                        enough = same[np.arange(len(some)), to] >= PRUNED * DRAWS
-                        a, b = node[some[enough]], node[y[to[enough]]]
-                    else:
-                        i, j = np.nonzero(same >= PRUNED * DRAWS)
-                        a, b = node[some[i]], node[y[j]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    return blocks.select("members").mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose similarity is at least ``SIMILAR``, first by their draws, then by their whole sets; and all whose sets were compared."""
+                a, b = _similar_in(batch.column(1)[k].values, batch.column(0)[k].as_py(), sent.value)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            give_back()
+
+    return staged(blocks.select("band", "members").mapInArrow(run, "a long, b long").distinct(), "edges")
+
+
+def _similar_in(held: pa.StructArray, band: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of one block, in different components, that share no band before this one."""
+    out = held.field("out").to_numpy(zero_copy_only=False)
+    node, label = (held.field(n).to_numpy(zero_copy_only=False) for n in ("node", "label"))
+    draws = np.frombuffer(b"".join(held.field("signature").to_pylist()), np.uint8).reshape(-1, DRAWS)
+    bands = held.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+    x, y = np.flatnonzero(out), np.flatnonzero(~out)
+    if not len(x) or not len(y):
+        return node[:0], node[:0]
+    sets = [np.frombuffer(h, "<u4") for h in held.field("hashes").to_pylist()]
+    weights = [_weights(levels, s, c) for s, c in zip(sets, held.field("counts").to_pylist(), strict=True)]
+    whole = np.array([w.sum() for w in weights])
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(number, np.cumsum([len(s) for s in sets])[:-1])
+    own, found = np.zeros(len(names)), ([], [])
+    for i in x.tolist():
+        near = y[((draws[i] == draws[y]).sum(1) >= PRUNED * DRAWS) & (label[y] != label[i])]
+        if len(near):
+            shared = bands[near] == bands[i]
+            near = near[shared[:, band] & (shared.argmax(1) == band)]
+        if not len(near):
+            continue
+        own[places[i]] = weights[i]
+        counts = np.array([len(sets[j]) for j in near])
+        least = np.minimum(own[np.concatenate([places[j] for j in near])], np.concatenate([weights[j] for j in near]))
+        both = np.add.reduceat(least, np.cumsum(counts) - counts)
+        own[places[i]] = 0
+        like = near[both >= SIMILAR * (whole[i] + whole[near] - both) - 1e-12]
+        found[0].extend([node[i]] * len(like))
+        found[1].extend(node[like].tolist())
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.ndarray) -> DataFrame:
+    """The pairs whose similarity is at least ``SIMILAR``, first by their draws, then by their whole sets."""
     sent = table.sparkSession.sparkContext.broadcast(levels)
     side = lambda t, name, cols: t.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
 
@@ -377,6 +424,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.nd
             columns = {n: batch.column(n) for n in batch.schema.names}
             keep = [similarity(sent.value, *(columns[c][k].as_py() for c in ("a_hashes", "a_counts", "b_hashes", "b_counts"))) >= SIMILAR for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([columns[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+            del columns, batch
+            give_back()
 
     # Only sets that some pair needs are shuffled, and the few that the filter mistakes for them.
     used = staged(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
@@ -384,8 +433,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, levels: np.nd
     sets = staged(sets.join(used, "node", "left_semi"), "sets")
     joined = likely.join(side(sets, "a", ["hashes", "counts"]), "a").join(side(sets, "b", ["hashes", "counts"]), "b")
     edges = staged(joined.mapInArrow(run, "a long, b long"), "edges")
-    release(sets)
-    return edges, likely
+    release(sets, used, likely)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -406,6 +455,7 @@ def components(edges: DataFrame) -> DataFrame:
         release(next_, labels)
         labels = jumped
         if not changed:
+            release(both)
             return labels.select("node", "label")
 
 
@@ -416,7 +466,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sign = staged(signed(table.filter("doc_id is not null"), levels), "signatures")
     exact = staged(table.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "copies")
     # One node for each distinct text: rows of the copy with the smallest id.
-    nodes = sign.join(exact, "digest").filter("doc_id = node").select("node", "signature", "bands").dropDuplicates(["node", "signature"])
+    nodes = sign.join(exact, "digest").filter("doc_id = node").select("node", "digest", "signature", "bands", "bytes").dropDuplicates(["node", "digest"])
     nodes = staged(nodes, "nodes")
     release(sign)
     named = table.filter("doc_id is not null")
@@ -427,23 +477,21 @@ def classes(docs: DataFrame) -> DataFrame:
     edges = staged(linked.join(several, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "repeats")
     sets = named.withColumnRenamed("doc_id", "node")
     pairs, crowds = candidates(nodes)
-    near, tried = verified(pairs, nodes, sets, levels)
-    edges = edges.unionByName(near)
+    edges = edges.unionByName(verified(pairs, nodes, sets, levels))
     labels = components(edges)
-    for best in (True, False):
-        more = staged(unconnected(crowds, nodes, labels, best).join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            continue
-        near, likely = verified(more, nodes, sets, levels)
-        tried, edges = tried.unionByName(likely), edges.unionByName(near)
-        if not near.isEmpty():
-            labels = components(edges)
+    more = unconnected(crowds, nodes, labels, sets, levels)
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
+    release(pairs, crowds, nodes, exact)
     placed = linked.join(labels, linked.node == labels.node, "left").select("doc_id", F.coalesce("label", linked.node).alias("class_id"))
     lone = table.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return placed.unionByName(lone).select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all columns of ``docs``."""
-    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` with the smallest id of their class, with all columns, and rows without an id.
+
+    Rows that repeat an id which stays all stay: they are one document here.
+    """
+    found = staged(classes(docs), "classes")
+    return rows_that_stay(docs, found.select("doc_id", F.col("kept").alias("stays")))
