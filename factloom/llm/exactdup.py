@@ -5,8 +5,11 @@ Texts are equal when they are identical after each run of white space
 Bloom filter that remembers which slots were hit once and which more often.
 Pass two keeps the rows all of whose slots were hit more often: only these may
 repeat, and only these are shuffled, as 32-byte hashes.  All other rows pass
-straight through.  The filter has at most ``MOST_BITS`` slots.  In a larger
-corpus more rows are shuffled needlessly, but the result stays exact.
+straight through.  The filter has ``BITS_PER_ROW`` slots for each row and at most
+``MOST_BITS``, a documented parameter: a filter goes to every executor, two
+bytes a row each, so with more than some twenty executors a larger one moves
+more than shuffling 40 bytes a row does.  Beyond that size more rows are
+shuffled needlessly (as hashes, never as texts), and the result stays exact.
 
 Rows: a null text counts as empty.  Of equal texts the smallest ``doc_id``
 stays, where a null id is the largest; of rows that repeat text and id, one
@@ -22,10 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.staging import staged
+from factloom.llm.bloom import free_names, member_test
+from factloom.plans.staging import release, staged
 
 #: Slots of the filter for each row, and their bounds.
 BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
@@ -37,7 +41,7 @@ BLOCK = 1 << 20
 SHARES = 16
 
 
-def normalised(text: F.Column) -> F.Column:
+def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[ \t-\r]+", " ")
 
 
@@ -113,7 +117,7 @@ def repeated_slots(hashed: DataFrame, rows: int) -> tuple[int, dict[int, bytes]]
     return bits, found
 
 
-def maybe_repeated(hashed: DataFrame) -> Callable[[F.Column], F.Column]:
+def maybe_repeated(hashed: DataFrame) -> Callable[[Column], Column]:
     """Both passes over a written table with a ``digest``: a test whether a digest may repeat there."""
     bits, blocks = repeated_slots(hashed, hashed.count())
     size = min(BLOCK, bits)
@@ -166,20 +170,35 @@ def groups(docs: DataFrame) -> DataFrame:
     return alone.unionByName(judged)
 
 
+def _named(doc_id: Column) -> Column:
+    """A ``doc_id`` as a string that is never null."""
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that the filter clears are never shuffled; of the others only those
-    that stay are, if ids repeat.
+    What stays is decided on the staged hashes.  Texts are hashed once more only
+    where an id alone does not tell: a filter of the ids with a row to drop lets
+    all other rows pass straight through, a second filter of the ids that the
+    first one takes in although some row of theirs stays finds the few rows that
+    are shuffled, by id and hash.  Dropped rows are never shuffled, however many
+    copies a text has.  Columns of any name are kept; added ones get free names.
     """
-    digest, maybe, keep, size = "__digest", "__maybe", "__keep", "__size"
-    keyed = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    hashed = staged(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(digest).alias("digest")), "hashes")
-    test = maybe_repeated(hashed)
-    marked = keyed.withColumn(maybe, test(digest))
-    some = staged(hashed.filter(test("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("rows")), "maybe")
-    repeated = _grouped(some).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    winners = marked.filter(maybe).join(repeated, digest, "left").filter(F.col(size).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(keep)))
-    one = winners.filter(F.col(size).isNotNull()).dropDuplicates([digest])
-    straight = marked.filter(~F.col(maybe)).select(docs.columns)
-    return straight.unionByName(winners.filter(F.col(size).isNull()).select(docs.columns)).unionByName(one.select(docs.columns))
+    hashed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "hashes")
+    some = staged(hashed.filter(maybe_repeated(hashed)("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("rows")), "maybe")
+    repeats = _grouped(some)
+    judged = some.join(repeats, "digest").select("digest", "doc_id", "rows", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    # A row that stays beside an equal row of its id is met again below.
+    judged = staged(judged.filter("not stays or rows > 1").select("digest", _named(F.col("doc_id")).alias("named"), "stays"), "judged")
+    some_go = member_test(judged, "named")
+    met = hashed.select("digest", _named(F.col("doc_id")).alias("named")).filter(some_go(F.col("named"))).distinct()
+    stay = staged(met.join(judged.filter("not stays"), ["digest", "named"], "left_anti"), "stay")
+    some_stay = member_test(stay, "named")
+    release(some, repeats)
+    digest, named = free_names(docs, "digest", "named")
+    keyed = docs.withColumn(named, _named(F.col("doc_id")))
+    straight = keyed.filter(~some_go(F.col(named))).select(docs.columns)
+    again = keyed.filter(some_go(F.col(named)) & some_stay(F.col(named))).withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    again = again.join(stay.select(F.col("digest").alias(digest), F.col("named").alias(named)), [digest, named], "left_semi").dropDuplicates([digest, named])
+    return straight.unionByName(again.select(docs.columns))
