@@ -8,8 +8,9 @@ windows overlap, and removed.  Every removed line is thus still at an earlier
 place, as it belongs to an earlier occurrence.
 
 Only hashes are grouped and joined; a window that a third of all documents
-share is counted before the shuffle and split when joined.  Texts are shuffled
-once, to meet the places to remove.
+share is counted before the shuffle and split when joined.  Only texts with
+something to remove are shuffled, to meet the places.  Repeated passages of one
+or two lines form no window and stay, as do texts under three lines.
 
 Rows: a null text counts as empty; texts under three lines stay whole.  Rows
 that repeat a ``doc_id`` with another text are ordered by a hash of the text;
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.bloom import free_names, member_test
 from factloom.plans.staging import staged
 
 #: Seed that makes the second half of a window's hash differ from the first.
@@ -56,18 +58,33 @@ def places_to_remove(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text shortened, and ``n_lines`` and ``n_removed`` in place of any such columns."""
+    """``docs`` with its text shortened, and ``n_lines`` and ``n_removed`` in place of any such columns.
+
+    A filter of the texts with something to remove lets all others pass
+    straight through; only those that it takes in are shuffled.  Other columns
+    keep whatever names they have.
+    """
     docs = docs.drop("n_lines", "n_removed")
-    remove = places_to_remove(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("places").alias("__places"))
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(remove, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    lines = _lines(F.col("text"))
-    covered = F.array_distinct(F.flatten(F.transform("__places", lambda p: F.array(p, p + 1, p + 2))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    cut = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("__stay", F.when(F.col("__places").isNotNull(), stay)).withColumn("__lines", F.when(F.col("__places").isNotNull(), lines))
-    text = F.when(F.col("__stay").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n"))
-    removed = F.when(F.col("__stay").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__stay")).cast("long")
-    return cut.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "n_lines", removed.alias("n_removed"))
+    places = staged(places_to_remove(docs), "places")
+    some = member_test(places, "text_key")
+    key, found = free_names(docs, "text_key", "found")
+    text, lines = F.coalesce(F.col("text").cast("string"), F.lit("")), _lines(F.col("text"))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    n_lines = F.size(lines).cast("long").alias("n_lines")
+    shown = lambda new: [new.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    straight = keyed.filter(~some(F.col(key))).select(*shown(text), n_lines, F.lit(0).cast("long").alias("n_removed"))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(p, p + 1, p + 2))))
+    remove = places.select(F.struct("doc_id", "text_key", covered.alias("covered")).alias(found))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(found)["doc_id"]) & (F.col(key) == F.col(found)["text_key"])
+    met = keyed.filter(some(F.col(key))).join(remove, same, "left")
+    # The numbers of the lines that stay, and so the lines themselves, by one pass over each list.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(F.col(found)["covered"], F.array().cast("array<int>")))
+    (both,) = free_names(met, "both")
+    cut = met.withColumn(both, F.struct(stay.alias("stay"), lines.alias("lines")))
+    left = F.array_join(F.transform(F.col(both)["stay"], lambda i: F.get(F.col(both)["lines"], i)), "\n")
+    removed = (F.size(F.col(both)["lines"]) - F.size(F.col(both)["stay"])).cast("long")
+    cut = cut.select(*shown(left), n_lines, removed.alias("n_removed"))
+    return straight.unionByName(cut)
 
 
 def digests(docs: DataFrame) -> DataFrame:
