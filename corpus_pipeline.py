@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import exactdup, langid, neardup, packing, pii
+from factloom.llm.settings import small_batches
 from factloom.plans.staging import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in some language; those without a letter go."""
+    """Documents whose language can be told, under that language; others, and those without a letter, go."""
+    small_batches(spark)
     return langid.identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of equal texts the row with the smallest ``doc_id``."""
+    small_batches(spark)
     return exactdup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each class of near copies."""
+    small_batches(spark)
     return neardup.without_near_copies(docs)
 
 
@@ -34,6 +38,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of documents with their place in a sequence of 1024 tokens."""
+    small_batches(spark)
     return packing.pack_digests(docs)
 
 

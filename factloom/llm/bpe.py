@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spans import SpanHasher
+from factloom.llm.spans import SpanHasher, give_back
 
 ENDLESS = np.int64(1) << 40
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Longest word that is remembered, in bytes.
 LONG = 64
 #: Characters that are encoded together.
@@ -456,14 +456,8 @@ def in_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterat
                 ids, texts, chars = [], [], 0
         if ids:
             yield ids, texts
-
-
-def in_small_batches(docs: DataFrame) -> DataFrame:
-    """Let texts go to Python workers a thousand at a time, unless the session has set how many."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":  # Spark's default: long texts by the ten thousand fill a worker
-        conf.set(name, "1000")
-    return docs
+        del ids, texts, batch
+        give_back()
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -501,4 +495,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

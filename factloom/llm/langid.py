@@ -10,13 +10,15 @@ close.
 
 Training rows are a documented, bounded sample: of each language about
 ``SAMPLE`` rows with the lowest hashes of ``doc_id``, taken whole, among the
-rows whose language is known and that are not held out.  Only the text is an
-input of a prediction.
+rows whose language is known and that are not held out.  With many languages
+each has fewer, so that they are about ``TRAINED`` in all, but never under
+``FEWEST``.  Only the text is an input of a prediction.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; so is any
 text if there is nothing to learn from.  A null ``doc_id`` counts as an empty
 one for the hold-out.  Repeated rows are predicted alike.  Columns of the
-input are kept by :func:`with_language`.
+input are kept by :func:`with_language` and, but for ``lang``, by
+:func:`identified`.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.bpe import BATCH_CHARS, in_small_batches
-from factloom.llm.spans import mixed
+from factloom.llm.bloom import free_names
+from factloom.llm.bpe import BATCH_CHARS
+from factloom.llm.spans import give_back, mixed
 
 #: Hashed n-grams; training rows of a language; steps of the training.
 FEATURES, SAMPLE, STEPS = 4096, 800, 120
+#: Training rows in all, about (a dense row takes 16 kB of the driver), and the fewest of a language.
+TRAINED, FEWEST = 8000, 20
 #: Texts that are counted together.
 TEXTS = 200
 #: Under this score a prediction is ambiguous.
@@ -126,21 +131,22 @@ def decode(margins: np.ndarray, code: np.ndarray, reliable: np.ndarray) -> tuple
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Train on a bounded sample of ``docs``: at most about ``sample`` rows of each language."""
-    known = in_small_batches(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return {"languages": []}
     parts = 1 << 24
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(parts))
+    sample = max(FEWEST, min(sample, TRAINED // len(languages)))
     limit = F.create_map(*[F.lit(v) for lang in languages for v in (lang, int(parts * min(1.0, sample / counts[lang])))])
     number = {lang: k for k, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                x, lettered = profiles(texts[at : at + TEXTS])
+            for at, until in _parts(texts):
+                x, lettered = profiles(texts[at:until])
                 rows = []
                 for k in np.flatnonzero(lettered).tolist():
                     on = np.flatnonzero(x[k])
@@ -162,13 +168,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return {"languages": languages, "code": code, "w": w, "b": b, "reliable": reliable}
 
 
-def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    names, scores, at = [], [], 0
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are counted together: few enough, and not too long."""
+    at = 0
     while at < len(texts):
         until, chars = at, 0
         while until < len(texts) and until - at < TEXTS and chars < BATCH_CHARS:
             chars += len(texts[until] or "")
             until += 1
+        yield at, until
+        at = until
+
+
+def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    names, scores = [], []
+    for at, until in _parts(texts):
         x, lettered = profiles(texts[at:until])
         if model["languages"]:
             best, score = decode(x @ model["w"] + model["b"], model["code"], model["reliable"])
@@ -176,7 +190,6 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray
             best, score, lettered = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x), bool)
         names += [model["languages"][k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
         scores.append(np.where(lettered, score, 0.0))
-        at = until
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
@@ -187,15 +200,17 @@ def language_of(model: dict, spark_context) -> object:  # noqa: ANN001
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def identify(texts: pd.Series) -> pd.DataFrame:
         names, scores = predict(sent.value, [t if isinstance(t, str) else None for t in texts])
+        give_back()
         return pd.DataFrame({"lang_pred": names, "score": scores.astype(float), "ambiguous": scores < AMBIGUOUS})
 
-    return identify
+    # It always tells the same; this keeps filters on the struct from computing it a second time.
+    return identify.asNondeterministic()
 
 
 def with_language(docs: DataFrame, model: dict | None = None, into: str = "identified") -> DataFrame:
     """``docs`` with a struct ``into`` of ``lang_pred, score, ambiguous``, in place of any such column."""
     identify = language_of(model or fit(docs), docs.sparkSession.sparkContext)
-    return in_small_batches(docs).withColumn(into, identify(F.col("text").cast("string")))
+    return docs.withColumn(into, identify(F.col("text").cast("string")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -205,6 +220,16 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a language: those without letters are rejected."""
-    named = with_language(docs, into="__identified")
-    return named.filter(F.col("__identified.lang_pred") != "und").select(docs.columns)
+    """The rows of ``docs`` with a language, which ``lang`` then tells; other columns stay.
+
+    Rejected are texts without letters and those whose nearest codewords are
+    hard to tell apart (``ambiguous``).  Rows whose language was not known get
+    one, rows under a wrong one get another.  If no row can teach a language
+    there is no verdict: texts with letters keep what they have.
+    """
+    model = fit(docs)
+    if not model["languages"]:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    (into,) = free_names(docs, "identified")
+    told = with_language(docs, model, into).filter((F.col(into)["lang_pred"] != "und") & ~F.col(into)["ambiguous"])
+    return told.select(*[F.col(into)["lang_pred"].alias(c) if c == "lang" else F.col(c) for c in docs.columns])
