@@ -21,6 +21,20 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def prefixes(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each value what those before it merge to, by blocks of about the root of their number."""
+
+    def some(vs: Column) -> Column:
+        block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(vs))).cast("int"))
+        part = lambda j: F.floor(j / block).cast("int")
+        totals = F.transform(F.sequence(F.lit(0), part(F.size(vs) - 1)), lambda j: F.aggregate(F.slice(vs, j * block + 1, block), zero, merge))
+        before = let(totals, lambda t: F.transform(t, lambda _, j: F.aggregate(F.slice(t, F.lit(1), j), zero, merge)))
+        filled = lambda ts: F.transform(vs, lambda _, i: F.aggregate(F.slice(vs, part(i) * block + 1, i - part(i) * block), F.get(ts, part(i)), merge))
+        return F.when(F.size(vs) > 0, let(before, filled)).otherwise(vs)
+
+    return let(values, some)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost, non-overlapping matches: ``start, end`` in code points from 0, end exclusive, the text, and its surroundings.
 
