@@ -30,7 +30,7 @@ def prioritised(items: DataFrame) -> DataFrame:
 
 
 def packed(items: DataFrame, max_chars: int = MAX_CHARS, max_chunks: int = MAX_CHUNKS, reserve_targets: bool = False) -> DataFrame:
-    """``query_id, item_id, kept``: what fits, taken in rounds of one item for each document.
+    """``query_id, item_id, kept, reason``: what fits, taken in rounds of one item for each document; and why the rest is left out.
 
     An item that does not fit loses its turn; a round that adds nothing ends
     it.  With ``reserve_targets`` the best item of each ``target`` is taken
@@ -59,7 +59,19 @@ def packed(items: DataFrame, max_chars: int = MAX_CHARS, max_chunks: int = MAX_C
         )
 
     done = lists.select("query_id", "items", F.aggregate("items", start, step, lambda s: s["kept"]).alias("kept"))
-    return done.select("query_id", F.explode("items").alias("i"), "kept").select("query_id", F.col("i.item_id").alias("item_id"), F.array_contains("kept", F.col("i.item_id").cast("bigint")).alias("kept"))
+    kept = F.array_contains("kept", F.col("i.item_id").cast("bigint"))
+    return done.select("query_id", F.explode("items").alias("i"), "kept").select("query_id", F.col("i.item_id").alias("item_id"), kept.alias("kept"), F.when(~kept, "budget_or_chunk_limit").alias("reason"))
+
+
+def unfit_targets(items: DataFrame, targets: DataFrame, max_chars: int = MAX_CHARS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """``query_id, reason`` of requests whose required targets can't all be reserved: more of them than chunks, or best items beyond the budget.
+
+    A target without any item is skipped.
+    """
+    places = prioritised(items).join(targets.select("query_id", "target"), ["query_id", "target"])
+    best = places.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "target").orderBy("place"))).filter("nth = 1")
+    sums = targets.groupBy("query_id").agg(F.count("*").alias("n")).join(best.groupBy("query_id").agg(F.sum(F.length("text")).alias("chars")), "query_id", "left")
+    return sums.select("query_id", F.when(F.col("n") > max_chunks, "TOO_MANY_TARGETS").when(F.col("chars") > max_chars, "TARGET_DOES_NOT_FIT").alias("reason")).filter("reason is not null")
 
 
 def gate(assessments: DataFrame) -> DataFrame:

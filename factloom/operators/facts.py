@@ -110,6 +110,15 @@ def year_cells(scopes: DataFrame, facts: DataFrame, default_population: str = "p
     return out.withColumn("turn", F.row_number().over(Window.partitionBy("spec_id").orderBy(F.desc("year"))))
 
 
+def live_cells(cells: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Selected cells whose line still stands in their chunk; others are refused as stale, with their value taken out."""
+    lines = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"), F.lit(True).alias("stands"))
+    met = cells.join(lines, ["chunk_id", "line"], "left")
+    stale = F.col("reason").isNull() & F.col("stands").isNull()
+    out = met.withColumn("reason", F.when(stale, "TABLE_STORE_MISSING_OR_STALE").otherwise(F.col("reason")))
+    return out.withColumn("value", F.when(F.col("reason").isNull(), F.col("value"))).select(cells.columns)
+
+
 def difference(left: Column, right: Column) -> Column:
     """Left minus right, half to even at ten places."""
     return F.bround(left.cast("decimal(38,10)") - right.cast("decimal(38,10)"), 10)

@@ -69,8 +69,21 @@ def alignment(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return met.select("document_id", "block_no", F.coalesce("only", F.when(clear, F.col("page_number"))).alias("page_number"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def mapped_pages(documents: DataFrame, supplied: DataFrame, fallback: DataFrame, decisions: DataFrame, transcriptions: DataFrame) -> DataFrame:
-    """Every page of every document with its text and status: transcription, then decision, then supplied text, then fallback, else failed."""
+def review_errors(documents: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``document_id, reason`` of documents with reviews (decisions or transcriptions) of another version of the file, or two of one page."""
+    met = reviews.join(documents.select("document_id", F.col("source_checksum").alias("now")), "document_id")
+    pages = met.groupBy("document_id", "page_number").agg(F.count("*").alias("n"), F.count_if(~F.col("source_checksum").eqNullSafe(F.col("now"))).alias("old"))
+    sums = pages.groupBy("document_id").agg(F.max("n").alias("n"), F.sum("old").alias("old"))
+    return sums.select("document_id", F.when(F.col("old") > 0, "CHECKSUM_MISMATCH").when(F.col("n") > 1, "DUPLICATE_PAGE").alias("reason")).filter("reason is not null")
+
+
+def mapped_pages(documents: DataFrame, supplied: DataFrame, fallback: DataFrame, decisions: DataFrame, transcriptions: DataFrame, overridden: DataFrame | None = None) -> DataFrame:
+    """Every page of every document with its text and status: transcription, then decision, then supplied text, then fallback, else failed.
+
+    All supplied text of ``overridden`` documents is discarded, as a reviewer asked.
+    """
+    if overridden is not None:
+        supplied = supplied.join(overridden.select("document_id"), "document_id", "left_anti")
     spine = documents.select("document_id", "source_checksum", F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_number"))
     key = ["document_id", "page_number"]
     bound = lambda df, *cols: df.select(*key, F.col("source_checksum").alias("__sum"), *cols)

@@ -154,6 +154,17 @@ def evaluate(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     return by_case.agg(F.count("*").alias("n_cases"), rate("at5").alias("recall_at_5"), rate("at10").alias("recall_at_10"), F.round(F.avg(F.coalesce(1 / (F.col("first") + 1), F.lit(0.0))), 6).alias("mrr"))
 
 
+def filter_accuracy(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: the share of filtered cases all of whose results keep the filter, and of all results that can be cited; 1 if there is none.
+
+    ``cases``: ``case_id, regions`` (null: no filter); ``found``: ``case_id, region, text, citation_snippet``.
+    """
+    met = found.join(cases, "case_id")
+    by_case = met.groupBy("case_id").agg(F.bool_and(F.col("regions").isNull() | F.array_contains("regions", F.col("region"))).alias("kept"), F.first(F.col("regions").isNotNull()).alias("filtered"), F.count("*").alias("n"), F.count_if(F.coalesce(F.contains("text", "citation_snippet"), F.lit(False))).alias("cited"))
+    share = lambda part, whole: F.when(whole == 0, F.lit(1.0)).otherwise(F.round(part / whole, 6))
+    return by_case.agg(share(F.count_if(F.col("kept") & F.col("filtered")), F.count_if("filtered")).alias("filter_accuracy"), share(F.coalesce(F.sum("cited"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).alias("citation_accuracy"))
+
+
 def gate(metrics: DataFrame, recall5: float = 0.7, recall10: float = 0.9, mrr: float = 0.6) -> DataFrame:
     """Whether metrics hold the floors."""
     failed = F.array_compact(F.array(F.when(F.col("recall_at_5") < recall5, "recall_at_5"), F.when(F.col("recall_at_10") < recall10, "recall_at_10"), F.when(F.col("mrr") < mrr, "mrr")))

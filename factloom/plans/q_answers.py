@@ -181,13 +181,30 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(items.select("chunk_id", "text", "region"), "chunk_id").select("query_id", F.col("chunk_id").alias("item_id"), F.col("region").alias("document_id"), "region", "text", "score", F.when(F.col("region").isin("src1", "src2"), F.col("region")).alias("target"))
 
 
-@query()
+def packed_sql(reserve: bool) -> str:
+    """The same fold as a recursion over the items of each query."""
+    turn = "row_number() OVER (PARTITION BY query_id, document_id ORDER BY place)"
+    rnd = f"CASE WHEN document_id IN ('src1', 'src2') AND {turn} = 1 THEN 0 ELSE {turn} END" if reserve else turn
+    return bm25_sql().replace("WITH items", "WITH RECURSIVE items", 1) + rf"""
+    , it AS (SELECT query_id, chunk_id, source AS document_id, length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY query_id ORDER BY (regexp_matches(text, '[0-9]') AND NOT regexp_matches(lower(text), '(?:map|graph|figure|contents)'))::INT DESC, score DESC, chunk_id) AS place FROM bm JOIN documents ON doc_id = chunk_id),
+    r AS (SELECT *, {rnd} AS rnd, min(place) OVER (PARTITION BY query_id, document_id) AS first FROM it),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rnd, first, place) AS k FROM r),
+    st AS (
+        SELECT DISTINCT query_id, 0::BIGINT AS k, 0::BIGINT AS chars, 0 AS n, 0::BIGINT AS rnd, TRUE AS added, FALSE AS ended, NULL::BIGINT AS item, FALSE AS kept FROM o
+        UNION ALL SELECT query_id, k, chars + fits * c, n + fits, rnd, CASE WHEN fresh THEN fits = 1 ELSE added OR fits = 1 END, ended, item, fits = 1
+        FROM (SELECT *, CASE WHEN NOT ended AND chars + c <= 12000 AND n < 12 THEN 1 ELSE 0 END AS fits
+            FROM (SELECT s.query_id, o.k, s.chars, s.n, o.rnd, o.rnd <> s.rnd AS fresh, s.added, s.ended OR (o.rnd <> s.rnd AND NOT s.added) AS ended, o.chunk_id AS item, o.chars AS c FROM st s JOIN o ON o.query_id = s.query_id AND o.k = s.k + 1)))
+    SELECT query_id, item AS item_id, kept, CASE WHEN NOT kept THEN 'budget_or_chunk_limit' END AS reason FROM st WHERE k > 0
+    """
+
+
+@query(packed_sql(False))
 def bound_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """What is found for each passage, packed in rounds over sources."""
     return V.packed(_evidence(spark, folder))
 
 
-@query()
+@query(packed_sql(True))
 def pack_targets(spark: SparkSession, folder: str) -> DataFrame:
     """The same, with the best item of each required source reserved."""
     return V.packed(_evidence(spark, folder), reserve_targets=True)

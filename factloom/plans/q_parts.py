@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,18 @@ from factloom.functions import text as T
 from factloom.operators import analyzer as A
 from factloom.operators import events as E
 from factloom.operators import evidence as V
+from factloom.operators import facts as N
+from factloom.operators import index as X
 from factloom.operators import pages as P
 from factloom.operators import quotes as Q
 from factloom.operators import retrieval as R
 from factloom.plans.corpus import corpus
 from factloom.plans.q_audit import LINES, lines
-from factloom.plans.q_facts import REPORTS
+from factloom.plans.q_facts import CELLS, REPORTS, _scopes
+from factloom.plans.q_retrieval import TOP, _asked, _items, bm25_sql
 from factloom.plans.registry import query, table
-from factloom.sources import artifacts
+from factloom.plans.staging import shared_folder
+from factloom.sources import artifacts, stores
 
 
 @query(
@@ -132,3 +138,104 @@ def trace_allowed(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     details = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), F.col("props"), F.lit("user_token"), F.col("event_type"))
     return e.select("event_id", F.to_json(E.allowed_details(details, ("kind", "user_token"))).alias("details"))
+
+
+@query(
+    """
+    WITH p AS (SELECT doc_id, doc_id % 6 AS k FROM documents WHERE length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 0)
+    SELECT doc_id AS chunk_id, CASE k WHEN 1 THEN 'bad_page' WHEN 2 THEN 'bad_checksum' WHEN 3 THEN 'unsafe_status' WHEN 4 THEN 'snippet_not_in_text' ELSE 'unverified_ocr' END AS errors FROM p WHERE k > 0 ORDER BY doc_id LIMIT 25
+    """
+)
+def audit_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as points with one field spoilt in turns: the first 25 that an audit lists."""
+    return X.audit_errors(_spoilt(spark, folder)).select("chunk_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    """
+    WITH p AS (SELECT doc_id, doc_id % 6 AS k, source FROM documents WHERE length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 0)
+    SELECT count(*) + count(*) FILTER (WHERE doc_id % 50 = 0) AS n_points, sum((k = 1)::INT + (k = 1 AND doc_id % 50 = 0)::INT)::BIGINT AS bad_page, sum((k = 2)::INT + (k = 2 AND doc_id % 50 = 0)::INT)::BIGINT AS bad_checksum, sum((k = 4)::INT + (k = 4 AND doc_id % 50 = 0)::INT)::BIGINT AS snippet_not_in_text,
+        count(*) FILTER (WHERE doc_id % 50 = 0) AS repeated_ids, sum((source = 'src1' AND k <> 1)::INT + (source = 'src1' AND k <> 1 AND doc_id % 50 = 0)::INT)::BIGINT AS excluded_page FROM p
+    """
+)
+def index_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules over documents as points: some spoilt, some there twice, the pages of one source excluded."""
+    points = _spoilt(spark, folder)
+    twice = points.unionByName(points.filter("chunk_id % 50 = 0"))
+    excluded = points.select("document_id").distinct().filter("document_id = 'src1'").select("document_id", F.lit(1).alias("page_number"))
+    return X.audit(twice, 0, excluded).select("n_points", "bad_page", "bad_checksum", "snippet_not_in_text", "repeated_ids", "excluded_page")
+
+
+def _spoilt(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").filter(F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0)
+    k = F.col("doc_id") % 6
+    return d.select(
+        F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"), F.lit("Title").alias("document_title"), F.col("source").alias("region"), F.when(k == 1, 0).otherwise(1).alias("page_number"), F.array().cast("array<string>").alias("section_path"), F.lit(0).alias("chunk_index"),
+        F.when(k == 4, "0xFFFF not there").otherwise(F.left("text", F.lit(30))).alias("citation_snippet"), F.when(k == 5, "unverified_ocr").otherwise("provided_markdown").alias("extraction_method"), F.when(k == 2, "abc").otherwise(F.sha2("text", 256)).alias("source_checksum"), F.when(k == 3, "excluded_blank").otherwise("indexed_markdown").alias("coverage_status"),
+    ).filter(F.trim("citation_snippet") != "")
+
+
+@query("WITH p AS (SELECT doc_id, source FROM documents WHERE source <> 'src3' AND doc_id % 5 <> 0) SELECT s AS document_id, (SELECT count(*) FROM p WHERE source = s) AS n_points FROM (SELECT DISTINCT source AS s FROM documents)")
+def index_deletions(spark: SparkSession, folder: str) -> DataFrame:
+    """An index without a document and without some points: how many each document has left."""
+    p = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
+    left = X.without(p, p.filter("document_id = 'src3'"), p.filter("chunk_id % 5 = 0"))
+    return X.document_counts(left, p.select("document_id").distinct())
+
+
+@query("SELECT o_orderkey AS document_id, CASE o_custkey % 4 WHEN 0 THEN 'CHECKSUM_MISMATCH' WHEN 1 THEN 'DUPLICATE_PAGE' END AS reason FROM orders WHERE o_custkey % 4 < 2")
+def review_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews that can't stand: of another version of a file, or two of one page."""
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 4).alias("k"), F.md5(F.col("o_orderkey").cast("string")).alias("source_checksum"))
+    pages = F.explode(F.when(F.col("k") == 1, F.array(F.lit(1), F.lit(2), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2))))
+    reviews = o.select("document_id", pages.alias("page_number"), F.when(F.col("k") == 0, F.upper("source_checksum")).otherwise(F.col("source_checksum")).alias("source_checksum"))
+    return P.review_errors(o, reviews)
+
+
+@query(
+    bm25_sql()
+    + """
+    , f AS (SELECT query_id, query_id % 2 = 0 AS filtered, source, coalesce(text, '') AS text FROM bm JOIN documents ON doc_id = chunk_id WHERE rank < 5),
+    c AS (SELECT query_id, bool_and(NOT filtered OR source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9')) AS kept, bool_or(filtered) AS filtered FROM f GROUP BY 1)
+    SELECT round(count(*) FILTER (WHERE kept AND filtered) / count(*) FILTER (WHERE filtered), 6) AS filter_accuracy, (SELECT round(count(*) FILTER (WHERE length(text) % 3 <> 0) / count(*), 6) FROM f) AS citation_accuracy FROM c
+    """
+)
+def retrieval_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """How many filtered cases an unfiltered search gets right, and how many results can be cited (a third have a spoilt snippet)."""
+    items = _items(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    found = R.bm25_leg(_asked(spark, folder), items, R.leg_size(TOP)).filter(F.col("rank") < TOP).join(items, "chunk_id")
+    regions = F.array(*[F.lit(f"src{k}") for k in range(10)])
+    cases = _asked(spark, folder).select(F.col("query_id").alias("case_id"), F.when(F.col("query_id") % 2 == 0, regions).alias("regions"))
+    snippet = F.when(F.length("text") % 3 == 0, "0xFFFF not there").otherwise(F.left("text", F.lit(40)))
+    return R.filter_accuracy(cases, found.withColumnRenamed("query_id", "case_id").withColumn("citation_snippet", snippet))
+
+
+@query("WITH r AS (SELECT user_id || '-' || event_type AS run_id, count(*) AS n FROM events GROUP BY 1) SELECT run_id, CASE WHEN n = 1 THEN 'trace of ' || run_id END AS trace, n % 2 = 0 AS positive FROM r UNION ALL SELECT 'nobody', NULL, NULL")
+def trace_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces written by session and read by run: only an unmistakable one is given; and the last rating of each."""
+    at = f"{shared_folder(spark)}/staged/traces-{uuid.uuid4().hex}"
+    e = table(spark, folder, "events")
+    run = F.concat_ws("-", "user_id", "event_type")
+    stores.write_traces(e.select(F.col("user_id").cast("string").alias("session_id"), run.alias("run_id"), F.concat(F.lit("trace of "), run).alias("trace")), at)
+    runs = e.select(run.alias("run_id")).distinct()
+    asked = runs.unionByName(spark.range(1).select(F.lit("nobody").alias("run_id")))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id"))
+    rated = e.select(run.alias("run_id"), "ts", "event_id").withColumn("nth", nth).select("run_id", F.col("ts").alias("rated_at"), F.col("event_id").alias("feedback_id"), (F.col("nth") % 2 == 0).alias("positive"))
+    return stores.read_traces(spark, at, asked).join(stores.latest_feedback(rated), "run_id", "left").select("run_id", "trace", "positive")
+
+
+@query(CELLS + "SELECT r_name || '/' || res AS spec_id, y AS year, CASE WHEN r_name LIKE 'ASIA %' THEN 'TABLE_STORE_MISSING_OR_STALE' END AS reason, CASE WHEN r_name NOT LIKE 'ASIA %' THEN value END AS value FROM cells WHERE aggregate AND statement = 1 AND y IN (1996, 2000)")
+def live_year_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of years against chunks some of which have changed since."""
+    c = corpus(spark, folder)
+    changed = c.chunks.withColumn("text", F.when(F.col("region").startswith("ASIA "), F.regexp_replace("text", r"\|", "||")).otherwise(F.col("text")))
+    cells = N.live_cells(N.year_cells(_scopes(spark, folder), c.facts), changed)
+    return cells.select("spec_id", F.col("year").cast("long").alias("year"), "reason", F.col("value").cast("double").alias("value"))
+
+
+@query("WITH t AS (SELECT l_orderkey AS query_id, l_returnflag AS target, min(l_partkey) AS p FROM lineitem GROUP BY ALL) SELECT query_id, CASE WHEN count(*) > 2 THEN 'TOO_MANY_TARGETS' ELSE 'TARGET_DOES_NOT_FIT' END AS reason FROM t GROUP BY 1 HAVING count(*) > 2 OR sum(50 + p % 50) > 120")
+def unfit_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests whose required targets do not fit the budget."""
+    t = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("target")).agg(F.min("l_partkey").alias("p"))
+    items = t.select("query_id", "target", F.col("target").alias("region"), F.concat_ws("/", "query_id", "target").alias("item_id"), F.lit(1.0).alias("score"), F.repeat(F.lit("x"), (50 + F.col("p") % 50).cast("int")).alias("text"))
+    return V.unfit_targets(items, t.select("query_id", "target"), max_chars=120, max_chunks=2)

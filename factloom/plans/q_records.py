@@ -11,8 +11,6 @@ from factloom.operators import events as E
 from factloom.operators import index as X
 from factloom.operators import pages as P
 from factloom.operators import sessions as S
-from factloom.plans.corpus import corpus
-from factloom.plans.q_facts import REPORTS
 from factloom.plans.registry import query, table
 
 NOW = "timestamp '2024-02-01 00:00:00'"
@@ -260,16 +258,6 @@ def idempotent_skip(spark: SparkSession, folder: str) -> DataFrame:
     return X.unchanged(state(old), state(new))
 
 
-@query(REPORTS + "SELECT count(*) * 4 AS n_pages, 0::BIGINT AS bad_page, 0::BIGINT AS bad_checksum, 0::BIGINT AS snippet_not_in_text, 0::BIGINT AS repeated_ids, count(*) * 1 AS excluded_pages FROM reports")
-def index_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """All rules over the chunks of the reports, two pages of which are taken as excluded."""
-    chunks = corpus(spark, folder).chunks
-    excluded = chunks.filter("page_number = 4").select("document_id", "page_number").distinct()
-    pages = chunks.agg(F.countDistinct("document_id", "page_number").alias("n_pages"), F.countDistinct(F.when(F.col("page_number") == 4, F.col("document_id"))).alias("excluded_pages"))
-    audited = X.audit(chunks, chunks.count(), excluded).withColumn("ok", (F.col("n_points") == F.col("expected")) & (F.col("excluded_page") > 0))
-    return audited.filter("ok").crossJoin(pages).select("n_pages", "bad_page", "bad_checksum", "snippet_not_in_text", "repeated_ids", "excluded_pages")
-
-
 @query("WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT sha256(text) AS h FROM d WHERE doc_id % 2 = 0) SELECT doc_id AS chunk_id FROM d WHERE sha256(text) NOT IN (SELECT h FROM c)")
 def embedding_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     """Texts whose content isn't cached; copies of cached ones are."""

@@ -55,20 +55,22 @@ def _tables(spark: SparkSession, folder: str) -> DataFrame:
     code = F.coalesce(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("00"))
     line = lambda *cells: F.concat(F.lit("| "), F.array_join(F.concat(*cells), " | "), F.lit(" |"))
     texts = lambda *xs: F.array(*map(F.lit, xs))
-    n, out = 2 + len(YEARS) * len(RESIDENCES), None
-    for statement, (kind, metric) in kinds.items():
-        cells = F.flatten(F.transform(F.col("years"), _residences(kind)))
-        header = [
+    n = 2 + len(YEARS) * len(RESIDENCES)
+    head = {
+        statement: F.array(
             line(texts("District Code", "District", metric), texts(*[""] * (n - 3))),
             F.lit("|" + " --- |" * n),
             line(texts("", ""), texts(*[x for y in YEARS for x in (str(y), "", "")])),
             line(texts("", ""), texts(*["Total", "Rural", "Urban"] * len(YEARS))),
             line(texts(*[str(k) for k in range(1, n + 1)])),
-        ]
-        body = rows.select("r_regionkey", "r_name", F.struct(F.coalesce("n_nationkey", F.lit(-1)).alias("order"), line(F.array(code, label), cells).alias("line")).alias("row"))
-        one = body.groupBy("r_regionkey", "r_name").agg(F.array_join(F.concat(F.array(*header), F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"])), "\n").alias("table")).withColumn("statement", F.lit(statement))
-        out = one if out is None else out.unionByName(one)
-    return out
+        )
+        for statement, (_, metric) in kinds.items()
+    }
+    # One pass over the measures writes the lines of all statements.
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("statement"), line(F.array(code, label), F.flatten(F.transform(F.col("years"), _residences(kind)))).alias("line")) for s, (kind, _) in kinds.items()]))
+    body = rows.select("r_regionkey", "r_name", F.coalesce("n_nationkey", F.lit(-1)).alias("order"), each.alias("s")).select("r_regionkey", "r_name", "s.statement", F.struct("order", "s.line").alias("row"))
+    header = F.create_map(*[x for s, h in head.items() for x in (F.lit(s), h)])[F.col("statement")]
+    return body.groupBy("r_regionkey", "r_name", "statement").agg(F.array_join(F.concat(header, F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"])), "\n").alias("table"))
 
 
 def _residences(kind: str):  # noqa: ANN202
@@ -81,11 +83,11 @@ def _residences(kind: str):  # noqa: ANN202
 def state_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of one report for each region, in the schema ``PAGES``."""
     title = F.when(F.col("statement") == 3, "Order Count of Scheduled Castes by district (Persons)").when(F.col("statement") == 1, "Order Count by district (Persons)").otherwise("Average Price by district")
-    parted = lambda heading, body: F.concat_ws("\n\n", heading, body)
     tables = _tables(spark, folder)
-    statements = tables.select("r_regionkey", "r_name", (F.col("statement") + 1).alias("page_number"), F.concat_ws("\n\n", F.concat(F.lit("### Statement "), F.col("statement").cast("string")), title, F.col("table")).alias("text"))
-    intro = tables.filter("statement = 1").select("r_regionkey", "r_name", F.lit(1).alias("page_number"), parted(F.concat(F.lit("# Orders of "), F.col("r_name")), F.concat(F.lit("This report counts the orders of "), F.col("r_name"), F.lit(" from 1995 to 2001.\n\n## Statements\n\nThe statements give totals, and rural and urban orders apart."))).alias("text"))
-    pages = intro.unionByName(statements)
+    page = lambda number, text: F.struct(number.cast("int").alias("page_number"), text.alias("text"))
+    stated = page(F.col("statement") + 1, F.concat_ws("\n\n", F.concat(F.lit("### Statement "), F.col("statement").cast("string")), title, F.col("table")))
+    intro = page(F.lit(1), F.concat_ws("\n\n", F.concat(F.lit("# Orders of "), F.col("r_name")), F.concat(F.lit("This report counts the orders of "), F.col("r_name"), F.lit(" from 1995 to 2001.\n\n## Statements\n\nThe statements give totals, and rural and urban orders apart."))))
+    pages = tables.select("r_name", F.explode(F.when(F.col("statement") == 1, F.array(intro, stated)).otherwise(F.array(stated))).alias("p")).select("r_name", "p.*")
     return pages.select(
         F.concat(F.lit("orders-"), slug(F.col("r_name"))).alias("document_id"), F.col("r_name").alias("region"), F.concat(F.lit("Orders of "), F.col("r_name")).alias("title"), "page_number", "text",
         F.lit("provided_markdown").alias("extraction_method"), F.lit("indexed_markdown").alias("coverage_status"), F.sha2(F.concat(F.lit("orders-"), F.col("r_name")), 256).alias("source_checksum"),

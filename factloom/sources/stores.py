@@ -60,6 +60,23 @@ def read_responses(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("case_id string, repeat int, response string, error_code string").json(folder)
 
 
+def write_traces(traces: DataFrame, folder: str) -> None:
+    """Run traces as JSON lines by session; runs are added, never changed."""
+    traces.write.mode("append").partitionBy("session_id").json(folder)
+
+
+def read_traces(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
+    """``run_id, trace``: the trace of each asked run, null unless exactly one is there."""
+    stored = spark.read.schema("run_id string, trace string, session_id string").json(folder)
+    one = stored.join(runs.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("n"), F.min("trace").alias("trace"))
+    return runs.select("run_id").distinct().join(one, "run_id", "left").select("run_id", F.when(F.col("n") == 1, F.col("trace")).alias("trace"))
+
+
+def latest_feedback(feedback: DataFrame) -> DataFrame:
+    """The last rating of each run."""
+    return feedback.groupBy("run_id").agg(F.max_by("positive", F.struct("rated_at", "feedback_id")).alias("positive"))
+
+
 def catalog(documents: DataFrame) -> DataFrame:
     """Every document once: ``document_id, title, region, source_checksum`` of its first chunk or page."""
     first = F.min_by(F.struct("title", "region", "source_checksum"), F.struct("page_number", "title"))
