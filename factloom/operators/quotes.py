@@ -89,12 +89,17 @@ def judged_quotes(pairs: DataFrame, default_year: int = DEFAULT_YEAR) -> DataFra
 
 
 def _pieces(pairs: DataFrame, pattern: str) -> DataFrame:
-    """Pairs with each match of a pattern that leaves nothing out between matches: ``quote, start, end``, leading white space aside."""
+    """Pairs with each match of a pattern that leaves nothing out between matches: ``quote, start, end``, leading white space aside.
+
+    The match stands for the text from here on, so a text is not repeated for
+    each of its parts.
+    """
     key = [F.col("claim_id"), F.col("evidence_id")]
-    each = pairs.select("*", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "piece"))
+    rest = [c for c in pairs.columns if c != "text"]
+    each = pairs.select(*rest, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "piece"))
     before = F.sum(F.length("piece")).over(Window.partitionBy(*key).orderBy("nth"))
     quote = F.regexp_replace("piece", r"^\s+", "")
-    return each.withColumn("end", before.cast("int")).withColumn("quote", quote).withColumn("start", F.col("end") - F.length("quote")).drop("piece")
+    return each.withColumn("end", before.cast("int")).withColumn("quote", quote).withColumn("start", F.col("end") - F.length("quote")).withColumn("text", F.col("quote")).drop("piece")
 
 
 def selected_spans(pairs: DataFrame, default_year: int = DEFAULT_YEAR) -> DataFrame:
