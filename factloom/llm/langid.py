@@ -106,13 +106,13 @@ def codewords(languages: int) -> np.ndarray:
 
 def train(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, bias and reliability of the bits' classifiers; each language counts alike."""
-    target = code[y]
+    target = code[y].astype(np.float32)
     each = 1 / np.bincount(y, minlength=len(code))[y]
     each = (each / each.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     wv, bv, rate = w, b, 8.0
     for step in range(STEPS):
-        pull = each * target / (1 + np.exp(np.clip(target * (x @ wv + bv), -30, 30)))
+        pull = (each * target / (1 + np.exp(np.clip(target * (x @ wv + bv), -30, 30)))).astype(np.float32)
         w_next, b_next = wv + rate * (x.T @ pull - 1e-4 * wv), bv + rate * pull.sum(0)
         pace = step / (step + 3)
         wv, bv = (w_next + pace * (w_next - w)).astype(np.float32), (b_next + pace * (b_next - b)).astype(np.float32)
