@@ -83,26 +83,29 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def _found(text: Column) -> dict[str, Column]:
-    """For each kind the spans that pass its rule, with their surroundings."""
+def _found(text: Column, numeric: Column) -> dict[str, Column]:
+    """For each kind the spans that pass its rule, with their surroundings; ``numeric`` tells whether the text has a digit at all."""
     octet = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda q: (F.length(q) <= 3) & (F.when(F.length(q) <= 3, q.cast("int")) <= 255))
     octets = lambda m: F.forall(F.split(m["found"], r"\."), octet)
     size = lambda m: F.length(_digits(m["found"]))
     every = lambda m: F.lit(True)
-    has = lambda mark, c: F.when(text.contains(mark), c).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,found:string,before:string,after:string>>"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,found:string,before:string,after:string>>")
+    # Most texts lack what most kinds need.
+    has = lambda test, c: F.when(test, c).otherwise(none)
+    masks = text.contains("at)") | text.contains("at]") | text.contains("at}")
     return {
-        "email": has("@", kinds("email", 0, matches(text, EMAIL), every)),
-        "ip": kinds("ip", 1, matches(text, IP), octets),
-        "card": kinds("card", 2, matches(text, CARD), lambda m: size(m).between(14, 19) & luhn(_digits(m["found"]))),
-        "phone": has("+", kinds("phone", 3, matches(text, PHONE), lambda m: size(m).between(10, 15))),
-        "masked_email": kinds("masked_email", 4, matches(text, MASKED), every),
-        "national_phone": kinds("national_phone", 5, matches(text, NATIONAL), every),
-        "social": kinds("social", 6, matches(text, SOCIAL), every),
-        "account": kinds("account", 7, matches(text, ACCOUNT), lambda m: checked(m["found"])),
+        "email": has(text.contains("@"), kinds("email", 0, matches(text, EMAIL), every)),
+        "ip": has(numeric, kinds("ip", 1, matches(text, IP), octets)),
+        "card": has(numeric, kinds("card", 2, matches(text, CARD), lambda m: size(m).between(14, 19) & luhn(_digits(m["found"])))),
+        "phone": has(text.contains("+"), kinds("phone", 3, matches(text, PHONE), lambda m: size(m).between(10, 15))),
+        "masked_email": has(masks, kinds("masked_email", 4, matches(text, MASKED), every)),
+        "national_phone": has(numeric, kinds("national_phone", 5, matches(text, NATIONAL), every)),
+        "social": has(numeric, kinds("social", 6, matches(text, SOCIAL), every)),
+        "account": has(numeric, kinds("account", 7, matches(text, ACCOUNT), lambda m: checked(m["found"]))),
         "person": kinds("person", 8, matches(text, PERSON), every),
-        "street": kinds("street", 9, matches(text, STREET), every),
-        "birth": kinds("birth", 10, matches(text, BIRTH), every),
-        "dialled_phone": kinds("dialled_phone", 11, matches(text, DIALLED), lambda m: size(m).between(8, 13)),
+        "street": has(numeric, kinds("street", 9, matches(text, STREET), every)),
+        "birth": has(numeric, kinds("birth", 10, matches(text, BIRTH), every)),
+        "dialled_phone": has(numeric, kinds("dialled_phone", 11, matches(text, DIALLED), lambda m: size(m).between(8, 13))),
         "name": kinds("name", 12, matches(text, NAME), every),
     }
 
@@ -173,7 +176,8 @@ def unmet(spans: Column) -> Column:
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A written table: ``doc_id`` and ``spans``, base ones and lax ones that overlap none before them, with votes and features."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    spans = text.select("doc_id", *keep, *[c.alias(k) for k, c in _found(F.col("text")).items()])
+    text = text.withColumn("numeric", F.col("text").rlike("[0-9]"))
+    spans = text.select("doc_id", *keep, *[c.alias(k) for k, c in _found(F.col("text"), F.col("numeric")).items()])
 
     def pair(s: Column) -> Column:
         votes = _votes(s)
