@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exactdup, langid, linedup, neardup, packing, pii, quality, secrets, warc
+from factloom.llm import bpe, exactdup, langid, lexical, linedup, neardup, packing, pii, quality, secrets, warc
 from factloom.llm.settings import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.digests(_documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op9_personal_data, op10_language_id)}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op9_personal_data, op10_language_id, op11_lexical_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
@@ -67,4 +71,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_warc_revisits": warc.SQL,
     "op7_line_dedup": linedup.SQL,
+    "op11_lexical_search": lexical.SQL,
 }
