@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, exactdup, langid, lexical, linedup, neardup, packing, pii, quality, secrets, spelling, warc
+from factloom.llm import bpe, exactdup, langid, lexical, linedup, neardup, packing, pii, quality, secrets, spelling, suffixes, warc
 from factloom.llm.settings import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,15 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(_documents(spark, folder))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_documents(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op9_personal_data, op10_language_id, op11_lexical_search, op13_spelling_variants)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_secret_scan, op4_quality_divergence, op5_exact_dedup, op6_warc_revisits, op7_line_dedup, op8_bpe, op9_personal_data, op10_language_id, op11_lexical_search, op12_suffix_dedup, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
