@@ -43,6 +43,14 @@ class Best:
         if self.held > 4 * self.n * len(self.floor) + CELLS:
             self.cut()
 
+    def some(self, queries: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        """Like :meth:`add`, for the queries of the columns alone."""
+        row, column = np.nonzero(scores >= self.floor[queries])
+        self.parts.append((queries[column], items[row], scores[row, column]))
+        self.held += len(row)
+        if self.held > 4 * self.n * len(self.floor) + CELLS:
+            self.cut()
+
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
