@@ -14,7 +14,11 @@ DEFINITION = r"(?:females?|women)\s+per\s+[0-9,]+\s+(?:males?|men)"
 GROUPS = {"scheduled castes": r"\bscheduled castes?\b", "scheduled tribes": r"\bscheduled tribes?\b", "females": r"\bfemales?\b|\bwomen\b", "males": r"\bmales?\b|\bmen\b", "children": r"\bchild(?:ren)?\b|\b0\s*-\s*6\b"}
 RESIDENCES = ("total", "rural", "urban")
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
-NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+# What the reader of quotes goes by, which is narrower: numbers with borders, rules of three dashes, its own groups.
+NUMBER = r"(?<![\w.])-?[0-9][0-9,]*(?:\.[0-9]+)?(?!\w)"
+RULE = r"^(?::?-{3,}:?)?$"
+READ_DEFINITION = r"females?\s+per\s+[0-9,]+\s+males?"
+READ_GROUPS = {"females": r"\bfemales?\b", "males": r"\bmales?\b", "scheduled castes": r"\bscheduled castes?\b", "scheduled tribes": r"\bscheduled tribes?\b", "children": r"\bchild\b|\b0\s*-\s*6\b"}
 
 
 def label(text: Column) -> Column:
@@ -23,15 +27,20 @@ def label(text: Column) -> Column:
 
 
 def whole_number(cell: Column) -> Column:
-    """The value of a cell that is a number as a whole."""
+    """The value of a cell that is a number as a whole, as a decimal."""
     bare = F.regexp_replace(cell, "[, ]", "")
-    return F.when(bare.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), bare.cast("double"))
+    return F.when(bare.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), bare.try_cast("decimal(38,12)"))
+
+
+def exact(value: Column) -> Column:
+    """A figure as the decimal that its shortest form says."""
+    return value.cast("double").cast("string").cast("decimal(38,12)")
 
 
 def half_unit(value: Column) -> Column:
-    """Half a unit of the last digit of a figure, from its shortest form."""
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", value), "0+$", ""), r"\.$", "")
-    return 5 / F.pow(F.lit(10.0), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1)) + 1)
+    """Half a unit of the last digit of a figure, as a decimal."""
+    text = F.regexp_replace(F.regexp_replace(exact(value).cast("string"), "0+$", ""), r"\.$", "")
+    return F.concat(F.lit("0."), F.repeat(F.lit("0"), F.length(F.regexp_extract(text, r"\.([0-9]+)$", 1))), F.lit("5")).cast("decimal(38,12)")
 
 
 def scopes(claims: DataFrame) -> DataFrame:
@@ -63,12 +72,12 @@ def locations(quotes: DataFrame) -> DataFrame:
     above the rule are headers, and so are rows right below it whose first two
     cells are empty; a header cell goes on over blank ones.
     """
-    q = quotes.withColumn("wanted", label(F.col("region"))).withColumn("within", F.greatest(half_unit(F.col("value").cast("double")), F.lit(0.0)))
+    q = quotes.withColumn("wanted", label(F.col("region"))).withColumn("within", half_unit(F.col("value"))).withColumn("figure", exact(F.col("value")))
     lines = q.select("*", F.posexplode(F.split("snippet", r"\n", -1)).alias("no", "line")).withColumn("piped", F.trim("line").startswith("|"))
     key = ["claim_id", "quote_id"]
     order = Window.partitionBy(*key).orderBy("no")
     t = computed(lines.filter("piped"), cells=_cells(F.col("line")))
-    rule = F.forall("cells", lambda c: c.rlike(r"^[-: ]*$"))
+    rule = F.forall("cells", lambda c: c.rlike(RULE))
     ordinal = (F.size("cells") > 2) & F.forall(F.transform("cells", lambda c, i: c == (i + 1).cast("string")), lambda ok: ok)
     first_rule = F.min(F.when(F.col("rule"), F.col("no"))).over(Window.partitionBy(*key))
     t = t.withColumn("rule", rule).withColumn("ordinal", ordinal).withColumn("rule_no", first_rule)
@@ -76,16 +85,17 @@ def locations(quotes: DataFrame) -> DataFrame:
     body = F.col("rule_no").isNull() | (F.col("no") > F.col("rule_no"))
     t = t.withColumn("data", body & ~F.col("ordinal") & ~(blank & F.col("rule_no").isNotNull()))
     seen = F.coalesce(F.max(F.col("data").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("head", ~F.col("ordinal") & F.when(body, blank & F.col("rule_no").isNotNull() & (seen == 0)).otherwise(True)).withColumn("data", body & ~F.col("ordinal") & ~F.col("head"))
+    below = ~F.col("ordinal") & blank & F.col("rule_no").isNotNull() & (seen == 0)
+    t = t.withColumn("head", F.when(body, below).otherwise(F.col("no") < F.col("rule_no"))).withColumn("data", body & ~F.col("ordinal") & ~F.col("head"))
     cell = F.posexplode("cells").alias("column", "cell")
     each = t.select("*", cell)
     left = Window.partitionBy(*key, "no").orderBy("column")
     heads = each.filter("head").withColumn("shown", F.last(F.when(F.col("cell") != "", F.col("cell")), ignorenulls=True).over(left)).filter("shown is not null")
     paths = heads.groupBy(*key, "column").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("no", "shown"))), lambda x: x["shown"])), " ").alias("header"))
     named = (F.col("wanted") == "") | F.exists("cells", lambda c: c.rlike("[A-Za-z]") & (label(c) == F.col("wanted")))
-    hits = each.filter("data").filter(named & (F.abs(whole_number(F.col("cell")) - F.col("value").cast("double")) <= F.col("within")))
+    hits = each.filter("data").filter(named & (F.abs(whole_number(F.col("cell")) - F.col("figure")) <= F.col("within")))
     table = hits.join(paths, [*key, "column"], "left").select(*key, F.lit("table").alias("kind"), F.coalesce("header", F.lit("")).alias("header"), "context")
-    said = F.exists(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0)), lambda n: F.abs(whole_number(n) - F.col("value").cast("double")) <= F.col("within"))
+    said = F.exists(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0)), lambda n: F.abs(whole_number(n) - F.col("figure")) <= F.col("within"))
     prose = lines.filter(~F.col("piped")).filter(((F.col("wanted") == "") | F.contains(label(F.col("line")), F.col("wanted"))) & said)
     return table.unionByName(prose.select(*key, F.lit("prose").alias("kind"), F.lit("").alias("header"), "context"))
 
@@ -95,8 +105,8 @@ def conflicts(header: Column, context: Column, year: Column, residence: Column,
     low = F.lower(header)
     years = F.array_distinct(F.regexp_extract_all(low, F.lit(YEAR), F.lit(0)))
     named = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{r}\b"), F.lit(r)) for r in RESIDENCES]))
-    around = F.regexp_replace(F.concat_ws(" ", low, F.lower(context)), DEFINITION, " ")
-    groups = F.array_compact(F.array(*[F.when(around.rlike(p), F.lit(g)) for g, p in GROUPS.items()]))
+    around = F.regexp_replace(F.concat_ws(" ", low, F.lower(context)), READ_DEFINITION, " ")
+    groups = F.array_compact(F.array(*[F.when(around.rlike(p), F.lit(g)) for g, p in READ_GROUPS.items()]))
     wrong_year = year.isNotNull() & (F.size(years) == 1) & (F.get(years, F.lit(0)).cast("int") != year)
     wrong_group = (F.size(groups) > 0) & ~F.coalesce(F.array_contains(groups, group), F.lit(False))
     return F.array_compact(F.array(F.when(wrong_year, "YEAR"), F.when((F.size(named) == 1) & (F.get(named, F.lit(0)) != residence), "RESIDENCE"), F.when(wrong_group, "GROUP")))

@@ -13,6 +13,9 @@ from factloom.operators.chunking import HEADING, blocks, cells, full_lines
 STATEMENT = r"(?i)^statement\s*[-–—]?\s*([0-9]+)\b\s*[:.–—-]?\s*(.*)$"
 RESET = r"(?i)^(?:graph|map|figure|chart|annexure)\b"
 CONTEXT_CHARS = 300
+NOTE = r"(?i)^(?:notes?\s*:|n\.\s?b\.)"
+#: A mark at the start of a note, that cells bear at their end.
+MARK = r"^(?:(?i:notes?\s*:|n\.\s?b\.)\s*)?([#†‡§¶*]+|\[[0-9a-z]\]|[0-9a-z]\))\s"
 
 
 def contexts(pages: DataFrame) -> DataFrame:
@@ -142,3 +145,33 @@ def facts(tables: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def census_years(facts_: DataFrame) -> DataFrame:
     return facts_.filter("year is not null").groupBy("document_id").agg(F.array_sort(F.collect_set("year")).alias("years"))
+
+
+def footnotes(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """``document_id, table_id, note_no, mark, note``: the notes below tables, also where a table ended on an earlier page.
+
+    A note is a short paragraph that begins as one, or is set in italics, after
+    a table and before anything that opens another statement or heading.  What
+    holds before a note in its document is one window, whatever pages lie
+    between.  ``mark`` is the sign that the note begins with, if any.
+    """
+    b = contexts(pages).select("document_id", "page_number", "block_no", "context_no", "kind", "block", "said", "states", "is_title", "resets")
+    known = tables.select("document_id", "page_number", "block_no", "table_id")
+    b = b.join(known, ["document_id", "page_number", "block_no"], "left")
+    before = Window.partitionBy("document_id", "context_no").orderBy("page_number", "block_no")
+    bare = F.trim("block")
+    italic = bare.startswith("*") & ~bare.startswith("**") & bare.endswith("*") & (F.length(bare) > 1)
+    noted = (F.col("kind") != "table") & ~F.col("states") & ~F.col("is_title") & ~F.col("resets") & (F.length("said") <= CONTEXT_CHARS) & (F.col("said").rlike(NOTE) | italic)
+    b = b.withColumn("table_id", F.last("table_id", ignorenulls=True).over(before)).filter(noted).filter("table_id is not null")
+    shown = F.regexp_replace(F.trim("block"), r"^\*(?=[^*\s])|(?<=[^*\s])\*$", "")
+    nth = F.row_number().over(Window.partitionBy("document_id", "table_id").orderBy("page_number", "block_no"))
+    return b.select("document_id", "table_id", nth.alias("note_no"), F.nullif(F.regexp_extract(shown, MARK, 1), F.lit("")).alias("mark"), F.col("said").alias("note"))
+
+
+def cell_notes(tables: DataFrame, notes: DataFrame) -> DataFrame:
+    """``document_id, table_id, page_number, row_no, column_index, note_no``: for each cell the notes of its table; a note with a mark holds for the cells that bear it."""
+    body = F.slice("rows", F.col("number_row") + 2, F.size("rows"))
+    each = tables.select("document_id", "table_id", "page_number", "label_column", "code_column", F.posexplode(body).alias("row_no", "cells"))
+    each = each.select("*", F.posexplode("cells").alias("column_index", "cell")).filter(~F.col("column_index").eqNullSafe(F.col("label_column")) & ~F.col("column_index").eqNullSafe(F.col("code_column")))
+    met = each.select("document_id", "table_id", "page_number", "row_no", "column_index", F.trim("cell").alias("cell")).join(notes.select("document_id", "table_id", "note_no", "mark"), ["document_id", "table_id"])
+    return met.filter(F.col("mark").isNull() | F.col("cell").endswith(F.col("mark"))).drop("cell", "mark")

@@ -52,7 +52,7 @@ def quote_support(spark: SparkSession, folder: str) -> DataFrame:
     snippet = F.concat(F.lit("| Code | District | Orders |  |\n| --- | --- | --- | --- |\n|  |  | "), s("first"), F.lit(" | "), s("last"), F.lit(" |\n| 1 | 2 | 3 | 4 |\n| 077 | <b>Place</b> | "), s("w"), F.lit(" | "), s("x"), F.lit(" |"))
     key = F.concat_ws("/", "c", "m").alias("claim_id")
     claims = each.select(key, F.lit("Orders were counted.").alias("text"), F.lit("orders").alias("metric"), F.lit("Place").alias("region"), F.when(F.col("m") == "year", F.col("first")).otherwise(F.col("last")).alias("year"), F.lit("total").alias("residence"), F.lit(None).cast("string").alias("population"), (F.col("x") + F.when(F.col("m") == "value", 5000).otherwise(0)).cast("double").alias("value"))
-    quotes = each.select(key, F.lit(1).alias("quote_id"), snippet.alias("snippet"), F.when(F.col("m") == "group", "Orders of women").otherwise("Orders").alias("context"))
+    quotes = each.select(key, F.lit(1).alias("quote_id"), snippet.alias("snippet"), F.when(F.col("m") == "group", "Orders of females").otherwise("Orders").alias("context"))
     return A.support(claims, quotes).select("claim_id", F.col("n_locations").cast("long").alias("n_locations"), "reason")
 
 
