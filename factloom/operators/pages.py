@@ -132,9 +132,9 @@ def discovered(pdfs: DataFrame, texts: DataFrame, overrides: DataFrame) -> DataF
     Reasons: a stem that several files share, a text paired twice or with none,
     an override whose file is missing.
     """
-    from factloom.functions.text import slug
+    from factloom.functions.names import file_key
 
-    key = lambda df: df.withColumn("stem", slug(stem(F.col("path"))))
+    key = lambda df: df.withColumn("stem", file_key(stem(F.col("path"))))
     p, t = key(pdfs).select(F.col("path").alias("pdf"), "stem"), key(texts).select(F.col("path").alias("markdown"), F.col("stem").alias("t_stem"))
     shared = p.groupBy("stem").agg(F.count("*").alias("n_pdfs"))
     by_rule = p.join(overrides.select(F.col("pdf_filename").alias("pdf"), F.col("markdown_filename").alias("told")), "pdf", "left").join(shared, "stem")
