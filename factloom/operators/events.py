@@ -9,12 +9,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.staging import staged
+
 # Fixed value: parts of names that must not be traced; longest value that may be.
 HIDDEN = ("credential", "token", "embedding", "prompt", "chain_of_thought", "api_key")
 VALUE_CHARS = 2000
 TERMINAL = ("succeeded", "failed")
-#: Ranges in which the values of a group are counted.
-SPANS = 4096
 
 
 def safe_details(details: Column) -> Column:
@@ -32,21 +32,19 @@ def durations(events: DataFrame, key: str = "run_id") -> DataFrame:
 def values_at(values: DataFrame, group: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact values of a group in sorted order, at places from 0 that are told by how many there are: ``group, n`` and a column for each.
 
-    Values are counted in ``SPANS`` ranges between the least and the greatest;
-    only those in the range that holds a place are then sorted, so no task
-    sorts a whole group.
+    Distinct values are counted and dealt by ranges of equal numbers of them,
+    whatever their distribution, so a group is as many shares as its size asks
+    for.  Only shares that hold a place are then sorted, each by itself.
     """
-    ends = values.groupBy(*group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
     same = lambda a, b: reduce(and_, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
-    wide = F.col("e.high").cast("double") - F.col("e.low").cast("double")
-    span = F.when(wide > 0, F.least(F.lit(SPANS - 1), F.floor((F.col(f"v.{value}").cast("double") - F.col("e.low").cast("double")) / wide * SPANS))).otherwise(0).cast("int")
-    placed = values.filter(F.col(value).isNotNull()).alias("v").join(ends.alias("e"), same("v", "e")).select(*[F.col(f"v.{g}").alias(g) for g in group], F.col(f"v.{value}").alias("value"), span.alias("span"), F.col("e.n").alias("n"))
-    counts = placed.groupBy(*group, "span").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    upto = F.sum("k").over(Window.partitionBy(*group).orderBy("span"))
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg(F.count("*").alias("m"))
+    dealt = staged(counted.repartitionByRange(*group, "value").withColumn("share", F.spark_partition_id()), "values")
+    shares = dealt.groupBy(*group, "share").agg(F.sum("m").alias("k"))
+    upto, all_ = F.sum("k").over(Window.partitionBy(*group).orderBy("share")), F.sum("k").over(Window.partitionBy(*group))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()]))
-    spans = counts.withColumn("before", upto - F.col("k")).select(*group, "span", "k", "before", wanted.alias("w")).filter("w.place >= before and w.place < before + k")
-    met = placed.groupBy(*group, "span", "value", "n").agg(F.count("*").alias("m")).alias("p").join(spans.select(*group, "span", "before", "w.*").alias("s"), same("p", "s") & (F.col("p.span") == F.col("s.span")))
-    met = met.select(*[F.col(f"p.{g}").alias(g) for g in group], "p.value", "p.n", "p.m", "s.before", "s.name", "s.place")
+    held = shares.withColumn("before", upto - F.col("k")).withColumn("n", all_).select(*group, "share", "k", "before", "n", wanted.alias("w")).filter("w.place >= before and w.place < before + k")
+    met = dealt.alias("p").join(held.select(*group, "share", "before", "n", "w.*").alias("s"), same("p", "s") & (F.col("p.share") == F.col("s.share")))
+    met = met.select(*[F.col(f"p.{g}").alias(g) for g in group], "p.value", "s.n", "p.m", "s.before", "s.name", "s.place")
     reached = F.col("before") + F.sum("m").over(Window.partitionBy(*group, "name").orderBy("value"))
     hits = met.withColumn("reached", reached).filter("reached > place")
     return hits.groupBy(*group).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in places])

@@ -156,11 +156,20 @@ def passage_documents(spark: SparkSession, folder: str) -> DataFrame:
     rarest = inside.join(counts, "word").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     pairs = held_.join(rarest, "word").select("doc_id", "query_id")
     found = pairs.join(docs, "doc_id").join(passages, "query_id").filter(F.contains("text", "quote")).select("doc_id", "query_id")
-    # Passages without an inner word go to all documents, in blocks.
-    short = asked.filter(F.size("inner") == 0).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("query_id", "quote")).alias("ps"))
-    plain = docs.crossJoin(short).select("doc_id", F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["quote"]))).alias("p")).select("doc_id", "p.query_id")
-    held = found.unionByName(plain)
-    return held.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"))
+    # Passages without an inner word are looked up by their first characters, three at most.
+    short = asked.filter((F.size("inner") == 0) & (F.length("quote") > 0))
+    held = found
+    if not short.isEmpty():
+        keys = short.select("query_id", F.left("quote", F.lit(3)).alias("gram"))
+        letters = F.split("text", "")
+        grams = F.flatten(F.transform(letters, lambda c, i: F.array(*[F.array_join(F.slice(letters, i + 1, F.lit(n)), "") for n in (1, 2, 3)])))
+        stand = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi")
+        likely = stand.join(keys, "gram").select("doc_id", "query_id")
+        held = found.unionByName(likely.join(docs, "doc_id").join(passages, "query_id").filter(F.contains("text", "quote")).select("doc_id", "query_id"))
+    told = held.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"))
+    # An empty passage stands in every document.
+    empty = passages.filter("quote = ''").select("query_id").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"))))
+    return told.unionByName(empty.filter("n_chunks > 0"))
 
 
 HYBRID_SQL = (

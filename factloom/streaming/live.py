@@ -30,19 +30,32 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 mi
     return windowed(stream, width, late).select("w.start", "event_type", "n", "total")
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, n = state.get if state.exists else ("", 0)
     for batch in batches:
         for row in batch.sort_values(["ts", "event_id"]).itertuples():
             if status != "succeeded":  # nothing follows success
                 status, n = row.status, n + 1
     state.update((status, n))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(row.ts.timestamp() * 1000)) + keep_ms)
     yield pd.DataFrame({"job_id": [key[0]], "status": [status], "n_events": [n]})
 
 
-def job_states(stream: DataFrame) -> DataFrame:
-    """The state of each job after each batch of its events ``job_id, event_id, ts, status``; one small record a job is kept."""
-    return stream.groupBy("job_id").applyInPandasWithState(_advance, STATE, "status string, n int", "update", GroupStateTimeout.NoTimeout)
+def job_states(stream: DataFrame, late: str = "1 hour", keep_hours: float = 168) -> DataFrame:
+    """The state of each job after each batch of its events ``job_id, event_id, ts, status``; one small record a job is kept.
+
+    Events later than ``late`` are dropped.  A job's record goes when the
+    watermark is ``keep_hours`` past its last event, so the state has the jobs
+    of that time only; an event that comes later still begins a new record.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _advance(key, batches, state, int(keep_hours * 3_600_000))
+
+    return stream.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(advance, STATE, "status string, n int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_parquet(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -29,3 +29,21 @@ def test_job_states_of_a_stream(spark, tmp_path):
     query = live.job_states(stream).writeStream.format("memory").queryName("job_updates").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.job_id, r.status, r.n_events) for r in live.latest(spark.table("job_updates")).collect()} == {(1, "succeeded", 2), (2, "queued", 3)}
+
+
+def test_states_of_old_jobs_go(spark, tmp_path):
+    """A job's record is dropped once the watermark is far past its last event; a later event begins anew."""
+    schema = "job_id long, event_id long, ts timestamp, status string"
+    day = 86_400
+
+    def arrives(rows):
+        df = spark.createDataFrame(rows, "job_id long, event_id long, t long, status string")
+        df.select("job_id", "event_id", F.timestamp_seconds("t").alias("ts"), "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.job_states(live.event_stream(spark, str(tmp_path / "in"), schema), keep_hours=24)
+        query = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    assert arrives([(1, 1, day, "queued"), (2, 2, day, "queued")]) == 2
+    assert arrives([(3, 3, 5 * day, "queued")]) <= 3
+    assert arrives([(4, 4, 5 * day + 10, "queued")]) == 2  # jobs 1 and 2 have gone
