@@ -11,9 +11,9 @@ bytes a row each, so with more than some twenty executors a larger one moves
 more than shuffling 40 bytes a row does.  Beyond that size more rows are
 shuffled needlessly (as hashes, never as texts), and the result stays exact.
 
-Rows: a null text counts as empty.  Of equal texts the smallest ``doc_id``
-stays, where a null id is the largest; of rows that repeat text and id, one
-stays.  No rows: no rows.  Further columns are kept by :func:`without_copies`.
+Rows: a null text counts as empty.  Very long texts are hashed whole.  Of equal
+texts the smallest ``doc_id`` stays, where a null id is the largest; of rows that
+repeat text and id, one stays, each row being told from the others by a number.  No rows: no rows.  Further columns are kept by :func:`without_copies`.
 """
 
 from __future__ import annotations
@@ -143,28 +143,28 @@ def _filter(sent: Broadcast) -> np.ndarray:
 
 
 def _grouped(some: DataFrame) -> DataFrame:
-    """``digest, keep_id, group_size`` of the digests that more than one row has."""
-    sizes = some.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    return staged(sizes.filter("group_size > 1"), "repeats")
+    """``digest, keep, group_size`` of the digests that more than one row has; ``keep`` is the id and number of the row that stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row_no")).alias("keep")
+    return staged(some.groupBy("digest").agg(first, F.count("*").alias("group_size")).filter("group_size > 1"), "repeats")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row for each of ``docs``."""
     text = normalised(F.col("text"))
     hashed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "hashes")
-    marked = staged(hashed.withColumn("maybe", maybe_repeated(hashed)("digest")), "marked")
+    # Rows get numbers that stay, so that one of rows with equal id and text can be told from the others.
+    marked = staged(hashed.select("doc_id", "digest", maybe_repeated(hashed)("digest").alias("maybe"), F.monotonically_increasing_id().alias("row_no")), "marked")
     hexed = F.lower(F.hex("digest")).alias("text_sha256")
-    alone = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
-    # Rows that repeat an id and a text are counted here, so that one of them stays.
-    some = marked.filter("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
-    some = staged(some, "maybe")
-    joined = some.join(_grouped(some), "digest", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    one = F.lit(1).cast("long")
+    alone = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), hexed)
+    some = marked.filter("maybe").select("doc_id", "digest", "row_no")
+    joined = some.join(_grouped(some), "digest", "left")
     single = F.col("group_size").isNull()
     judged = joined.select(
         "doc_id",
-        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (single | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", one).alias("group_size"),
+        (single | (F.col("row_no") == F.col("keep.row_no"))).alias("kept"),
         hexed,
     )
     return alone.unionByName(judged)
@@ -178,27 +178,30 @@ def _named(doc_id: Column) -> Column:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    What stays is decided on the staged hashes.  Texts are hashed once more only
-    where an id alone does not tell: a filter of the ids with a row to drop lets
-    all other rows pass straight through, a second filter of the ids that the
-    first one takes in although some row of theirs stays finds the few rows that
-    are shuffled, by id and hash.  Dropped rows are never shuffled, however many
-    copies a text has.  Columns of any name are kept; added ones get free names.
+    What stays is decided on the staged hashes.  Texts are then hashed once
+    more: rows whose hash a filter of repeated ones doesn't know pass straight
+    through.  Of the others only those go on whose hash and id are a row's that
+    stays, by a second filter; they meet the list of these, and of rows that
+    repeat id and text one is taken, which each task does before it shuffles.
+    So copies are not shuffled, with ids or without.  The filters have a member
+    for each repeated text, not for each copy; with more than some eight
+    million of these they take in further rows, at last all, which are then
+    shuffled once as a plain join would.  Columns of any name are kept; added
+    ones get free names.
     """
     hashed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "hashes")
-    some = staged(hashed.filter(maybe_repeated(hashed)("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("rows")), "maybe")
+    some = staged(hashed.filter(maybe_repeated(hashed)("digest")).select("doc_id", "digest", F.lit(0).alias("row_no")), "maybe")
     repeats = _grouped(some)
-    judged = some.join(repeats, "digest").select("digest", "doc_id", "rows", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
-    # A row that stays beside an equal row of its id is met again below.
-    judged = staged(judged.filter("not stays or rows > 1").select("digest", _named(F.col("doc_id")).alias("named"), "stays"), "judged")
-    some_go = member_test(judged, "named")
-    met = hashed.select("digest", _named(F.col("doc_id")).alias("named")).filter(some_go(F.col("named"))).distinct()
-    stay = staged(met.join(judged.filter("not stays"), ["digest", "named"], "left_anti"), "stay")
-    some_stay = member_test(stay, "named")
-    release(some, repeats)
+    kept = staged(repeats.select("digest", _named(F.col("keep.doc_id")).alias("named")), "kept")
+    repeated = member_test(kept, "digest")
+    # Rows that the filter mistakes for repeated ones stay too.
+    mistaken = hashed.filter(repeated(F.col("digest"))).join(kept, "digest", "left_anti").select("digest", _named(F.col("doc_id")).alias("named"))
+    stay = staged(kept.unionByName(mistaken).distinct().withColumn("both", F.xxhash64("digest", "named")), "stay")
+    stays = member_test(stay, "both")
+    release(hashed, some, repeats, kept)
     digest, named = free_names(docs, "digest", "named")
-    keyed = docs.withColumn(named, _named(F.col("doc_id")))
-    straight = keyed.filter(~some_go(F.col(named))).select(docs.columns)
-    again = keyed.filter(some_go(F.col(named)) & some_stay(F.col(named))).withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col("text")), 256))).withColumn(named, _named(F.col("doc_id")))
+    straight = keyed.filter(~repeated(F.col(digest))).select(docs.columns)
+    again = keyed.filter(repeated(F.col(digest)) & stays(F.xxhash64(digest, named)))
     again = again.join(stay.select(F.col("digest").alias(digest), F.col("named").alias(named)), [digest, named], "left_semi").dropDuplicates([digest, named])
     return straight.unionByName(again.select(docs.columns))

@@ -273,3 +273,35 @@ def test_variants_in_a_very_long_text(spark):
     got = {r["word"][:10]: r for r in spelling.variants(frame(spark, [(12, text)])).filter("length(word) < 100").collect()}
     assert got["telephon"]["form"] == "telephone" and got["telephone"]["n"] == 60_000
     assert spelling.variants(frame(spark, [(12, text)])).filter("length(word) > 100 AND n_near = 1").count() == 2
+
+
+# --- exact copies without ids -----------------------------------------------
+
+
+def test_many_rows_without_ids(spark):
+    """Rows that repeat a null id and a text make no array and meet in no task; of each text one stays."""
+    from pyspark.sql import functions as F
+
+    from factloom.llm import exactdup
+
+    n = 1_000_000
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("t"), (F.col("id") % 50).cast("string"))).otherwise("").alias("text"), F.col("id").alias("digest"))
+    found = exactdup.groups(docs)
+    sums = found.agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"), F.max("group_size").alias("most")).first()
+    assert tuple(sums) == (n, 11, n * 4 // 5)
+    left = exactdup.without_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] for r in left.collect()) == sorted(["", *(f"t{k}" for k in range(0, 50, 5))])
+
+
+def test_copies_with_and_without_ids(spark):
+    from factloom.llm import exactdup
+
+    rows = [(None, "a"), (None, "a"), (3, "a"), (2, "a "), (2, "a "), (None, "b"), (None, "b"), (7, None), (None, ""), (8, "c"), (8, "d"), (9, "only")]
+    left = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in exactdup.without_copies(frame(spark, rows)).collect())
+    assert left == sorted([(-1, "b"), (3, "a"), (2, "a "), (7, ""), (8, "c"), (8, "d"), (9, "only")])
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exactdup.groups(frame(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    assert sorted(g for g in got if g[0] == 2) == [(2, 2, 2, False), (2, 2, 2, True)]
+    assert sorted(g for g in got if g[2] == 3 and g[0] is not None) == [(3, 3, 3, True)]
+    assert sum(g[3] for g in got) == 7
