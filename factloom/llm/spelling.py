@@ -13,16 +13,18 @@ word, where a trie has become thin, and not at its root.
 Level by level all states are joined with the edges of their nodes.  An edge
 that spells what follows in the word moves a state on; one that differs from it
 by a replaced or an added code point moves it on and spends its edit.  A state
-that ends at a word's end with its edit spent is a neighbour.  Taken-out code
-points need no states of their own: they are added ones, seen from the other
-word.  Stretches of a trie without a fork are one edge, so the number of levels
+that ends at a word's end with its edit spent is a neighbour.  Each pair is
+found from one side: taken-out code points are added ones seen from the other
+word, and of two code points in one place the smaller is replaced by the larger.
+Stretches of a trie without a fork are one edge, so the number of levels
 is that of forks along a word and not of its letters.
 
 Nodes are named by 64-bit hashes of prefixes.  Should two prefixes share a hash,
 their node has the edges of both; every neighbour is verified by its text, so
 results stay exact.  No task sees all words of a node: states and edges meet in
 joins, and each state meets each edge of its node, of which there are at most as
-many as letters.
+many as letters.  Joins build their hash tables of edges, which no node has many
+of, and deal states out, so a node that many words reach needs no sorting.
 
 Rows: a null text has no words, a null ``doc_id`` is hashed as an empty string,
 and rows that repeat count each.  Very long texts are read whole; very long
@@ -55,6 +57,8 @@ LEAST_CHARS, LEAST_COUNT, FORM_FACTOR = 7, 2, 10
 DROPPED = 31
 #: Words that a task counts before it hands them on.
 COUNTED = 200_000
+#: States up to which a level is small.
+FEW = 100_000
 #: Longest word that stands for itself as a key; longer ones are known by a hash of 256 bits.
 KEY_CHARS = 64
 
@@ -105,10 +109,34 @@ def _key(word: Column) -> Column:
     return F.when(F.length(word) <= KEY_CHARS, word).otherwise(F.concat(F.lit("#"), F.sha2(word, 256)))
 
 
+def _spans(words: list[str], back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of words that lie one after the other, where each begins, its length, and where its states start.
+
+    A word that is read backwards starts at its other half.
+    """
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return points, np.cumsum(length) - length, length, np.where(back, length - length // 2, length // 2)
+
+
+def _names(points: np.ndarray, at: np.ndarray, until: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Nodes of stretches of code points: hashes that tell the two tries apart."""
+    return _hasher()(points, at, until).view(np.int64) ^ np.where(back, _BACKWARDS, np.int64(0))
+
+
 def both_ways(words: DataFrame) -> DataFrame:
-    """``key, backwards, spelt``: each word as it stands and backwards."""
+    """``key, backwards, spelt, n, position, first, last``: each word as it stands and backwards, where its states start, and the nodes of that place and of its end."""
     ways = F.explode(F.array(F.struct(F.lit(False).alias("backwards"), F.col("word").alias("spelt")), F.struct(F.lit(True).alias("backwards"), F.reverse("word").alias("spelt"))))
-    return words.select(_key(F.col("word")).alias("key"), ways.alias("w")).select("key", "w.backwards", "w.spelt")
+    turned = words.select(_key(F.col("word")).alias("key"), ways.alias("w"), "n").select("key", "w.backwards", "w.spelt", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back = batch.column(1).to_numpy(zero_copy_only=False)
+            points, begin, length, start = _spans(batch.column(2).to_pylist(), back)
+            first, last = _names(points, begin, begin + start, back), _names(points, begin, begin + length, back)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start, pa.int32()), pa.array(first), pa.array(last)], [*batch.schema.names, "position", "first", "last"])
+
+    return turned.mapInArrow(run, "key string, backwards boolean, spelt string, n long, position int, first long, last long")
 
 
 def nodes(spelt: DataFrame) -> DataFrame:
@@ -120,18 +148,14 @@ def nodes(spelt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(2).to_pylist()
             back = batch.column(1).to_numpy(zero_copy_only=False)
-            length = np.fromiter(map(len, words), np.int64, len(words))
-            points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-            begin = np.cumsum(length) - length
-            start = np.where(back, length - length // 2, length // 2)
+            points, begin, length, start = _spans(batch.column(2).to_pylist(), back)
             least = np.where(back, length // 2, (length - 1) // 2)
             many = length - least + 1
-            owner = np.repeat(np.arange(len(words)), many)
+            owner = np.repeat(np.arange(len(back)), many)
             depth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + least[owner]
             at = begin[owner]
-            node = _hasher()(points, at, at + depth).view(np.int64) ^ np.where(back[owner], _BACKWARDS, np.int64(0))
+            node = _names(points, at, at + depth, back[owner])
             over = depth < length[owner]
             after = np.zeros(len(owner), np.int32)
             after[over] = points[(at + depth)[over]]
@@ -145,60 +169,80 @@ def nodes(spelt: DataFrame) -> DataFrame:
 
 
 def edges(spelt: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node, child, label``: the two tries as one table, stretches without a fork drawn together."""
+    """``node, child, label, follow``: the two tries as one table, stretches without a fork drawn together.
+
+    ``follow`` has the code points that the edges of the child begin with, and
+    a full stop if a word ends there.
+    """
     forks = rows.groupBy("node").agg((F.max("start") | (F.min("next") == 0) | (F.min("next") < F.max("next"))).alias("kept")).filter("kept").select("node")
     met = rows.select("key", "backwards", "depth", "node").join(forks, "node")
     chains = met.groupBy("key", "backwards").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("chain")).filter(F.size("chain") > 1)
-    chains = chains.join(spelt, ["key", "backwards"])
+    chains = chains.join(spelt.select("key", "backwards", "spelt"), ["key", "backwards"])
     step = F.explode(F.zip_with(F.slice("chain", F.lit(1), F.size("chain") - 1), F.slice("chain", F.lit(2), F.size("chain") - 1), lambda a, b: F.struct(a["node"].alias("node"), b["node"].alias("child"), F.substring(F.col("spelt"), a["depth"] + 1, b["depth"] - a["depth"]).alias("label"))))
-    return chains.select(step.alias("e")).select("e.*").distinct()
+    steps = staged(chains.select(step.alias("e")).select("e.*").distinct().withColumn("head", F.substring("label", 1, 1)), "steps")
+    ends = spelt.select(F.col("last").alias("node"), F.lit(".").alias("head")).distinct()
+    follow = steps.select("node", "head").unionByName(ends).groupBy("node").agg(F.array_join(F.collect_set("head"), "").alias("follow"))
+    return steps.drop("head").join(follow.withColumnRenamed("node", "child"), "child")
 
 
 # --- the frontier -----------------------------------------------------------
 
 
-def _moved() -> Column:
-    """The states that a state has after an edge: ``position, node, edits``."""
+def _spent(states: DataFrame, trie: DataFrame) -> DataFrame:
+    """States whose edit is spent follow the edge that spells what is next."""
+    size = F.length("label")
+    met = states.join(trie, "node").filter((F.substring("spelt", F.col("position") + 1, size) == F.col("label")) & _can_go_on(F.col("position") + size))
+    return met.select("backwards", "spelt", "n", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits")
+
+
+def _can_go_on(position: Column) -> Column:
+    """Whether a state that spent its edit ends there at a word's end, or has an edge that begins as the word goes on."""
+    return F.contains("follow", F.when(position == F.length("spelt"), F.lit(".")).otherwise(F.substring("spelt", position + 1, F.lit(1))))
+
+
+def _fresh(states: DataFrame, trie: DataFrame) -> DataFrame:
+    """States with an edit left meet every edge of their node, and go on, replace a code point or add one."""
     size = F.length("label")
     piece, shorter = F.substring("spelt", F.col("position") + 1, size), F.substring("spelt", F.col("position") + 1, size - 1)
-    state = lambda by, edits: F.struct((F.col("position") + by).cast("int").alias("position"), F.col("child").alias("node"), F.lit(edits).alias("edits"))
-    fresh, same = F.col("edits") == 0, piece == F.col("label")
-    near = lambda text, length: (F.length(text) == length) & (F.levenshtein(text, F.col("label"), 1) == 1)
-    kept = F.when(same & fresh, state(size, 0)).when(same, state(size, 1))
-    replaced = F.when(fresh & ~same & near(piece, size), state(size, 1))
-    added = F.when(fresh & ~same & near(shorter, size - 1), state(size - 1, 1))
-    return F.array_compact(F.array(kept, replaced, added))
+    # One code point differs from another at once; longer labels are measured.
+    near = lambda text, length: (F.length(text) == length) & ((size == 1) | (F.levenshtein(text, F.col("label"), 1) == 1))
+    kept = piece == F.col("label")
+    replaced = (F.col("label") > piece) & _can_go_on(F.col("position") + size) & near(piece, size)
+    added = ~kept & _can_go_on(F.col("position") + size - 1) & near(shorter, size - 1)
+    moves = F.array_compact(F.array(F.when(kept, 0), F.when(replaced, 1), F.when(added, 2)))
+    met = states.join(trie, "node").filter(kept | replaced | added)
+    met = met.select("backwards", "spelt", "n", "position", F.col("child").alias("node"), size.alias("size"), F.explode(moves).alias("move"))
+    position = F.col("position") + F.col("size") - (F.col("move") == 2).cast("int")
+    return met.select("backwards", "spelt", "n", position.alias("position"), "node", (F.col("move") > 0).cast("int").alias("edits"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """``word, near``: all ordered pairs of ``words`` at exactly one inserted, deleted or replaced code point."""
+    """``word, n, near, near_n``: the pairs of ``words`` at exactly one added or replaced code point, each once; ``near`` is the longer or larger word."""
     spelt = staged(both_ways(words), "spelt")
-    rows = nodes(spelt)
-    trie = staged(edges(spelt, rows), "edges")
-    ends = rows.filter("next = 0").select("key", "backwards", "node").join(spelt, ["key", "backwards"]).select("node", F.col("spelt").alias("near"))
-    starts = rows.filter("start").select("key", "backwards", F.col("depth").alias("position"), "node").join(spelt, ["key", "backwards"])
-    states = starts.select("backwards", "spelt", "position", "node", F.lit(0).alias("edits"))
+    trie = staged(edges(spelt, nodes(spelt.select("key", "backwards", "spelt"))), "edges")
+    ends = spelt.select(F.col("last").alias("node"), F.col("spelt").alias("near"), F.col("n").alias("near_n"))
+    states = spelt.select("backwards", "spelt", "n", "position", F.col("first").alias("node"), F.lit(0).alias("edits"))
     levels = []
     done = (F.col("edits") == 1) & (F.col("position") == F.length("spelt"))
-    while True:
-        # Where the edit is spent, only the edge that begins as the word goes on can follow.
-        fits = (F.col("edits") == 0) | (F.substring("label", 1, 1) == F.substring("spelt", F.col("position") + 1, F.lit(1)))
-        moved = states.join(trie, "node").filter(fits).select("backwards", "spelt", F.explode(_moved()).alias("s"))
-        moved = staged(moved.select("backwards", "spelt", "s.position", "s.node", "s.edits"), "states")
+    count = FEW + 1
+    while count:
+        # Both joins deal edges by node once.  Where few states are left, Spark may send these to the edges instead.
+        meets = trie.hint("shuffle_hash") if count > FEW else trie
+        moved = _fresh(states.filter("edits = 0"), meets)
+        if levels:
+            moved = moved.unionByName(_spent(states.filter("edits = 1"), meets))
+        moved = staged(moved, "states")
         levels.append(moved)
         states = moved.filter(~done)
-        if states.isEmpty():
-            break
-    pairs = reduce(DataFrame.unionByName, [t.filter(done).select("backwards", "spelt", "node") for t in levels]).join(ends, "node")
+        count = states.count()
+    pairs = reduce(DataFrame.unionByName, [t.filter(done).select("backwards", "spelt", "n", "node") for t in levels]).join(ends, "node")
     pairs = pairs.filter(F.levenshtein("spelt", "near", 1) == 1)
     told = lambda c: F.when(F.col("backwards"), F.reverse(c)).otherwise(F.col(c))
-    pairs = pairs.select("backwards", told("spelt").alias("word"), told("near").alias("near"))
+    pairs = pairs.select("backwards", told("spelt").alias("word"), "n", told("near").alias("near"), "near_n")
     # An edit behind the half is the first trie's, whatever the second one finds.
     half = F.floor(F.length("word") / 2).cast("int")
     first = F.substring("word", F.lit(1), half) == F.substring("near", F.lit(1), half)
-    pairs = pairs.filter(~(F.col("backwards") & first)).select("word", "near")
-    longer = pairs.filter(F.length("near") > F.length("word")).select(F.col("near").alias("word"), F.col("word").alias("near"))
-    out = staged(pairs.unionByName(longer).distinct(), "near")
+    out = staged(pairs.filter(~(F.col("backwards") & first)).drop("backwards").distinct(), "near")
     release(spelt, trie, *levels)
     return out
 
@@ -206,12 +250,14 @@ def neighbours(words: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """``word, form, root, n, n_near, form_n``, one row for each word."""
     words = staged(counted(docs), "words")
-    near = neighbours(words)
-    counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = near.join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    joined = words.join(best, "word", "left")
-    fit = -F.col("best.less") >= FORM_FACTOR * F.col("n")
-    table = joined.select("word", F.when(fit, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fit, -F.col("best.less")).alias("form_n"))
+    pairs = neighbours(words)
+    swapped = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    near = pairs.unionByName(swapped)
+    many = near.groupBy("word").agg(F.count("*").alias("n_near"))
+    # Only words that are frequent enough can be a form, and only few pairs have one.
+    forms = near.filter(F.col("near_n") >= FORM_FACTOR * F.col("n")).groupBy("word").agg(F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
+    table = words.join(many, "word", "left").join(forms, "word", "left")
+    table = table.select("word", F.col("best.form").alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("best.less")).alias("form_n"))
     table = staged(table, "forms")
     # Each form has ten times the occurrences of its word: that bounds the length of a path, which each round doubles.
     most = table.agg(F.max("n")).first()[0] or 1
