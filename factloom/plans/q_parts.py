@@ -93,10 +93,10 @@ def merged_requests(spark: SparkSession, folder: str) -> DataFrame:
     return A.merged_requirement(old, new).select("session_id", F.array_join("regions", ",").alias("regions"), "metric", "population", "residence", "kind")
 
 
-@query(LINES + "SELECT l_orderkey AS answer_id, bool_and(f <> 'R') AS supported, count(*) FILTER (WHERE f = 'N') = 0 AND count(*) FILTER (WHERE f = 'R') = 0 AS parted FROM ln GROUP BY 1")
+@query(LINES + "SELECT l_orderkey AS answer_id, bool_and(f <> 'R') AS supported, count(*) FILTER (WHERE f = 'N' AND q < 25) = 0 AND count(*) FILTER (WHERE f = 'A' AND s = 'F' AND q > 45) = 0 AS parted FROM ln GROUP BY 1")
 def support_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Whether an answer's sources are those that were expected, and whether supported and unsupported claims part all claims."""
-    l = lines(spark, folder).groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.collect_set("l_linenumber").alias("every"), F.collect_set(F.when(F.col("f") != "R", F.col("l_linenumber"))).alias("found"), F.collect_set(F.when(F.col("f") == "A", F.col("l_linenumber"))).alias("yes"), F.collect_set(F.when(F.lit(False), F.col("l_linenumber"))).alias("no"))  # noqa: E741
+    l = lines(spark, folder).groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.collect_set("l_linenumber").alias("every"), F.collect_set(F.when(F.col("f") != "R", F.col("l_linenumber"))).alias("found"), F.collect_set(F.when(F.col("f") == "A", F.col("l_linenumber"))).alias("yes"), F.collect_set(F.when((F.col("f") == "R") | ((F.col("f") == "N") & (F.col("q") >= 25)) | ((F.col("f") == "A") & (F.col("s") == "F") & (F.col("q") > 45)), F.col("l_linenumber"))).alias("no"))  # noqa: E741
     return l.select("answer_id", V.same_members(F.col("every"), F.col("found")).alias("supported"), Q.parted(F.col("every"), F.col("yes"), F.col("no")).alias("parted"))
 
 

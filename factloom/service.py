@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from factloom.operators import calculations, chunking, collect, facts, index, pages, retrieval
 from factloom.plans.corpus import Corpus, built
-from factloom.plans.staging import staged
+from factloom.plans.staging import release, staged
 
-#: Chunks of a request to an embedder, and the error codes that a caller may see with their status.
+#: Chunks of a request to an embedder, and the error codes that a caller may see with their status.  A refusal and thin
+#: evidence are answers (200) that say so in their body; only a request that is at fault, something unknown and a
+#: provider's failure have other codes.
 REQUEST_CHUNKS = 16
 STATUS = {"ok": 200, "blank_query": 422, "insufficient_evidence": 200, "candidate_evidence": 200, "refused": 200, "DOCUMENT_WITHDRAWN": 404, "UNKNOWN_DOCUMENT": 404, "PROVIDER_RATE_LIMITED": 429, "PROVIDER_TIMEOUT": 504, "PROVIDER_UNAVAILABLE": 503, "PROVIDER_AUTH": 502, "PROVIDER_ERROR": 502}
 
@@ -52,7 +54,9 @@ def ingest(report_pages: DataFrame, state: DataFrame | None = None, version: int
     report = staged(told.select("document_id", "status", "reason", "n_pages", "n_chunks", F.when(F.col("status") == "indexed", F.ceil(F.col("n_chunks") / REQUEST_CHUNKS)).otherwise(0).alias("n_requests"), "fingerprint", "source_checksum", "version"), "report")
     live = report.filter("status = 'indexed'").select("document_id")
     summary = report.agg(F.count("*").alias("n_documents"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("indexed", "skipped", "failed", "empty")], F.sum("n_pages").alias("n_pages"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_requests").alias("n_requests"), (F.count_if(F.col("status") == "failed") > 0).alias("review_required"))
-    return Ingested(built(given.join(live, "document_id", "left_semi")), report, summary)
+    made = built(given.join(live, "document_id", "left_semi"))
+    release(given, chunks, failed)
+    return Ingested(made, report, summary)
 
 
 def search(corpus: Corpus, queries: DataFrame, vectors: DataFrame, top_k: int = 10, **scope: object) -> tuple[DataFrame, DataFrame]:
