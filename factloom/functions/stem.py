@@ -94,9 +94,9 @@ def stems(words: DataFrame) -> DataFrame:
 def stems_sql(words: str) -> str:
     """CTEs ``st0`` to ``stems`` that give ``term, stem`` for the ``term`` of a table."""
     fell = "w LIKE '%+'"
-    parts = [f"st0 AS (SELECT term, term AS w, regexp_matches(term, '^[a-z]+$') AND length(term) > 2 AS fit FROM {words})"]
+    parts = [f"st0 AS MATERIALIZED (SELECT term, term AS w, regexp_matches(term, '^[a-z]+$') AND length(term) > 2 AS fit FROM {words})"]
     for k, step in enumerate(steps(", 'g'")):
         held = f"CASE WHEN fit{' AND fell' if k == MENDING else ''} THEN {step} ELSE w END"
         inner = f"SELECT term, fit, fell, w, {shape('w', ", 'g'")} AS s FROM (SELECT term, fit, {fell} AS fell, rtrim(w, '+') AS w FROM st{k})"
-        parts.append(f"st{k + 1} AS (SELECT term, fit, {held} AS w FROM ({inner}))")
-    return ",\n    ".join([*parts, f"stems AS (SELECT term, w AS stem FROM st{len(steps())})"])
+        parts.append(f"st{k + 1} AS MATERIALIZED (SELECT term, fit, {held} AS w FROM ({inner}))")
+    return ",\n    ".join([*parts, f"stems AS MATERIALIZED (SELECT term, w AS stem FROM st{len(steps())})"])

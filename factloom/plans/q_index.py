@@ -63,9 +63,10 @@ WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')
 STEMMED_SQL = rf"""
     WITH words AS (SELECT DISTINCT unnest({WORDS}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
     {stems_sql('words')},
-    ts AS (SELECT doc_id AS chunk_id, len({WORDS}) AS length, unnest({WORDS}) AS term FROM documents WHERE TRUE),
-    p AS (SELECT chunk_id, length, stem AS term, count(*) AS tf FROM ts JOIN stems USING (term) GROUP BY ALL),
-    asked AS (SELECT DISTINCT query_id, stem AS term FROM (SELECT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark) JOIN stems USING (term)),
+    tw AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents WHERE TRUE),
+    ts AS MATERIALIZED (SELECT doc_id AS chunk_id, len(ws) AS length, unnest(ws) AS term FROM tw),
+    p AS MATERIALIZED (SELECT chunk_id, length, stem AS term, count(*) AS tf FROM ts JOIN stems USING (term) GROUP BY ALL),
+    asked AS MATERIALIZED (SELECT DISTINCT query_id, stem AS term FROM (SELECT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark) JOIN stems USING (term)),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
     s AS (SELECT query_id, chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM documents WHERE TRUE) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256.0))), 6) AS score
           FROM p JOIN df USING (term) JOIN asked USING (term) GROUP BY ALL),
