@@ -137,10 +137,13 @@ def discovered(pdfs: DataFrame, texts: DataFrame, overrides: DataFrame) -> DataF
     key = lambda df: df.withColumn("stem", file_key(stem(F.col("path"))))
     p, t = key(pdfs).select(F.col("path").alias("pdf"), "stem"), key(texts).select(F.col("path").alias("markdown"), F.col("stem").alias("t_stem"))
     shared = p.groupBy("stem").agg(F.count("*").alias("n_pdfs"))
-    by_rule = p.join(overrides.select(F.col("pdf_filename").alias("pdf"), F.col("markdown_filename").alias("told")), "pdf", "left").join(shared, "stem")
-    paired = by_rule.join(t, F.when(F.col("told").isNotNull(), F.col("told") == F.col("markdown")).otherwise(F.col("stem") == F.col("t_stem")), "left")
-    twice = F.count("markdown").over(Window.partitionBy("markdown"))
-    out = paired.select("pdf", "markdown", F.when((F.col("n_pdfs") > 1) & F.col("told").isNull(), "AMBIGUOUS_STEM").when(F.col("markdown").isNotNull() & (twice > 1), "MARKDOWN_PAIRED_TWICE").alias("reason"))
+    # One key for both rules: a join on a condition of two columns would compare every pair of files.
+    told, own = lambda c: F.concat(F.lit("="), F.col(c)), lambda c: F.concat(F.lit("~"), F.col(c))
+    by_rule = p.join(overrides.select(F.col("pdf_filename").alias("pdf"), F.col("markdown_filename").alias("told")), "pdf", "left").join(shared, "stem").withColumn("key", F.coalesce(told("told"), own("stem")))
+    paired = by_rule.join(t.select("markdown", F.explode(F.array(told("markdown"), own("t_stem"))).alias("key")), "key", "left")
+    # Counted aside: in a window all files without a text would be one group.
+    uses = paired.filter("markdown is not null").groupBy("markdown").agg(F.count("*").alias("uses")).withColumnRenamed("markdown", "used")
+    out = paired.join(uses, F.col("markdown") == F.col("used"), "left").select("pdf", "markdown", F.when((F.col("n_pdfs") > 1) & F.col("told").isNull(), "AMBIGUOUS_STEM").when(F.col("uses") > 1, "MARKDOWN_PAIRED_TWICE").alias("reason"))
     orphans = t.join(out.select("markdown"), "markdown", "left_anti").select(F.lit(None).cast("string").alias("pdf"), "markdown", F.lit("ORPHAN_MARKDOWN").alias("reason"))
     missing = overrides.join(p.select(F.col("pdf").alias("pdf_filename")), "pdf_filename", "left_anti").select(F.col("pdf_filename").alias("pdf"), F.col("markdown_filename").alias("markdown"), F.lit("OVERRIDE_MISSING_PDF").alias("reason"))
     return reduce(DataFrame.unionByName, [out, orphans, missing])
