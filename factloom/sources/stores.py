@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
+#: Folders that sessions are dealt over.
+SHELVES = 32
 #: Texts that an embedder gets at once, and how often it is tried.
 BATCH, TRIES = 16, 3
 
@@ -61,8 +63,12 @@ def read_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_traces(traces: DataFrame, folder: str) -> None:
-    """Run traces as JSON lines by session; runs are added, never changed."""
-    traces.write.mode("append").partitionBy("session_id").json(folder)
+    """Run traces as JSON lines, those of a session on one shelf; runs are added, never changed.
+
+    Shelves are a fixed number, so files do not grow with sessions.
+    """
+    shelved = traces.withColumn("shelf", F.pmod(F.xxhash64("session_id"), F.lit(SHELVES)).cast("int"))
+    shelved.repartition(SHELVES, "shelf").write.mode("append").partitionBy("shelf").json(folder)
 
 
 def read_traces(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from factloom.operators import pages
+from factloom.sources import stores
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -19,3 +22,13 @@ def test_files_are_paired_by_one_key(spark):
     got = {(r.pdf, r.markdown): r.reason for r in out.collect()}
     assert (got["File 3.pdf", "File 4.md"], got["File 4.pdf", "File 4.md"]) == ("MARKDOWN_PAIRED_TWICE", "MARKDOWN_PAIRED_TWICE")
     assert got["File 5.pdf", "File 5.md"] is None and got[None, "File 3.md"] == "ORPHAN_MARKDOWN" and len(got) == 51
+
+
+def test_traces_do_not_take_a_folder_a_session(spark, tmp_path):
+    at = str(tmp_path / "traces")
+    rows = spark.range(300).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("session_id"), F.col("id").cast("string").alias("run_id"), F.lit("t").alias("trace"))
+    stores.write_traces(rows, at)
+    stores.write_traces(rows.filter("run_id = '7'"), at)
+    assert len(list(Path(at).glob("*=*"))) <= stores.SHELVES
+    got = {r.run_id: r.trace for r in stores.read_traces(spark, at, spark.createDataFrame([("5",), ("7",), ("x",)], "run_id string")).collect()}
+    assert got == {"5": "t", "7": None, "x": None}
