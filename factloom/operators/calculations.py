@@ -97,13 +97,19 @@ def derived_claims(claims: DataFrame, calculations: DataFrame, default_year: int
     return one.select("calc_id", F.when(change, over_time).otherwise(apart).alias("text"), F.col("left.claim_id").alias("left_claim"), F.col("right.claim_id").alias("right_claim"), F.array_union("left.cited", "right.cited").alias("evidence_ids"), F.when(~change, F.col("left.year")).alias("year"))
 
 
+def without_name(text: Column, name: Column) -> Column:
+    """A text without a name that it has as whole words: a number of the name (a block, a ward) is no year."""
+    literal = F.concat(F.lit(r"(?<!\w)\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
+    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", text).otherwise(F.regexp_replace(text, literal, F.lit(" ")))
+
+
 def year_verdicts(claims: DataFrame, facts: DataFrame, default_year: int = DEFAULT_YEAR) -> DataFrame:
     """``claim_id, verdict``: whether the table's own column is of the claim's year.
 
     Confirmed or contradicted by the cells of the claim's own row in its cited
     chunk with its value; null if no such cell is there or none tells a year.
     """
-    asked = claims.select("claim_id", F.explode("evidence_ids").alias("chunk_id"), F.lower("region").alias("c_region"), F.col("value").cast("double").alias("c_value"), metric_words(F.regexp_replace("metric", "_", " ")).alias("c_words"), F.lower(F.coalesce("residence", F.lit("total"))).alias("c_residence"), "population", F.array_sort(qualifiers(F.concat_ws(" ", "metric", "population"))).alias("c_groups"), F.col("year").alias("c_year"), named_years(F.col("text")).alias("text_years"))
+    asked = claims.select("claim_id", F.explode("evidence_ids").alias("chunk_id"), F.lower("region").alias("c_region"), F.col("value").cast("double").alias("c_value"), metric_words(F.regexp_replace("metric", "_", " ")).alias("c_words"), F.lower(F.coalesce("residence", F.lit("total"))).alias("c_residence"), "population", F.array_sort(qualifiers(F.concat_ws(" ", "metric", "population"))).alias("c_groups"), F.col("year").alias("c_year"), named_years(without_name(F.col("text"), F.col("region"))).alias("text_years"))
     group = F.lower(F.coalesce("population", F.lit("persons")))
     group = F.when(group == "male", "males").when(group == "female", "females").when(group == "total", "persons").otherwise(group)
     cells = facts.select("chunk_id", F.lower("entity").alias("f_entity"), F.col("value").cast("double").alias("f_value"), metric_words(F.col("metric")).alias("f_words"), F.coalesce("residence", F.lit("total")).alias("f_residence"), F.coalesce("population_group", F.lit("persons")).alias("f_group"), F.array_sort(qualifiers(F.concat_ws(" ", "metric", "title"))).alias("f_groups"), F.col("year").alias("f_year"))
