@@ -64,7 +64,7 @@ def quoted_cells(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A blank header cell goes on with what is left of it in its row.  The years
     of a cell are those of the headers above it and those that stand left of it
-    in its own row, for years may run down a table.
+    in its own row in cells without a letter, for years may run down a table.
     """
     q = _read(quotes.select("quote_id", "quote"))
     told = q.select("quote_id", letters(F.col("quote")).alias("quote_words"), F.size("rows").alias("n_rows"))
@@ -74,7 +74,8 @@ def quoted_cells(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.select("quote_id", F.filter("heads", lambda h: h["row"] < F.col("row")).alias("heads"), labels.alias("labels"), "r.cells", F.col("r.numbers").alias("by_cell"), F.posexplode("r.numbers").alias("column", "numbers")).filter(F.size("numbers") > 0)
     above = F.transform("heads", lambda h: F.coalesce(F.try_element_at(F.filter(F.slice(h["cells"], F.lit(1), F.col("column") + 1), lambda c: c != ""), F.lit(-1)), F.lit("")))
     each = computed(each, above=above)
-    left = F.flatten(F.slice("by_cell", F.lit(1), F.col("column")))
+    # The label of a row may hold a number (a block, a ward) that is no year; only cells without a letter tell one.
+    left = F.flatten(F.transform(F.slice("by_cell", F.lit(1), F.col("column")), lambda ns, j: F.when(~F.get("cells", j).rlike(r"\p{L}"), ns).otherwise(F.array().cast("array<double>"))))
     context = letters(F.concat_ws(" ", "labels", F.array_join("above", " ")))
     out = each.select(
         "quote_id", "numbers", letters(F.col("labels")).alias("label_words"), F.array_union(context, F.transform(context, lambda w: F.regexp_replace(w, "s+$", ""))).alias("context_words"),
