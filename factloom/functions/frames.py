@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to tasks for all cores, where a step computes much from few bytes and Spark would merge small partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def changed(base: DataFrame, key: str, changes: dict[str, dict[str, Column]]) -> DataFrame:
+    """Copies of rows with some fields changed, in one pass; the key begins with the change's name."""
+    copies = base.withColumn("__change", F.explode(F.array(*map(F.lit, changes))))
+
+    def field(name: str) -> Column:
+        out = F.concat(F.col("__change"), F.lit(":"), F.col(key)) if name == key else F.col(name)
+        for change, fields in changes.items():
+            if name in fields:
+                out = F.when(F.col("__change") == change, fields[name]).otherwise(out)
+        return out.alias(name)
+
+    return copies.select(*map(field, base.columns))
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once for each row.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import computed, spread
 from factloom.functions.text import tokens
 from factloom.operators.chunking import split_blocks
 
@@ -52,21 +53,31 @@ def alignment(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """The page of each block without markers, where one page of its document is clearly best; null where none is.
 
     The score is the share of the block's words, with their counts, that the
-    page has; a page with all of the block in a row has all its words.  Words
-    are counted and joined, so only pages that share a word are scored.  All
-    blocks of a document with one page are on it.
+    page has.  Words are counted and met within a document, so only pages that
+    share a word are scored.  All blocks of a document with one page are on it.
+
+    Texts are dealt by document once; every step after that stays on its task,
+    as its groups are parts of a document.
     """
-    count = lambda df, key, name: df.select(*key, F.explode(tokens(F.col("text"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias(name))
-    b, p = count(blocks, ["document_id", "block_no"], "nb"), count(pages, ["document_id", "page_number"], "np")
-    sizes = blocks.select("document_id", "block_no", F.size(tokens(F.col("text"))).alias("n"))
-    shared = b.join(p, ["document_id", "word"]).groupBy("document_id", "block_no", "page_number").agg(F.sum(F.least("nb", "np")).alias("both"))
-    scored = shared.join(sizes, ["document_id", "block_no"]).select("document_id", "block_no", "page_number", F.round(F.col("both") / F.col("n"), 6).alias("score"))
-    w = Window.partitionBy("document_id", "block_no").orderBy(F.desc("score"), "page_number")
-    best = scored.withColumn("turn", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).filter("turn = 1")
-    only = pages.groupBy("document_id").agg(F.min("page_number").alias("only"), F.max("page_number").alias("last")).filter("only = last").select("document_id", "only")
-    met = sizes.join(best.drop("turn"), ["document_id", "block_no"], "left").join(only, "document_id", "left")
-    clear = (F.col("score") >= ALIGNED) & (F.col("score") - F.col("second") >= APART)
-    return met.select("document_id", "block_no", F.coalesce("only", F.when(clear, F.col("page_number"))).alias("page_number"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    part = lambda df, side, key: df.select("document_id", F.lit(side).alias("side"), F.col(key).cast("long").alias("no"), F.coalesce("text", F.lit("")).alias("text"))
+    both = spread(part(blocks, 0, "block_no").unionByName(part(pages, 1, "page_number")), "document_id")
+    both = computed(both, words=tokens(F.col("text")))
+    # A row without a word keeps each block and page in sight, whatever they share.
+    each = both.select("document_id", "side", "no", F.size("words").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word"))
+    counted = each.groupBy("document_id", "side", "no", "n", "word").agg(F.count("*").alias("k"))
+    some = lambda side, *cols: F.collect_list(F.when(F.col("side") == side, F.struct(*cols)))
+    met = counted.groupBy("document_id", "word").agg(some(0, "no", "n", "k").alias("bs"), some(1, "no", "k").alias("ps"))
+    # Blocks as such, each once, with the only page of their document.
+    only = F.when(F.size("ps") == 1, F.get("ps", F.lit(0))["no"])
+    pairs = met.select("document_id", "word", F.when(F.col("word").isNull(), only).alias("only"), F.explode("bs").alias("b"), "ps")
+    pairs = pairs.select("document_id", "word", "only", "b", F.explode_outer(F.when(F.col("word").isNotNull(), F.col("ps"))).alias("p"))
+    shared = pairs.groupBy("document_id", F.col("b.no").alias("block_no"), F.col("p.no").alias("page_number")).agg(F.max("only").alias("only"), F.max("b.n").alias("n"), F.sum(F.least("b.k", "p.k")).alias("both"))
+    scored = shared.withColumn("score", F.when(F.col("page_number").isNotNull(), F.round(F.col("both") / F.col("n"), 6)))
+    rated = F.array_sort(F.collect_list(F.when(F.col("page_number").isNotNull(), F.struct((-F.col("score")).alias("minus"), "page_number"))))
+    best = scored.groupBy("document_id", "block_no").agg(F.max("only").alias("only"), F.min(F.when(F.col("page_number").isNotNull(), F.struct((-F.col("score")).alias("minus"), "page_number"))).alias("first"), rated.alias("rated"))
+    score, second = -F.col("first.minus"), F.coalesce(-F.get("rated", F.lit(1))["minus"], F.lit(0.0))
+    clear = (score >= ALIGNED) & (score - second >= APART)
+    return best.select("document_id", "block_no", F.coalesce("only", F.when(clear, F.col("first.page_number"))).alias("page_number"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def review_errors(documents: DataFrame, reviews: DataFrame) -> DataFrame:

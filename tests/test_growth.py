@@ -32,3 +32,11 @@ def test_traces_do_not_take_a_folder_a_session(spark, tmp_path):
     assert len(list(Path(at).glob("*=*"))) <= stores.SHELVES
     got = {r.run_id: r.trace for r in stores.read_traces(spark, at, spark.createDataFrame([("5",), ("7",), ("x",)], "run_id string")).collect()}
     assert got == {"5": "t", "7": None, "x": None}
+
+
+def test_blocks_and_pages_are_shuffled_once(spark):
+    blocks = spark.createDataFrame([("d", 0, "a b c d"), ("d", 1, "..."), ("e", 0, "x")], "document_id string, block_no long, text string")
+    on = spark.createDataFrame([("d", 0, "a b c d"), ("d", 1, "a z"), ("e", 4, "")], "document_id string, page_number long, text string")
+    out = pages.alignment(blocks, on)
+    assert _plan(out).count("Exchange hashpartitioning") == 1
+    assert {(r.document_id, r.block_no): (r.page_number, r.score) for r in out.collect()} == {("d", 0): (0, 1.0), ("d", 1): (None, 0.0), ("e", 0): (4, 0.0)}
