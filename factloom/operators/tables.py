@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import computed
+from factloom.functions.frames import computed, spread
 from factloom.functions.text import GROUPS, PERIOD, RESIDENCES, UNIT, YEAR, parse_number, periods, plain, qualifiers, single_year, squeezed, unit
 from factloom.operators.chunking import HEADING, blocks, cells, full_lines
 
@@ -65,9 +65,11 @@ def header_paths(levels: Column, width: Column) -> Column:
 
 def statement_tables(pages: DataFrame) -> DataFrame:
     """One row for each printed table with a row of column numbers and a label column, continued ones numbered alike."""
-    t = contexts(pages).filter("kind = 'table'").select("document_id", "region", "source_checksum", "page_number", "block_no", "context_no", "statement", "table_title", full_lines(F.col("block")).alias("lines"))
+    # Pages are dealt by document once: all windows below stay on their tasks, and headers are computed on all cores.
+    t = contexts(spread(pages, "document_id")).filter("kind = 'table'").select("document_id", "region", "source_checksum", "page_number", "block_no", "context_no", "statement", "table_title", full_lines(F.col("block")).alias("lines"))
     t = computed(t, rows=F.transform("lines", cells))
-    counts = lambda row: (F.size(row) >= 2) & F.forall(F.transform(row, lambda c, i: plain(c) == (i + 1).cast("string")), lambda ok: ok)
+    # Most rows don't begin with 1, and are read no further.
+    counts = lambda row: (F.size(row) >= 2) & (plain(F.get(row, F.lit(0))) == "1") & F.forall(F.transform(row, lambda c, i: plain(c) == (i + 1).cast("string")), lambda ok: ok)
     rule = lambda row: F.forall(row, lambda c: c.rlike("^[-:]*$"))
     t = computed(t, number_row=F.array_position(F.transform("rows", counts), F.lit(True)).cast("int") - 1).filter("number_row >= 0")
     t = computed(t, width=F.size(F.get("rows", F.col("number_row"))))
@@ -137,7 +139,12 @@ def table_rows(tables: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def facts(tables: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every cell of a value column: one row for each entity and column, ``value`` null where a cell is no number."""
-    columns, rows = table_columns(tables).filter("metric is not null"), table_rows(tables, chunks).filter("not malformed")
+    return facts_of(table_columns(tables), table_rows(tables, chunks))
+
+
+def facts_of(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Facts from the columns and rows of tables as they are."""
+    columns, rows = columns.filter("metric is not null"), rows.filter("not malformed")
     both = columns.join(rows.drop("table_id"), ["document_id", "page_number", "block_no"])
     raw = F.get("cells", F.col("column_index"))
     return both.select("document_id", "region", "table_id", "statement", "title", "entity", "entity_code", "aggregate", "entity_kind", "column_index", "metric", "year", "period", "residence", "population_group", "qualifiers", "unit", raw.alias("raw_value"), parse_number(raw).alias("value"), "page_number", "chunk_id", "line")

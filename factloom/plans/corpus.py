@@ -1,8 +1,8 @@
-"""The indexed corpus of one folder: pages, chunks, tables and facts, built once in a session."""
+"""The indexed corpus of one folder: pages, chunks, tables and facts, each built once in a session."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +11,31 @@ from factloom.plans.staging import staged
 from factloom.sources import reports
 
 
-@dataclass(frozen=True)
 class Corpus:
-    pages: DataFrame
-    chunks: DataFrame
-    tables: DataFrame
-    columns: DataFrame
-    rows: DataFrame
-    facts: DataFrame
+    """Written tables of paged reports; each is made when it is first asked for, from those before it."""
+
+    def __init__(self, pages: DataFrame) -> None:
+        self.pages = pages
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return staged(chunking.chunk_pages(self.pages), "chunks")
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        return staged(tables.statement_tables(self.pages), "tables")
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return staged(tables.table_columns(self.tables), "columns")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return staged(tables.table_rows(self.tables, self.chunks), "rows")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return staged(tables.facts_of(self.columns, self.rows), "facts")
 
 
 _built: dict[tuple, Corpus] = {}
@@ -36,13 +53,8 @@ def _version(spark: SparkSession, folder: str) -> tuple:
 
 
 def built(pages: DataFrame) -> Corpus:
-    """Written tables of paged reports: chunks, printed tables, their columns, rows and facts."""
-    pages = staged(pages, "pages")
-    chunks = staged(chunking.chunk_pages(pages), "chunks")
-    found = staged(tables.statement_tables(pages), "tables")
-    columns = staged(tables.table_columns(found), "columns")
-    rows = staged(tables.table_rows(found, chunks), "rows")
-    return Corpus(pages, chunks, found, columns, rows, staged(tables.facts(found, chunks), "facts"))
+    """Written pages of reports, and chunks, printed tables, their columns, rows and facts as they are asked for."""
+    return Corpus(staged(pages, "pages"))
 
 
 def corpus(spark: SparkSession, folder: str, source: str = "state") -> Corpus:
