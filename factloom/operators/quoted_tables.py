@@ -64,7 +64,8 @@ def quoted_cells(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A blank header cell goes on with what is left of it in its row.  The years
     of a cell are those of the headers above it and those that stand left of it
-    in its own row in cells without a letter, for years may run down a table.
+    in its own row, for years may run down a table; in a label only where no
+    header tells one.
     """
     q = _read(quotes.select("quote_id", "quote"))
     told = q.select("quote_id", letters(F.col("quote")).alias("quote_words"), F.size("rows").alias("n_rows"))
@@ -74,12 +75,15 @@ def quoted_cells(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.select("quote_id", F.filter("heads", lambda h: h["row"] < F.col("row")).alias("heads"), labels.alias("labels"), "r.cells", F.col("r.numbers").alias("by_cell"), F.posexplode("r.numbers").alias("column", "numbers")).filter(F.size("numbers") > 0)
     above = F.transform("heads", lambda h: F.coalesce(F.try_element_at(F.filter(F.slice(h["cells"], F.lit(1), F.col("column") + 1), lambda c: c != ""), F.lit(-1)), F.lit("")))
     each = computed(each, above=above)
-    # The label of a row may hold a number (a block, a ward) that is no year; only cells without a letter tell one.
-    left = F.flatten(F.transform(F.slice("by_cell", F.lit(1), F.col("column")), lambda ns, j: F.when(~F.get("cells", j).rlike(r"\p{L}"), ns).otherwise(F.array().cast("array<double>"))))
+    # The label of a row may hold a number (a block, a ward) that is no year: where headers tell years, only cells without a letter add to them.
+    before = F.slice("by_cell", F.lit(1), F.col("column"))
+    bare = F.transform(before, lambda ns, j: F.when(~F.get("cells", j).rlike(r"\p{L}"), ns).otherwise(F.array().cast("array<double>")))
+    each = computed(each, header_years=_years(stated(F.array_join("above", " "))))
+    left = F.flatten(F.when(F.size("header_years") > 0, bare).otherwise(before))
     context = letters(F.concat_ws(" ", "labels", F.array_join("above", " ")))
     out = each.select(
         "quote_id", "numbers", letters(F.col("labels")).alias("label_words"), F.array_union(context, F.transform(context, lambda w: F.regexp_replace(w, "s+$", ""))).alias("context_words"),
-        F.array_union(_years(stated(F.array_join("above", " "))), _years(left)).alias("years"),
+        F.array_union("header_years", _years(left)).alias("years"),
     )
     return told, out
 
@@ -105,7 +109,7 @@ def read_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
     key = lambda n: F.round(n, 6)
     asked = c.filter("n_rows > 0").filter(F.size("values") > 0).withColumn("key", key(F.get("values", F.lit(0))))
     cells_ = held.select("quote_id", F.explode(F.array_distinct(F.transform("numbers", key))).alias("key"), "numbers", "label_words", "context_words", "years")
-    met = asked.join(cells_, ["quote_id", "key"])
+    met = asked.join(cells_.hint("merge"), ["quote_id", "key"])
     here = lambda known: F.arrays_overlap("quote_words", F.array(*map(F.lit, known)))
     fits = (
         F.forall("values", lambda v: F.exists("numbers", lambda n: F.abs(n - v) < 1e-9))
@@ -126,13 +130,16 @@ def _folded_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(plain(F.coalesce(text, F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def chunk_cells(evidence: DataFrame) -> DataFrame:
-    """Cells with numbers of chunks (``chunk_id, text, section``): ``chunk_id, labels, raw, number, once, header, header_words, context_words, context, group_place, end``.
+def _filled(r: Column, j: Column) -> Column:
+    """A cell of a header row, blanks filled from the left."""
+    return F.coalesce(F.try_element_at(F.filter(F.slice(r, F.lit(1), j + 1), lambda c: c != ""), F.lit(-1)), F.lit(""))
 
-    A row is known by its cells with a letter.  ``raw`` is each number of a cell, and ``once`` whether its cell has that
-    number once.  The header is what stands above in the same table, whatever
-    it is, with blanks filled from the left; ``group_place`` is the place of a
-    column among three that share a heading in the first line.
+
+def _lines(evidence: DataFrame) -> DataFrame:
+    """The piped lines of chunks (``chunk_id, text, section``): ``chunk_id, cs, heads, labels, before, numbers, end``.
+
+    A row is known by its cells with a letter, its ``labels``; ``before`` is
+    the section and the text through the line.
     """
     e = computed(evidence.select("chunk_id", "text", F.coalesce("section", F.lit("")).alias("section")), lines=F.split("text", "\n", -1))
     piped = lambda line: F.size(F.split(line, r"\|", -1)) > 2
@@ -150,14 +157,28 @@ def chunk_cells(evidence: DataFrame) -> DataFrame:
     # The lines of the same table above a line: those since the last line that is none.
     last = F.array_max(F.filter(F.transform(F.slice("rows", F.lit(1), F.col("no")), lambda r, i: F.when(r.isNull(), i)), lambda i: i.isNotNull()))
     each = computed(each, first=F.coalesce(last + 1, F.lit(0)))
-    fill = lambda r, j: F.coalesce(F.try_element_at(F.filter(F.slice(r, F.lit(1), j + 1), lambda c: c != ""), F.lit(-1)), F.lit(""))
     heads = F.filter(F.transform(F.slice("rows", F.col("first") + 1, F.col("no") - F.col("first")), lambda r, i: F.when(~F.get("skips", i + F.col("first")), r)), lambda r: r.isNotNull())
     each = computed(each, heads=heads, before=F.concat_ws(" ", "section", F.left("text", F.get("ends", F.col("no")))))
-    each = computed(each, context=fold(F.col("before")), context_words=_folded_words(F.col("before")), labels=F.transform(F.filter("cs", lambda c: c.rlike(r"\p{L}")), fold), numbers=F.transform("cs", lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))))
-    each = each.select("chunk_id", "cs", "heads", "labels", "context", "context_words", F.get("ends", F.col("no")).alias("end"), F.posexplode("numbers").alias("column", "raws")).filter(F.size("raws") > 0)
+    each = computed(each, labels=F.transform(F.filter("cs", lambda c: c.rlike(r"\p{L}")), fold), numbers=F.transform("cs", lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))))
+    return each.select("chunk_id", "cs", "heads", "labels", "before", "numbers", F.get("ends", F.col("no")).alias("end"))
+
+
+def _contexts(lines: DataFrame) -> DataFrame:
+    return computed(lines, context=fold(F.col("before")), context_words=_folded_words(F.col("before")))
+
+
+def _cells(each: DataFrame) -> DataFrame:
+    """Cells with numbers of lines (``chunk_id, end, cs, heads, column, raws``): ``chunk_id, raw, number, once, header, header_words, group_place, column, end``.
+
+    ``raw`` is each number of a cell, and ``once`` whether its cell has that
+    number once.  The header is what stands above in the same table, whatever
+    it is, with blanks filled from the left; ``group_place`` is the place of a
+    column among three that share a heading in the first line.
+    """
+    each = each.filter(F.size("raws") > 0)
     width = F.size("cs")
-    top = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when(F.size("heads") > 0, fill(F.get("heads", F.lit(0)), j)))
-    each = computed(each, header=F.array_join(F.filter(F.transform("heads", lambda r: fill(r, F.col("column"))), lambda h: h != ""), " "), top=top)
+    top = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when(F.size("heads") > 0, _filled(F.get("heads", F.lit(0)), j)))
+    each = computed(each, header=F.array_join(F.filter(F.transform("heads", lambda r: _filled(r, F.col("column"))), lambda h: h != ""), " "), top=top)
     same = lambda j: F.get("top", j) == F.get("top", F.col("column"))
     left = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.col("column")), lambda j: ~F.coalesce(same(j), F.lit(False)))) + 1, F.lit(0))
     right = F.coalesce(F.array_min(F.filter(F.sequence(F.col("column"), width - 1), lambda j: ~F.coalesce(same(j), F.lit(False)))) - 1, width - 1)
@@ -166,7 +187,7 @@ def chunk_cells(evidence: DataFrame) -> DataFrame:
     place = F.when(named & (F.col("right") - F.col("left") == 2), F.col("column") - F.col("left"))
     value = lambda n: F.regexp_replace(n, ",", "").try_cast("decimal(38,10)")
     raw = F.explode(F.array_distinct("raws"))
-    out = each.select("chunk_id", "labels", "raws", raw.alias("raw"), fold(F.col("header")).alias("header"), _folded_words(F.col("header")).alias("header_words"), "context_words", "context", place.alias("group_place"), F.col("column"), "end")
+    out = each.select("chunk_id", "raws", raw.alias("raw"), fold(F.col("header")).alias("header"), _folded_words(F.col("header")).alias("header_words"), place.alias("group_place"), F.col("column"), "end")
     equal = F.size(F.filter("raws", lambda r: value(r) == value(F.col("raw"))))
     return out.select("*", value(F.col("raw")).alias("number"), (equal == 1).alias("once")).drop("raws")
 
@@ -183,7 +204,8 @@ def matched_cells(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     counted axis by axis: ``n_axes`` has how many are left after each, and
     ``emptied`` names the axis that left none.
     """
-    asked = proposals.join(evidence.select("chunk_id", "region", "section"), "chunk_id", "left")
+    # Rows of few bytes in storage become many cells with their context: neither side is small enough to send to all.
+    asked = proposals.join(evidence.select("chunk_id", "region", "section").hint("merge"), "chunk_id", "left")
     low = lambda c: fold(F.col(c))
     groups = lambda c: F.array_sort(_said(_folded_words(F.col(c)), CATEGORIES))
     beside = qualifiers(F.coalesce("section", F.lit("")))
@@ -204,18 +226,24 @@ def matched_cells(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
         .when(other("residence"), "WRONG_RESIDENCE_SCOPE")
     )
     asked = computed(asked, told=told)
-    cells_ = chunk_cells(evidence)
-    met = asked.filter("told is null").join(cells_.select("chunk_id", F.explode(F.array_distinct("labels")).alias("at_label"), *[c for c in cells_.columns if c != "chunk_id"]), "chunk_id").filter(F.col("at_label") == low("label"))
+    lines = _lines(evidence)
+    # A line's context, as long as its chunk, meets proposals once; cells meet them without it.
+    context = _contexts(lines.select("chunk_id", "end", "before", F.explode(F.array_distinct("labels")).alias("at_label"))).drop("before")
+    meant_ = computed(asked.filter("told is null"), at_label=low("label"), metric_words=_folded_words(F.col("asked_metric")), wanted=_said(_folded_words(F.col("asked_population")), CATEGORIES))
+    by_line = meant_.join(context.hint("merge"), ["chunk_id", "at_label"])
+    in_context = F.when(F.size("wanted") > 0, _within(F.col("wanted"), F.col("context_words"))).otherwise(F.contains("context", low("asked_population")))
+    by_line = by_line.withColumns({"untold": F.array_except("metric_words", "context_words"), "in_context": in_context, "context": F.when(F.col("unit").isNotNull(), F.col("context"))}).drop("context_words", "metric_words")
+    cells_ = _cells(lines.select("chunk_id", "end", "cs", "heads", F.posexplode("numbers").alias("column", "raws")))
+    met = by_line.join(cells_.hint("merge"), ["chunk_id", "end"])
     order = F.create_map(*[F.lit(x) for k, r in enumerate(RESIDENCES) for x in (r, k)])
     by_place = lambda name: F.coalesce(F.col("group_place") == order[low(name)], F.lit(False))
-    wanted = _said(_folded_words(F.col("asked_population")), CATEGORIES)
     shown = _said(F.col("header_words"), CATEGORIES)
-    population = ~F.col("needs_group") | (((F.size(shown) == 0) | _within(wanted, shown)) & F.when(F.size(wanted) > 0, _within(wanted, F.col("context_words"))).otherwise(F.contains("context", low("asked_population"))))
+    population = ~F.col("needs_group") | (((F.size(shown) == 0) | _within(F.col("wanted"), shown)) & F.col("in_context"))
     is_place = (low("series") == low("asked_residence")) & by_place("asked_residence")
     axes = {
         "label": F.lit(True),
         "value": F.col("number") == F.col("value").cast("decimal(38,10)"),
-        "metric": _within(_folded_words(F.col("asked_metric")), F.array_union("header_words", "context_words")),
+        "metric": _within(F.col("untold"), F.col("header_words")),
         "year": F.array_contains("header_words", text("asked_year")),
         "residence": F.contains("header", low("asked_residence")) | by_place("asked_residence"),
         "population": population,

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.frames import changed
 from factloom.operators import quoted_tables as Q
 from factloom.plans.corpus import corpus
 from factloom.plans.q_facts import CELLS
 from factloom.plans.registry import query
 
 
-def _changed(base: DataFrame, key: str, changes: dict[str, dict[str, Column]]) -> DataFrame:
-    """Copies of rows with some fields changed; the key begins with the change's name."""
-    return reduce(DataFrame.unionByName, [base.withColumns({**c, key: F.concat(F.lit(f"{name}:"), key)}).select(base.columns) for name, c in changes.items()])
-
-
 @query(
     CELLS
     + """
@@ -39,7 +33,7 @@ def quote_readings(spark: SparkSession, folder: str) -> DataFrame:
     text = F.concat(F.lit("It was "), F.col("raw_value"), F.lit(" in "), F.col("year").cast("string"), F.lit("."))
     base = f.select(F.concat_ws("/", "document_id", "statement", "entity", "residence", F.col("year").cast("string")).alias("claim_id"), quote.alias("quote_id"), text.alias("claim_text"), F.col("value").cast("double").alias("value"), "year", F.lit(None).cast("string").alias("population"), "residence", F.lit(None).cast("string").alias("claim_region"))
     turned = F.when(F.col("residence") == "total", "rural").when(F.col("residence") == "rural", "urban").otherwise("total")
-    claims = _changed(base, "claim_id", {"none": {}, "value": {"value": F.col("value") + 1_000_003}, "year": {"year": F.col("year") + 1}, "residence": {"residence": turned}})
+    claims = changed(base, "claim_id", {"none": {}, "value": {"value": F.col("value") + 1_000_003}, "year": {"year": F.col("year") + 1}, "residence": {"residence": turned}})
     quotes = c.pages.filter("page_number > 1").select(quote.alias("quote_id"), F.col("text").alias("quote"))
     out = Q.read_claims(claims, quotes)
     named = F.split(F.substring_index("claim_id", "/", 2), "[:/]")
@@ -64,7 +58,7 @@ def _proposals(facts: DataFrame) -> DataFrame:
         F.when(F.col("statement") == "2", "average price").otherwise("order count").alias("asked_metric"), F.col("year").alias("asked_year"), none.alias("asked_population"), F.col("residence").alias("asked_residence"), F.array().cast("array<string>").alias("asked_regions"), F.lit(False).alias("names_region"), F.lit(False).alias("needs_group"),
     )
     year, male = F.lit(2011), F.lit("male")
-    return _changed(
+    return changed(
         base,
         "row_id",
         {

@@ -6,7 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from factloom.operators import pages
+from factloom.functions.frames import changed
+from factloom.operators import pages, quoted_tables
 from factloom.sources import stores
 
 
@@ -40,3 +41,19 @@ def test_blocks_and_pages_are_shuffled_once(spark):
     out = pages.alignment(blocks, on)
     assert _plan(out).count("Exchange hashpartitioning") == 1
     assert {(r.document_id, r.block_no): (r.page_number, r.score) for r in out.collect()} == {("d", 0): (0, 1.0), ("d", 1): (None, 0.0), ("e", 0): (4, 0.0)}
+
+
+def test_cells_are_not_sent_to_all_and_bring_no_context(spark):
+    evidence = spark.createDataFrame([("c", "| Code | District | Orders |\n| --- | --- | --- |\n|  |  | 1997 total |\n| 1 | 2 | 3 |\n| 07 | Place | 5 |", "Statements", "Place")], "chunk_id string, text string, section string, region string")
+    kinds = "row_id string, chunk_id string, label string, value int, year int, population string, residence string, series string, unit string, asked_metric string, asked_year int, asked_population string, asked_residence string, asked_regions array<string>, names_region boolean, needs_group boolean"
+    row = lambda key, value, asked: (key, "c", "Place", value, 1997, None, "total", None, None, asked, 1997, None, "total", [], False, False)
+    out = quoted_tables.matched_cells(spark.createDataFrame([row("right", 5, "orders"), row("value", 6, "orders"), row("metric", 5, "literacy")], kinds), evidence)
+    assert "Broadcast" not in _plan(out).split("Initial Plan")[-1]
+    assert {r.row_id: (r.emptied, r.raw) for r in out.collect()} == {"right": (None, "5"), "value": ("value", None), "metric": ("metric", None)}
+
+
+def test_copies_with_a_change_are_one_pass(spark):
+    base = spark.range(3).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("w"))
+    out = changed(base, "k", {"none": {}, "more": {"v": F.col("v") + 1}, "gone": {"w": F.lit(None).cast("string")}})
+    assert out.columns == ["k", "v", "w"] and _plan(out).count("Range (") == 1
+    assert {tuple(r) for r in out.filter("k like '%:1'").collect()} == {("none:1", 1, "a"), ("more:1", 2, "a"), ("gone:1", 1, None)}
