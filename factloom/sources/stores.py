@@ -14,23 +14,34 @@ SHELVES = 32
 BATCH, TRIES = 16, 3
 
 
+def _writes(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished writes of a store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/write=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("write=")) for f in found)
+
+
 def write_store(table: DataFrame, folder: str, version: int = VERSION) -> None:
-    """Write a table by ``document_id``: only the documents that it holds are replaced, each as a whole."""
-    stamped = table.withColumn("store_version", F.lit(version))
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(folder)
+    """Write a table by ``document_id``: only the documents that it holds are replaced, each as a whole.
+
+    Each write is a folder of its own; of a document the last write holds, so
+    that files do not grow with documents and no other document is touched.
+    Two writes at once take the same number, and the later fails.
+    """
+    number = max(_writes(table.sparkSession, folder), default=-1) + 1
+    table.withColumn("store_version", F.lit(version)).write.parquet(f"{folder}/write={number}")
 
 
 def read_store(spark: SparkSession, folder: str, documents: DataFrame, version: int = VERSION) -> tuple[DataFrame, DataFrame]:
     """Rows of the asked documents, and ``document_id, reason`` of those that are not there or of another version."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    writes = _writes(spark, folder)
     asked = documents.select("document_id").distinct()
-    if not there:
+    if not writes:
         return spark.createDataFrame([], "document_id string"), asked.select("document_id", F.lit("TABLE_STORE_MISSING").alias("reason"))
-    stored = spark.read.parquet(folder).withColumn("document_id", F.col("document_id").cast("string")).join(asked, "document_id", "left_semi")
-    have = stored.groupBy("document_id").agg(F.bool_and(F.col("store_version") == version).alias("fits"))
-    told = asked.join(have, "document_id", "left").select("document_id", F.when(F.col("fits").isNull(), "TABLE_STORE_MISSING").when(~F.col("fits"), "TABLE_STORE_VERSION").alias("reason"))
-    return stored.join(have.filter("fits").select("document_id"), "document_id", "left_semi").drop("store_version"), told.filter("reason is not null")
+    stored = spark.read.option("basePath", folder).parquet(*[f"{folder}/write={n}" for n in writes]).withColumn("document_id", F.col("document_id").cast("string"))
+    last = stored.groupBy("document_id").agg(F.max(F.struct("write", "store_version")).alias("last")).join(asked, "document_id", "left_semi").select("document_id", F.col("last.write").alias("write"), (F.col("last.store_version") == version).alias("fits"))
+    told = asked.join(last, "document_id", "left").select("document_id", F.when(F.col("fits").isNull(), "TABLE_STORE_MISSING").when(~F.col("fits"), "TABLE_STORE_VERSION").alias("reason"))
+    return stored.join(last.filter("fits").select("document_id", "write"), ["document_id", "write"], "left_semi").drop("store_version", "write"), told.filter("reason is not null")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,3 +57,16 @@ def test_copies_with_a_change_are_one_pass(spark):
     out = changed(base, "k", {"none": {}, "more": {"v": F.col("v") + 1}, "gone": {"w": F.lit(None).cast("string")}})
     assert out.columns == ["k", "v", "w"] and _plan(out).count("Range (") == 1
     assert {tuple(r) for r in out.filter("k like '%:1'").collect()} == {("none:1", 1, "a"), ("more:1", 2, "a"), ("gone:1", 1, None)}
+
+
+def test_stored_documents_do_not_take_a_folder_each(spark, tmp_path):
+    at = str(tmp_path / "store")
+    rows = spark.range(400).select(F.concat(F.lit("d"), (F.col("id") % 200).cast("string")).alias("document_id"), F.col("id").alias("v"))
+    stores.write_store(rows, at)
+    stores.write_store(rows.filter("document_id = 'd1'"), at, version=2)
+    stores.write_store(rows.filter("v = 2"), at)
+    assert len(list(Path(at).glob("*"))) == 3
+    asked = spark.createDataFrame([("d0",), ("d1",), ("d2",), ("nobody",)], "document_id string")
+    got, told = stores.read_store(spark, at, asked)
+    assert sorted((r.document_id, r.v) for r in got.collect()) == [("d0", 0), ("d0", 200), ("d2", 2)]
+    assert {r.document_id: r.reason for r in told.collect()} == {"d1": "TABLE_STORE_VERSION", "nobody": "TABLE_STORE_MISSING"}
