@@ -20,6 +20,9 @@ SECOND = (
 )
 THIRD = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 FOURTH = tuple((s, "") for s in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"))
+_PLURALS = sorted(PLURALS, key=lambda r: -len(r[0]))
+_SECOND, _THIRD, _FOURTH = ((tuple(x for x, _ in rules), tuple(sorted(rules, key=lambda r: -len(r[0])))) for rules in (SECOND, THIRD, FOURTH))
+_LETTERS = {ord(c): "V" if c in "aeiou" else "C" for c in "abcdefghijklmnopqrstuvwxz"}
 #: Rounds that tell which ``y`` are vowels; each settles one of neighbouring ones.
 Y_ROUNDS = 3
 
@@ -91,6 +94,62 @@ def stems(words: DataFrame) -> DataFrame:
     return plain.select("term", F.col("w").alias("stem"))
 
 
+def _replaced(w: str, s: str, rules: tuple[tuple[str, str], ...], least: int) -> str:
+    for suffix, end in rules:
+        if w.endswith(suffix):
+            begin = len(w) - len(suffix)
+            fits = s[:begin].count("VC") > least and (suffix != "ion" or (len(w) > 3 and w[-4] in "st"))
+            return w[:begin] + end if fits else w
+    return w
+
+
+def _kinds_of(w: str) -> str:
+    s = w.translate(_LETTERS)
+    if "y" in s:
+        for _ in range(Y_ROUNDS):
+            s = ("C" + s[1:] if s[0] == "y" else s).replace("Vy", "VC").replace("Cy", "CV")
+    return s
+
+
+def stem_of(word: str) -> str:
+    """The stem of one word, as :func:`stems` gives it: for tasks that meet the words of a slice, so that no vocabulary is joined."""
+    w = word
+    if len(w) < 3 or not (w.isascii() and w.isalpha() and w.islower()):
+        return w
+    for suffix, end in _PLURALS:
+        if w.endswith(suffix):
+            w = w[: len(w) - len(suffix)] + end
+            break
+    s, fell = _kinds_of(w), False
+    if w.endswith("eed"):
+        w = w[:-1] if s[:-3].count("VC") > 0 else w
+    elif w.endswith("ed") and "V" in s[:-2]:
+        w, fell = w[:-2], True
+    elif w.endswith("ing") and "V" in s[:-3]:
+        w, fell = w[:-3], True
+    s = _kinds_of(w)
+    if fell:
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and s.endswith("C") and w[-1] not in "lsz":
+            w = w[:-1]
+        elif s.count("VC") == 1 and s.endswith("CVC") and w[-1] not in "wxy":
+            w += "e"
+    if w.endswith("y") and "V" in _kinds_of(w)[:-1]:
+        w = w[:-1] + "i"
+    for rules, least in ((_SECOND, 0), (_THIRD, 0), (_FOURTH, 1)):
+        if w.endswith(rules[0]):
+            w = _replaced(w, _kinds_of(w), rules[1], least)
+    if w.endswith("e"):
+        s = _kinds_of(w)
+        m = s[:-1].count("VC")
+        if m > 1 or (m == 1 and not (s[:-1].endswith("CVC") and w[-2] not in "wxy")):
+            w = w[:-1]
+    if w.endswith("ll") and _kinds_of(w).count("VC") > 1:
+        w = w[:-1]
+    return w
+
+
 def stems_sql(words: str) -> str:
     """CTEs ``st0`` to ``stems`` that give ``term, stem`` for the ``term`` of a table."""
     fell = "w LIKE '%+'"
