@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.scoring import Best, in_groups
+from factloom.operators.scoring import CELLS, Best, in_groups
 from factloom.plans.staging import staged
 
 #: Lists at most, sample rows for each, numbers in the sample at most, rounds of fitting, shelves.
@@ -153,8 +153,10 @@ def _opened(index: VectorIndex, asked: np.ndarray, ids: pa.Array, pairs: np.ndar
             held = batch.column(0).to_numpy(zero_copy_only=False)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             for k in np.unique(of).tolist():
-                rows = np.flatnonzero(of == k)
-                best.some(open_[k], held[rows], np.round(v[rows] @ q[open_[k]].T, 6))
+                every, step = np.flatnonzero(of == k), max(1, CELLS // max(1, len(open_[k])))
+                for at in range(0, len(every), step):
+                    rows = every[at : at + step]
+                    best.some(open_[k], held[rows], np.round(v[rows] @ q[open_[k]].T, 6))
         if kind is not None:
             yield best.batch(names, kind, item)
 

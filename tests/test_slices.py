@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 
 from factloom.functions import stem
-from factloom.operators import postings
+from factloom.operators import postings, scoring
+from factloom.operators import retrieval as R
 from tests.conftest import SMALL
 
 
@@ -31,3 +32,22 @@ def test_an_index_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     rows = postings.search(index, spark.createDataFrame([(1, "all w3"), (2, "x w0")], "query_id int, query string"), 3).collect()
     assert sorted((r.query_id, r.rank, r.chunk_id) for r in rows)[:3] == [(1, 0, 10), (1, 1, 45), (1, 2, 80)]
     assert np.isclose(max(r.score for r in rows if r.query_id == 1), np.log(1 + 0.5 / 400.5) * postings.weight(1, 2) + np.log(1 + (400 - 57 + 0.5) / 57.5) * postings.weight(1, 2), atol=1e-5)
+
+
+def test_a_task_holds_few_finds():
+    best, scores = scoring.Best(5, 100), np.linspace(0, 1, 2_000 * 100).reshape(2_000, 100)
+    for k in range(20):
+        best.add(np.arange(2_000) + 2_000 * k, scores + k, np.ones(scores.shape, bool))
+        assert best.held <= 2 * 5 * 100 + (1 << 18)
+    query, item, _ = best.cut()
+    assert item[query == 7].tolist() == [39_999, 39_998, 39_997, 39_996, 39_995]
+
+
+def test_scores_do_not_depend_on_the_parts_they_are_made_in(spark, monkeypatch):
+    items = spark.range(60).selectExpr("id AS chunk_id", "concat_ws(' ', transform(sequence(1, 3 + id % 9), k -> concat('w', k * id % 11))) AS text", "array(id % 7, 1.0, id % 3) AS vector")
+    queries = spark.range(9).selectExpr("id AS query_id", "concat('w', id, ' w1 w2') AS query", "array(id % 5, 1.0, 2.0) AS vector")
+    legs = lambda: [sorted(tuple(r) for r in leg(queries, items, 4).collect()) for leg in (R.bm25_leg, R.dense_leg)]
+    whole = legs()
+    assert [len(x) for x in whole] == [36, 36]
+    monkeypatch.setattr(scoring, "CELLS", 16)
+    assert legs() == whole
