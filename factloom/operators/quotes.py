@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.frames import computed
@@ -94,12 +94,13 @@ def _pieces(pairs: DataFrame, pattern: str) -> DataFrame:
     The match stands for the text from here on, so a text is not repeated for
     each of its parts.
     """
-    key = [F.col("claim_id"), F.col("evidence_id")]
     rest = [c for c in pairs.columns if c != "text"]
-    each = pairs.select(*rest, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "piece"))
-    before = F.sum(F.length("piece")).over(Window.partitionBy(*key).orderBy("nth"))
+    found = computed(pairs, __pieces=F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    # Where a piece ends is told within its row, so pairs are not dealt out for it.
+    ends = F.aggregate("__pieces", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x))))
+    each = computed(found, __ends=ends).select(*rest, F.inline(F.arrays_zip(F.col("__pieces").alias("piece"), F.col("__ends").alias("end"))).alias("piece", "end"))
     quote = F.regexp_replace("piece", r"^\s+", "")
-    return each.withColumn("end", before.cast("int")).withColumn("quote", quote).withColumn("start", F.col("end") - F.length("quote")).withColumn("text", F.col("quote")).drop("piece")
+    return each.withColumn("quote", quote).withColumn("start", F.col("end") - F.length("quote")).withColumn("text", F.col("quote")).drop("piece")
 
 
 def selected_spans(pairs: DataFrame, default_year: int = DEFAULT_YEAR) -> DataFrame:
@@ -123,12 +124,13 @@ def selected_spans(pairs: DataFrame, default_year: int = DEFAULT_YEAR) -> DataFr
     prose = _pieces(p.drop("year_confirmed"), SENTENCE).filter(~F.col("quote").startswith("|"))
     prose = judged_quotes(prose, default_year).withColumn("reason", F.when(F.length("quote") > MOST_CHARS, "QUOTE_TOO_LONG").otherwise(F.col("reason")))
     cols = [*key, "start", "end", "reason", "shared"]
-    both = table.select(*cols, F.lit("table").alias("match_type")).unionByName(prose.select(*cols, F.lit("prose").alias("match_type")))
+    # Each pair has a row of no match, so that pairs without a candidate are told by the same grouping.
+    bare = pairs.select(*key, *[F.lit(None).cast(prose.schema[c].dataType).alias(c) for c in cols[2:]], F.lit(None).cast("string").alias("match_type"))
+    both = table.select(*cols, F.lit("table").alias("match_type")).unionByName(prose.select(*cols, F.lit("prose").alias("match_type"))).unionByName(bare)
     rank = reduce(lambda c, k: c.when(F.col("reason") == REASONS[k], k), range(1, len(REASONS)), F.when(F.col("reason") == REASONS[0], 0)).otherwise(len(REASONS))
     order = F.struct((F.col("match_type") == "prose").cast("int").alias("a"), (-F.col("shared") * (F.col("match_type") == "prose").cast("int")).alias("b"), F.col("start").alias("c"))
-    best = both.groupBy(*key).agg(F.min_by(F.struct("match_type", "start", "end"), F.when(F.col("reason").isNull(), order)).alias("span"), F.min_by("reason", F.when(F.col("reason").isNotNull(), rank)).alias("worst"))
-    out = pairs.select(*key).join(best, key, "left")
-    return out.select(*key, F.coalesce("span.match_type", F.lit("none")).alias("match_type"), "span.start", "span.end", F.when(F.col("span").isNull(), F.coalesce("worst", F.lit("NO_CANDIDATE_SPAN"))).alias("reason"))
+    best = both.groupBy(*key).agg(F.min_by(F.struct("match_type", "start", "end"), F.when(F.col("reason").isNull() & F.col("match_type").isNotNull(), order)).alias("span"), F.min_by("reason", F.when(F.col("reason").isNotNull(), rank)).alias("worst"))
+    return best.select(*key, F.coalesce("span.match_type", F.lit("none")).alias("match_type"), "span.start", "span.end", F.when(F.col("span").isNull(), F.coalesce("worst", F.lit("NO_CANDIDATE_SPAN"))).alias("reason"))
 
 
 def rendered(title: Column, page: Column, section: Column, snippet: Column) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from factloom.functions import stem
-from factloom.operators import postings, scoring
+from factloom.operators import postings, quotes, scoring
 from factloom.operators import retrieval as R
 from tests.conftest import SMALL
 
@@ -51,3 +51,11 @@ def test_scores_do_not_depend_on_the_parts_they_are_made_in(spark, monkeypatch):
     assert [len(x) for x in whole] == [36, 36]
     monkeypatch.setattr(scoring, "CELLS", 16)
     assert legs() == whole
+
+
+def test_pairs_are_dealt_out_once_for_their_prose(spark):
+    kinds = "claim_id string, evidence_id string, claim_text string, value double, year int, metric string, population string, residence string, unit string, claim_region string, text string, region string, context string"
+    row = lambda key, text: (key, "e", "The population was stated.", 7.0, 1999, "population", None, None, None, None, text, "", "")
+    out = quotes.selected_spans(spark.createDataFrame([row("a", "In 1998 the population was 7. In 1999 the population was 7."), row("b", "")], kinds))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.claim_id: (r.match_type, r.start, r.end, r.reason) for r in out.collect()} == {"a": ("prose", 30, 59, None), "b": ("none", None, None, "NO_CANDIDATE_SPAN")}
