@@ -88,17 +88,16 @@ def output_checks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def nested_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as calls of a customer's run, their lines as calls inside of them, and returns inside of lines."""
-    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts")).dropDuplicates(["run_id", "key"])
-    l = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("no")).agg(F.max("l_returnflag").alias("f"))  # noqa: E741
-    event = lambda df, letter, seq, what: df.select("run_id", seq.cast("long").alias("seq"), F.concat(F.lit(letter), F.col("key").cast("string"), *([F.lit("-"), F.col("no").cast("string")] if letter != "o" else [])).alias("call_id"), F.lit(letter).alias("name"), F.lit(what).alias("what"), "ts")
+    # Dealt by order once: duplicates, the join and the events of an order's lines need no other exchange.
+    # A line's greatest flag is R if it has R and none greater; numbers are grouped without a sort.
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts")).repartition("key").dropDuplicates(["run_id", "key"])
+    l = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("no"), (F.when(F.col("l_returnflag") > "R", 2).when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("f")).repartition("key").groupBy("key", "no").agg(F.max("f").alias("f"))  # noqa: E741
     at = F.col("key") * 64
-    lines = o.join(l, "key")
-    back = lines.filter("f = 'R'")
     inner = at + F.col("no") * 6
-    parts = [event(o, "o", at, "open"), event(o, "o", at + 63, "close"), event(lines, "l", inner, "open"), event(lines, "l", inner + 3, "close"), event(back, "r", inner + 1, "open"), event(back, "r", inner + 2, "close")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    event = lambda letter, seq, what: F.struct(seq.cast("long").alias("seq"), F.concat(F.lit(letter), F.col("key").cast("string"), *([F.lit("-"), F.col("no").cast("string")] if letter != "o" else [])).alias("call_id"), F.lit(letter).alias("name"), F.lit(what).alias("what"))
+    told = lambda df, events: df.select("run_id", "ts", F.explode(events).alias("e")).select("run_id", "ts", "e.*")
+    line, back = [event("l", inner, "open"), event("l", inner + 3, "close")], [event("r", inner + 1, "open"), event("r", inner + 2, "close")]
+    every = told(o, F.array(event("o", at, "open"), event("o", at + 63, "close"))).unionByName(told(o.join(l, "key"), F.when(F.col("f") == 1, F.array(*line, *back)).otherwise(F.array(*line))))
     return spans.nested(every).select("run_id", "trace_id", "call_id", "depth", "parent_id")
 
 

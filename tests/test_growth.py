@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.frames import changed
-from factloom.operators import pages, quoted_tables
+from factloom.operators import pages, quoted_tables, spans
 from factloom.sources import stores
 
 
@@ -70,3 +72,38 @@ def test_stored_documents_do_not_take_a_folder_each(spark, tmp_path):
     got, told = stores.read_store(spark, at, asked)
     assert sorted((r.document_id, r.v) for r in got.collect()) == [("d0", 0), ("d0", 200), ("d2", 2)]
     assert {r.document_id: r.reason for r in told.collect()} == {"d1": "TABLE_STORE_VERSION", "nobody": "TABLE_STORE_MISSING"}
+
+
+def _events(seed: int) -> tuple[list, dict]:
+    """Events of runs, one without an id, that close calls in any order, not at all or unopened; what levels tell of each call."""
+    rng, rows, expected = random.Random(seed), [], {}
+    for run in (None, "a", "b", "c"):
+        n, opened, before, shut = 0, {}, [], {}
+        for seq in range(rng.choice((1, 40, 90))):
+            if rng.random() < 0.55:
+                call, n = f"{run}-{seq}", n + 1
+                expected[call] = (run, n, opened.get(n - 1) if n > 1 else None)
+                opened[n] = call
+                before.append(call)
+                rows.append((run, seq, call, "x", "open", seq))
+            else:
+                call, n = rng.choice(before[-4:] or ["none"]), n - 1
+                shut.setdefault(call, seq)
+                rows.append((run, seq, call, "x", "close", seq))
+        expected |= {c: (*expected[c], shut.get(c)) for c in before}
+    rng.shuffle(rows)
+    return rows, expected
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 18])
+def test_events_are_dealt_once_and_cut_anywhere(spark, monkeypatch, size):
+    """Calls of runs in one or many parts, in any order of closes; of all events there is one exchange, of edges a few rows."""
+    monkeypatch.setattr(spans, "SPAN", size)
+    plans, real = [], spans.staged
+    monkeypatch.setattr(spans, "staged", lambda df, label: (plans.append(_plan(df)), real(df, label))[1])
+    rows, expected = _events(size)
+    out = spans.nested(spark.createDataFrame(rows, "run_id string, seq long, call_id string, name string, what string, ts long"))
+    got = out.collect()
+    assert {r.call_id: (r.run_id, r.depth, r.parent_id, r.closed_at) for r in got} == expected and len(got) == len(expected)
+    assert all((r.trace_id is None) == (r.run_id is None) and r.name == "x" for r in got)
+    assert [p.count("Exchange ") for p in plans] == [1, 0]
