@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by ``keys`` to tasks for all cores, where a step computes much from few bytes and Spark would merge small partitions."""
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Rows dealt by ``keys`` to tasks for all cores, ``least`` at least, where a step computes much from few bytes and Spark would merge small partitions."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, least), *keys)
+
+
+@contextmanager
+def met_as_dealt(spark: SparkSession) -> Iterator[None]:
+    """While it holds, tables that were dealt alike by some of the columns of a join meet where they are, without another exchange."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def changed(base: DataFrame, key: str, changes: dict[str, dict[str, Column]]) -> DataFrame:

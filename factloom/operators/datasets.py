@@ -32,11 +32,19 @@ def untrusted(evidence: DataFrame) -> DataFrame:
     return evidence.select("chunk_id", code.alias("code")).filter("code is not null")
 
 
+def unit_words(text: Column) -> Column:
+    """A folded text with one word for percentages."""
+    return F.regexp_replace(text, "percentage|per cent", "percent")
+
+
+def names_rate(header: Column) -> Column:
+    return F.array_contains(F.regexp_extract_all(F.lower(header), F.lit("[a-z]+"), F.lit(0)), "rate")
+
+
 def unit_supported(unit: Column, header: Column, context: Column) -> Column:
     """Whether a unit stands in a header or around it; a rate is in percent."""
-    same = lambda c: F.regexp_replace(F.regexp_replace(fold(c), "percentage|per cent", "percent"), "%", "percent")
-    wanted = F.trim(same(unit))
-    return F.contains(F.regexp_replace(fold(F.concat_ws(" ", header, context)), "percentage|per cent", "percent"), wanted) | ((wanted == "percent") & F.array_contains(F.regexp_extract_all(F.lower(header), F.lit("[a-z]+"), F.lit(0)), "rate"))
+    wanted = F.trim(F.regexp_replace(unit_words(fold(unit)), "%", "percent"))
+    return F.contains(unit_words(fold(F.concat_ws(" ", header, context))), wanted) | ((wanted == "percent") & names_rate(header))
 
 
 def signature(text: Column) -> Column:

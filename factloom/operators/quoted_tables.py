@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions.frames import computed
 from factloom.functions.text import plain, qualifiers, squeezed
 from factloom.operators.chunking import cells
-from factloom.operators.datasets import fold, unit_supported
+from factloom.operators.datasets import fold, names_rate, unit_supported, unit_words
 from factloom.operators.quotes import letters, stated
 
 # Words for groups and residences in a table, the order of residence columns, numbers in a cell.
@@ -130,18 +130,24 @@ def _folded_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(plain(F.coalesce(text, F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def _filled(r: Column, j: Column) -> Column:
-    """A cell of a header row, blanks filled from the left."""
-    return F.coalesce(F.try_element_at(F.filter(F.slice(r, F.lit(1), j + 1), lambda c: c != ""), F.lit(-1)), F.lit(""))
+def _filled(r: Column) -> Column:
+    """The cells of a row, blanks filled from the left."""
+    return F.aggregate(r, F.array().cast("array<string>"), lambda out, c: F.concat(out, F.array(F.when(c != "", c).otherwise(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))))))
 
 
-def _lines(evidence: DataFrame) -> DataFrame:
-    """The piped lines of chunks (``chunk_id, text, section``): ``chunk_id, cs, heads, labels, before, numbers, end``.
+def _over(filled: Column, j: Column) -> Column:
+    """What a filled row says over a column, also beyond its last cell."""
+    return F.get(filled, F.least(j, F.size(filled) - 1))
 
-    A row is known by its cells with a letter, its ``labels``; ``before`` is
-    the section and the text through the line.
+
+def _lines(evidence: DataFrame, on: list[str]) -> DataFrame:
+    """The piped lines of chunks (``on``, ``text, section``): ``on``, ``cs, heads, labels, before, numbers, end``.
+
+    A row is known by its cells with a letter, its ``labels``, and left out
+    without any; ``heads`` are the rows above it with blanks filled, ``before``
+    is the section and the text through the line.
     """
-    e = computed(evidence.select("chunk_id", "text", F.coalesce("section", F.lit("")).alias("section")), lines=F.split("text", "\n", -1))
+    e = computed(evidence.select(*on, "text", F.coalesce("section", F.lit("")).alias("section")), lines=F.split("text", "\n", -1))
     piped = lambda line: F.size(F.split(line, r"\|", -1)) > 2
     e = computed(e, rows=F.transform("lines", lambda x: F.when(piped(x), F.transform(cells(x), plain))))
     ends = F.aggregate("lines", F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(-1)) + F.length(x) + 1)))
@@ -152,33 +158,31 @@ def _lines(evidence: DataFrame) -> DataFrame:
         rule = F.forall(r, lambda c: c.rlike("^[-:]*$"))
         return rule | ((F.size(filled) >= 2) & (filled == F.transform(F.sequence(F.lit(1), F.size(filled)), lambda k: k.cast("string"))))
 
-    e = computed(e, skips=F.transform("rows", lambda r: F.coalesce(no_header(r), F.lit(True))))
-    each = e.select("chunk_id", "text", "section", "rows", "skips", "ends", F.posexplode("rows").alias("no", "cs")).filter("cs is not null")
+    e = computed(e, skips=F.transform("rows", lambda r: F.coalesce(no_header(r), F.lit(True))), filled=F.transform("rows", lambda r: F.when(r.isNotNull(), _filled(r))))
+    each = e.select(*on, "text", "section", "rows", "filled", "skips", "ends", F.posexplode("rows").alias("no", "cs")).filter("cs is not null")
+    each = computed(each, labels=F.array_distinct(F.transform(F.filter("cs", lambda c: c.rlike(r"\p{L}")), fold))).filter(F.size("labels") > 0)
     # The lines of the same table above a line: those since the last line that is none.
     last = F.array_max(F.filter(F.transform(F.slice("rows", F.lit(1), F.col("no")), lambda r, i: F.when(r.isNull(), i)), lambda i: i.isNotNull()))
     each = computed(each, first=F.coalesce(last + 1, F.lit(0)))
-    heads = F.filter(F.transform(F.slice("rows", F.col("first") + 1, F.col("no") - F.col("first")), lambda r, i: F.when(~F.get("skips", i + F.col("first")), r)), lambda r: r.isNotNull())
+    heads = F.filter(F.transform(F.slice("filled", F.col("first") + 1, F.col("no") - F.col("first")), lambda r, i: F.when(~F.get("skips", i + F.col("first")), r)), lambda r: r.isNotNull())
     each = computed(each, heads=heads, before=F.concat_ws(" ", "section", F.left("text", F.get("ends", F.col("no")))))
-    each = computed(each, labels=F.transform(F.filter("cs", lambda c: c.rlike(r"\p{L}")), fold), numbers=F.transform("cs", lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))))
-    return each.select("chunk_id", "cs", "heads", "labels", "before", "numbers", F.get("ends", F.col("no")).alias("end"))
-
+    each = computed(each, numbers=F.transform("cs", lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))))
+    return each.select(*on, "cs", "heads", "labels", "before", "numbers", F.get("ends", F.col("no")).alias("end"))
 
-def _contexts(lines: DataFrame) -> DataFrame:
-    return computed(lines, context=fold(F.col("before")), context_words=_folded_words(F.col("before")))
 
-
-def _cells(each: DataFrame) -> DataFrame:
-    """Cells with numbers of lines (``chunk_id, end, cs, heads, column, raws``): ``chunk_id, raw, number, once, header, header_words, group_place, column, end``.
+def _cells(each: DataFrame, on: list[str]) -> DataFrame:
+    """Cells with numbers of lines (``on``, ``end, labels, cs, heads, numbers``): ``on``, ``labels, end, raw, number, once, header, header_words, group_place``.
 
     ``raw`` is each number of a cell, and ``once`` whether its cell has that
     number once.  The header is what stands above in the same table, whatever
     it is, with blanks filled from the left; ``group_place`` is the place of a
     column among three that share a heading in the first line.
     """
-    each = each.filter(F.size("raws") > 0)
+    # The first line with its blanks filled is the same for all cells of a line.
     width = F.size("cs")
-    top = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when(F.size("heads") > 0, _filled(F.get("heads", F.lit(0)), j)))
-    each = computed(each, header=F.array_join(F.filter(F.transform("heads", lambda r: _filled(r, F.col("column"))), lambda h: h != ""), " "), top=top)
+    each = computed(each, top=F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when(F.size("heads") > 0, _over(F.get("heads", F.lit(0)), j))))
+    each = each.select(*on, "labels", "end", "cs", "heads", "top", F.posexplode("numbers").alias("column", "raws")).filter(F.size("raws") > 0)
+    each = computed(each, header=F.array_join(F.filter(F.transform("heads", lambda r: _over(r, F.col("column"))), lambda h: h != ""), " "))
     same = lambda j: F.get("top", j) == F.get("top", F.col("column"))
     left = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), F.col("column")), lambda j: ~F.coalesce(same(j), F.lit(False)))) + 1, F.lit(0))
     right = F.coalesce(F.array_min(F.filter(F.sequence(F.col("column"), width - 1), lambda j: ~F.coalesce(same(j), F.lit(False)))) - 1, width - 1)
@@ -187,12 +191,30 @@ def _cells(each: DataFrame) -> DataFrame:
     place = F.when(named & (F.col("right") - F.col("left") == 2), F.col("column") - F.col("left"))
     value = lambda n: F.regexp_replace(n, ",", "").try_cast("decimal(38,10)")
     raw = F.explode(F.array_distinct("raws"))
-    out = each.select("chunk_id", "raws", raw.alias("raw"), fold(F.col("header")).alias("header"), _folded_words(F.col("header")).alias("header_words"), place.alias("group_place"), F.col("column"), "end")
+    each = computed(each, folded=fold(F.col("header")), header_words=_folded_words(F.col("header")))
+    out = each.select(*on, "labels", "end", "raws", raw.alias("raw"), F.col("folded").alias("header"), "header_words", place.alias("group_place"))
     equal = F.size(F.filter("raws", lambda r: value(r) == value(F.col("raw"))))
     return out.select("*", value(F.col("raw")).alias("number"), (equal == 1).alias("once")).drop("raws")
 
 
-def matched_cells(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
+#: What a proposal means beside its row and number: few ways, whatever number of proposals.
+SCOPE = ("asked_metric", "asked_population", "population", "asked_residence", "residence", "series", "unit")
+
+
+def _asks(asks: DataFrame) -> DataFrame:
+    """Distinct scopes (a struct ``ask``) with what their words say."""
+    f = lambda name: F.col(f"ask.{name}")
+    groups = lambda c: F.array_sort(_said(_folded_words(c), CATEGORIES))
+    order = F.create_map(*[F.lit(x) for k, r in enumerate(RESIDENCES) for x in (r, k)])
+    a = computed(asks, of=groups(f("population")), asked_of=groups(f("asked_population")), in_residence=fold(f("asked_residence")))
+    return a.select(
+        *asks.columns, "in_residence", order[F.col("in_residence")].alias("place"), fold(f("series")).alias("in_series"), fold(f("asked_population")).alias("in_population"), F.trim(F.regexp_replace(unit_words(fold(f("unit"))), "%", "percent")).alias("in_unit"),
+        qualifiers(F.concat_ws(" ", f("asked_metric"), F.coalesce(f("asked_population"), F.lit("")))).alias("meant"), _folded_words(f("asked_metric")).alias("metric_words"), _said(_folded_words(f("asked_population")), CATEGORIES).alias("wanted"),
+        ((F.size("asked_of") > 0) & (F.size("of") > 0) & (F.col("asked_of") != F.col("of"))).alias("other_group"), (f("residence").isNotNull() & (fold(f("residence")) != F.col("in_residence"))).alias("other_residence"),
+    )
+
+
+def matched_cells(proposals: DataFrame, evidence: DataFrame, dealt: str | None = None) -> DataFrame:
     """``row_id, reason, emptied, n_axes, raw, end``: each proposed row bound to the one cell that it means, or why not.
 
     ``proposals``: ``row_id, chunk_id, label, value, year, population,
@@ -203,60 +225,76 @@ def matched_cells(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     proposal may not tell another year, group or residence.  Cells are then
     counted axis by axis: ``n_axes`` has how many are left after each, and
     ``emptied`` names the axis that left none.
+
+    Where many proposals are made of one row, deal that row before: ``dealt``
+    is then a column that proposals and evidence have, were both dealt by with
+    ``spread``, and that is the same for a chunk and all that cite it.  Under
+    ``met_as_dealt`` no proposal is shuffled or sorted, and a task holds the
+    chunks that it is dealt.
     """
+    on = [dealt, "chunk_id"] if dealt else ["chunk_id"]
     # Rows of few bytes in storage become many cells with their context: neither side is small enough to send to all.
-    asked = proposals.join(evidence.select("chunk_id", "region", "section").hint("merge"), "chunk_id", "left")
-    low = lambda c: fold(F.col(c))
-    groups = lambda c: F.array_sort(_said(_folded_words(F.col(c)), CATEGORIES))
-    beside = qualifiers(F.coalesce("section", F.lit("")))
-    meant = qualifiers(F.concat_ws(" ", "asked_metric", F.coalesce("asked_population", F.lit(""))))
-    other = lambda name: F.col(name).isNotNull() & (low(name) != low(f"asked_{name}"))
-    differ = (F.size(groups("asked_population")) > 0) & (F.size(groups("population")) > 0) & (groups("asked_population") != groups("population"))
+    meet = lambda left, right, keys: left.join(right.hint("shuffle_hash" if dealt else "merge"), keys, "left")
+    p = proposals.withColumn("ask", F.struct(*SCOPE))
+    p = p.drop(*SCOPE)
+    beside = evidence.select(*on, F.col("region").isNotNull().alias("known"), fold(F.col("region")).alias("in_region"), qualifiers(F.coalesce("section", F.lit(""))).alias("beside"))
+    asked = meet(meet(p, _asks(p.select(on[0], "ask").distinct()), [on[0], "ask"]), beside, on)
+    asked = computed(asked, in_label=fold(F.col("label")))
     text = lambda c: F.col(c).cast("string")
     told = (
-        F.when(F.col("region").isNull(), "UNKNOWN_EVIDENCE_ID")
-        .when(F.col("names_region") & (low("label") != low("region")), "WRONG_REGION_ROW")
-        .when((F.size("asked_regions") > 0) & ~F.exists("asked_regions", lambda r: fold(r) == low("label")), "WRONG_REQUIRED_REGION")
-        .when(F.size(F.array_except(beside, meant)) > 0, "SUBGROUP_TABLE")
+        F.when(~F.coalesce("known", F.lit(False)), "UNKNOWN_EVIDENCE_ID")
+        .when(F.col("names_region") & (F.col("in_label") != F.col("in_region")), "WRONG_REGION_ROW")
+        .when((F.size("asked_regions") > 0) & ~F.exists("asked_regions", lambda r: fold(r) == F.col("in_label")), "WRONG_REQUIRED_REGION")
+        .when(F.size(F.array_except("beside", "meant")) > 0, "SUBGROUP_TABLE")
         .when(F.col("asked_year").isNull(), "MISSING_AUTHORITATIVE_YEAR")
         .when(F.col("year").isNotNull() & (text("year") != text("asked_year")), "WRONG_YEAR")
-        .when(F.col("needs_group") & F.col("asked_population").isNull(), "MISSING_AUTHORITATIVE_POPULATION_SCOPE")
-        .when(F.col("needs_group") & differ, "WRONG_POPULATION_SCOPE")
-        .when(F.col("asked_residence").isNull(), "MISSING_AUTHORITATIVE_RESIDENCE_SCOPE")
-        .when(other("residence"), "WRONG_RESIDENCE_SCOPE")
+        .when(F.col("needs_group") & F.col("ask.asked_population").isNull(), "MISSING_AUTHORITATIVE_POPULATION_SCOPE")
+        .when(F.col("needs_group") & F.col("other_group"), "WRONG_POPULATION_SCOPE")
+        .when(F.col("ask.asked_residence").isNull(), "MISSING_AUTHORITATIVE_RESIDENCE_SCOPE")
+        .when(F.col("other_residence"), "WRONG_RESIDENCE_SCOPE")
     )
-    asked = computed(asked, told=told)
-    lines = _lines(evidence)
-    # A line's context, as long as its chunk, meets proposals once; cells meet them without it.
-    context = _contexts(lines.select("chunk_id", "end", "before", F.explode(F.array_distinct("labels")).alias("at_label"))).drop("before")
-    meant_ = computed(asked.filter("told is null"), at_label=low("label"), metric_words=_folded_words(F.col("asked_metric")), wanted=_said(_folded_words(F.col("asked_population")), CATEGORIES))
-    by_line = meant_.join(context.hint("merge"), ["chunk_id", "at_label"])
-    in_context = F.when(F.size("wanted") > 0, _within(F.col("wanted"), F.col("context_words"))).otherwise(F.contains("context", low("asked_population")))
-    by_line = by_line.withColumns({"untold": F.array_except("metric_words", "context_words"), "in_context": in_context, "context": F.when(F.col("unit").isNotNull(), F.col("context"))}).drop("context_words", "metric_words")
-    cells_ = _cells(lines.select("chunk_id", "end", "cs", "heads", F.posexplode("numbers").alias("column", "raws")))
-    met = by_line.join(cells_.hint("merge"), ["chunk_id", "end"])
-    order = F.create_map(*[F.lit(x) for k, r in enumerate(RESIDENCES) for x in (r, k)])
-    by_place = lambda name: F.coalesce(F.col("group_place") == order[low(name)], F.lit(False))
-    shown = _said(F.col("header_words"), CATEGORIES)
-    population = ~F.col("needs_group") | (((F.size(shown) == 0) | _within(F.col("wanted"), shown)) & F.col("in_context"))
-    is_place = (low("series") == low("asked_residence")) & by_place("asked_residence")
-    axes = {
-        "label": F.lit(True),
-        "value": F.col("number") == F.col("value").cast("decimal(38,10)"),
-        "metric": _within(F.col("untold"), F.col("header_words")),
-        "year": F.array_contains("header_words", text("asked_year")),
-        "residence": F.contains("header", low("asked_residence")) | by_place("asked_residence"),
-        "population": population,
-        "series": (F.coalesce("series", F.lit("")) == "") | F.contains("header", low("series")) | is_place,
-        "unit": F.col("unit").isNull() | unit_supported(F.col("unit"), F.col("header"), F.col("context")),
-    }
-    held, left = F.lit(True), {}
-    for name, fits in axes.items():
-        held = held & F.coalesce(fits, F.lit(False))
-        left[name] = held
-    full = held & F.col("once")
-    found = met.groupBy("row_id").agg(*[F.count_if(left[a]).alias(f"n_{a}") for a in AXES], F.count_if(full).alias("n"), F.min(F.when(full, F.struct("raw", "end"))).alias("cell"))
-    out = asked.select("row_id", "told").join(found, "row_id", "left").fillna(0, [*(f"n_{a}" for a in AXES), "n"])
-    emptied = reduce(lambda c, a: c.when(F.col(f"n_{a}") == 0, a), AXES[1:], F.when(F.col("n_label") == 0, "label"))
-    reason = F.when(F.col("told").isNotNull(), F.col("told")).when(F.col("n") == 0, "UNSUPPORTED_OR_WRONG_TABLE_CELL").when(F.col("n") > 1, "AMBIGUOUS_TABLE_CELL")
-    return out.select("row_id", reason.alias("reason"), F.when(F.col("told").isNull() & (F.col("n") == 0), emptied).alias("emptied"), F.array(*[F.col(f"n_{a}") for a in AXES]).alias("n_axes"), F.when(reason.isNull(), F.col("cell.raw")).alias("raw"), F.when(reason.isNull(), F.col("cell.end")).alias("end"))
+    asked = computed(asked, told=told).withColumns({"at_label": F.when(F.col("told").isNull(), F.col("in_label")), "number": F.col("value").cast("decimal(38,10)")})
+    lines = _lines(evidence, on)
+    # A line's context, as long as its chunk, is held once; cells tell by its end where they stand.
+    filled = F.aggregate("numbers", F.lit(0), lambda n, raws: n + F.size(F.array_distinct(raws)))
+    around = lines.select(*on, "labels", filled.alias("n"), "end", "before")
+    around = computed(around, context=fold(F.col("before")), context_words=_folded_words(F.col("before"))).drop("before")
+    around = computed(around, unit_context=unit_words(F.col("context")))
+    around = around.withColumn("at_label", F.explode("labels")).groupBy(*on, "at_label").agg(F.sum("n").alias("n_label"), F.collect_list(F.struct("end", "context", "context_words", "unit_context")).alias("around"))
+    cells_ = _cells(lines, on)
+    cell = F.struct("end", "raw", "once", "header", "header_words", "group_place")
+    hits = cells_.withColumn("at_label", F.explode("labels")).groupBy(*on, "at_label", "number").agg(F.collect_list(cell).alias("hits"))
+    # Contexts come last, so that no exchange carries them.
+    met = meet(meet(asked, hits, [*on, "at_label", "number"]), around, [*on, "at_label"])
+
+    def held(h: Column) -> Column:
+        """How many axes a cell of the label with the value holds on, one after the other."""
+        line = F.get(F.filter("around", lambda x: x["end"] == h["end"]), F.lit(0))
+        by_place = F.coalesce(h["group_place"] == F.col("place"), F.lit(False))
+        untold = F.array_except("metric_words", h["header_words"])
+        shown = _said(h["header_words"], CATEGORIES)
+        in_context = F.when(F.size("wanted") > 0, _within(F.col("wanted"), line["context_words"])).otherwise(F.contains(line["context"], F.col("in_population")))
+        # A context is put in the words of units once; only where "per cent" begins in the header and ends in it, both are read together.
+        parted = ~(h["header"].endswith("per") & line["context"].startswith("cent"))
+        told_unit = F.contains(F.concat_ws(" ", unit_words(h["header"]), line["unit_context"]), F.col("in_unit")) | ((F.col("in_unit") == "percent") & names_rate(h["header"]))
+        in_unit = F.when(parted, told_unit).otherwise(unit_supported(F.col("ask.unit"), h["header"], line["context"]))
+        axes = {
+            "metric": (F.size(untold) == 0) | _within(untold, line["context_words"]),
+            "year": F.array_contains(h["header_words"], text("asked_year")),
+            "residence": F.contains(h["header"], F.col("in_residence")) | by_place,
+            "population": ~F.col("needs_group") | (((F.size(shown) == 0) | _within(F.col("wanted"), shown)) & in_context),
+            "series": (F.coalesce("ask.series", F.lit("")) == "") | F.contains(h["header"], F.col("in_series")) | ((F.col("in_series") == F.col("in_residence")) & by_place),
+            "unit": F.col("ask.unit").isNull() | in_unit,
+        }
+        # The first two axes are the label and the value.
+        return reduce(lambda c, a: c.when(~F.coalesce(axes[a], F.lit(False)), AXES.index(a)), AXES[3:], F.when(~F.coalesce(axes["metric"], F.lit(False)), AXES.index("metric"))).otherwise(len(AXES))
+
+    empty = F.array().cast("array<struct<held:int,once:boolean,raw:string,end:int>>")
+    met = computed(met, found=F.coalesce(F.transform("hits", lambda h: F.struct(held(h).alias("held"), h["once"].alias("once"), h["raw"].alias("raw"), h["end"].alias("end"))), empty))
+    met = computed(met, full=F.filter("found", lambda h: (h["held"] == len(AXES)) & h["once"]), most=F.coalesce(F.array_max(F.transform("found", lambda h: h["held"])), F.lit(1)))
+    n_label = F.coalesce("n_label", F.lit(0)).cast("long")
+    left = [n_label, *[F.size(F.filter("found", lambda h, k=k: h["held"] > k)).cast("long") for k in range(1, len(AXES))]]
+    emptied = F.when(n_label == 0, AXES[0]).otherwise(F.get(F.array(*map(F.lit, AXES)), F.col("most")))
+    reason = F.coalesce("told", F.when(F.size("full") == 0, "UNSUPPORTED_OR_WRONG_TABLE_CELL").when(F.size("full") > 1, "AMBIGUOUS_TABLE_CELL"))
+    one = F.when(reason.isNull(), F.get("full", F.lit(0)))
+    return met.select("row_id", reason.alias("reason"), F.when(F.col("told").isNull() & (F.size("full") == 0), emptied).alias("emptied"), F.array(*left).alias("n_axes"), one["raw"].alias("raw"), one["end"].alias("end"))

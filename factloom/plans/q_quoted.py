@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.frames import changed
+from factloom.functions.frames import changed, met_as_dealt, spread
 from factloom.operators import quoted_tables as Q
 from factloom.plans.corpus import corpus
 from factloom.plans.q_facts import CELLS
 from factloom.plans.registry import query
+from factloom.plans.staging import staged
 
 
 @query(
@@ -50,11 +51,15 @@ CHANGES = {
 }
 
 
+#: Pages whose proposals and cells a task holds at most, on average.
+PAGES = 512
+
+
 def _proposals(facts: DataFrame) -> DataFrame:
+    """Twenty copies of a cell's row on the task that its ``page`` is dealt to."""
     none, true = F.lit(None).cast("string"), F.lit(True)
-    page = F.concat_ws("/", "document_id", F.col("page_number").cast("string"))
-    base = facts.filter("value is not null and chunk_id is not null and not aggregate").select(
-        F.concat_ws("/", "statement", "document_id", "entity", "residence", F.col("year").cast("string")).alias("row_id"), page.alias("chunk_id"), F.col("entity").alias("label"), "value", "year", none.alias("population"), "residence", none.alias("series"), none.alias("unit"),
+    base = facts.select(
+        "page", F.concat_ws("/", "statement", "document_id", "entity", "residence", F.col("year").cast("string")).alias("row_id"), F.col("page").alias("chunk_id"), F.col("entity").alias("label"), "value", "year", none.alias("population"), "residence", none.alias("series"), none.alias("unit"),
         F.when(F.col("statement") == "2", "average price").otherwise("order count").alias("asked_metric"), F.col("year").alias("asked_year"), none.alias("asked_population"), F.col("residence").alias("asked_residence"), F.array().cast("array<string>").alias("asked_regions"), F.lit(False).alias("names_region"), F.lit(False).alias("needs_group"),
     )
     year, male = F.lit(2011), F.lit("male")
@@ -78,9 +83,13 @@ def cell_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Proposed rows for the cells of all statements and years, right or changed in one way: what each is bound to, or the axis that leaves no cell."""
     c = corpus(spark, folder)
     page = F.concat_ws("/", "document_id", F.col("page_number").cast("string"))
-    plain = c.pages.filter("page_number > 1").select(page.alias("chunk_id"), "text", F.lit("Statements").alias("section"), "region")
-    twice = plain.withColumns({"chunk_id": F.concat("chunk_id", F.lit("|twice")), "text": F.concat_ws("\n\n", "text", "text")})
-    castes = plain.withColumns({"chunk_id": F.concat("chunk_id", F.lit("|castes")), "section": F.concat("section", F.lit(" > Scheduled Castes"))})
-    out = Q.matched_cells(_proposals(c.facts), plain.unionByName(twice).unionByName(castes))
+    # Pages and facts are dealt by page before copies of them are made, so that no copy is shuffled.
+    tasks = c.pages.count() // PAGES + 1
+    pages = spread(c.pages.filter("page_number > 1").select(page.alias("page"), "text", "region"), "page", least=tasks)
+    facts = spread(c.facts.filter("value is not null and chunk_id is not null and not aggregate").select(page.alias("page"), "statement", "document_id", "entity", "residence", "year", "value"), "page", least=tasks)
+    copy = lambda mark, text, section: F.struct(F.concat("page", F.lit(mark)).alias("chunk_id"), text.alias("text"), F.lit(section).alias("section"))
+    copies = F.array(copy("", F.col("text"), "Statements"), copy("|twice", F.concat_ws("\n\n", "text", "text"), "Statements"), copy("|castes", F.col("text"), "Statements > Scheduled Castes"))
+    out = Q.matched_cells(_proposals(facts), pages.select("page", "region", F.inline(copies)), "page")
     named = F.split("row_id", "[:/]")
-    return out.groupBy(F.get(named, F.lit(0)).alias("mutation"), F.get(named, F.lit(1)).cast("int").alias("statement"), "reason", "emptied").agg(F.count("*").alias("n"), F.count("raw").alias("n_bound"))
+    with met_as_dealt(spark):
+        return staged(out.groupBy(F.get(named, F.lit(0)).alias("mutation"), F.get(named, F.lit(1)).cast("int").alias("statement"), "reason", "emptied").agg(F.count("*").alias("n"), F.count("raw").alias("n_bound")), "matches")
