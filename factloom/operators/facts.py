@@ -75,7 +75,8 @@ def still_cited(facts: DataFrame, chunks: DataFrame, withdrawn: DataFrame | None
     now = chunks.select("chunk_id", F.col("document_id").alias("__doc"), F.col("page_number").alias("__page"), F.split("text", "\n", -1).alias("__lines"))
     if withdrawn is not None:
         facts = facts.join(withdrawn.select("document_id"), "document_id", "left_anti")
-    joined = facts.join(now, "chunk_id", "left")
+    # Texts of chunks are many times their bytes in storage: they are not sent to all.
+    joined = facts.join(now.hint("merge"), "chunk_id", "left")
     fresh = (F.col("__doc") == F.col("document_id")) & (F.col("__page") == F.col("page_number")) & F.array_contains("__lines", F.col("line"))
     return joined.withColumn("stale", ~F.coalesce(fresh, F.lit(False))).drop("__doc", "__page", "__lines")
 

@@ -145,7 +145,8 @@ def facts(tables: DataFrame, chunks: DataFrame) -> DataFrame:
 def facts_of(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """Facts from the columns and rows of tables as they are."""
     columns, rows = columns.filter("metric is not null"), rows.filter("not malformed")
-    both = columns.join(rows.drop("table_id"), ["document_id", "page_number", "block_no"])
+    # Columns say the same in all tables and take few bytes in storage, a hundred times that in memory: they are not sent to all.
+    both = columns.hint("merge").join(rows.drop("table_id"), ["document_id", "page_number", "block_no"])
     raw = F.get("cells", F.col("column_index"))
     return both.select("document_id", "region", "table_id", "statement", "title", "entity", "entity_code", "aggregate", "entity_kind", "column_index", "metric", "year", "period", "residence", "population_group", "qualifiers", "unit", raw.alias("raw_value"), parse_number(raw).alias("value"), "page_number", "chunk_id", "line")
 

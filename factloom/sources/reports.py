@@ -32,7 +32,7 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     block = F.floor(F.col("c_custkey") / BLOCK).cast("long")
-    placed = orders.join(customer, orders.o_custkey == customer.c_custkey).select("c_nationkey", block.alias("o_block"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "O").alias("is_rural"), (F.col("c_mktsegment") == SEGMENT).alias("in_segment"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    placed = orders.join(customer.hint("merge"), orders.o_custkey == customer.c_custkey).select("c_nationkey", block.alias("o_block"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "O").alias("is_rural"), (F.col("c_mktsegment") == SEGMENT).alias("in_segment"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
     small = placed.groupBy("c_nationkey", "o_block", "year", "is_rural", "in_segment").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
     cells = F.broadcast(region).join(F.broadcast(nation), F.col("n_regionkey") == F.col("r_regionkey")).crossJoin(spark.range(len(YEARS)).select((F.col("id") + YEARS[0]).cast("int").alias("y")))
     cells = customer.select(block.alias("block")).distinct().crossJoin(F.broadcast(cells)).withColumn("r_name", F.concat_ws(" ", "r_name", F.col("block").cast("string")))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.frames import changed, met_as_dealt, spread
-from factloom.operators import quoted_tables
+from factloom.operators import calculations, chunking, citations, facts, quoted_tables, tables
+from factloom.plans.staging import staged
+from factloom.sources import reports
+from tests.conftest import SMALL
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -34,3 +37,28 @@ def test_copies_of_proposals_are_not_shuffled(spark):
     other = "UNSUPPORTED_OR_WRONG_TABLE_CELL"
     assert got["none:p3"] == (None, None, (2, 1, 1, 1, 1, 1, 1, 1), "3")
     assert [got[f"{k}:p3"][:2] for k in ("value", "twice", "gone", "unit", "late")] == [(other, "value"), ("AMBIGUOUS_TABLE_CELL", None), ("UNKNOWN_EVIDENCE_ID", None), (other, "unit"), (other, "year")]
+
+
+TABLE = "Statement 4 : Orders by district\n\n| Code | District | Orders | |\n| --- | --- | --- | --- |\n|  |  | 1997 | 1998 |\n| 1 | 2 | 3 | 4 |\n| 07 | Place | 5 | 6 |\n| 08 | Other | 7 | 8 |"
+
+
+def _written(spark) -> tuple:  # noqa: ANN001
+    """Pages, chunks and facts as stored tables, whose few bytes would have them sent to all."""
+    pages = spark.createDataFrame([(f"d{k}", "Place", "T", 1, TABLE, "provided_markdown", "indexed_markdown", f"{k:064x}") for k in range(3)], reports.PAGES)
+    pages = staged(pages, "pages")
+    chunks = staged(chunking.chunk_pages(pages), "chunks")
+    printed = staged(tables.statement_tables(pages), "tables")
+    columns, rows = staged(tables.table_columns(printed), "columns"), staged(tables.table_rows(printed, chunks), "rows")
+    made = tables.facts_of(columns, rows)
+    assert "Broadcast" not in _plan(made)
+    return pages, chunks, staged(made, "facts")
+
+
+def test_what_grows_is_not_sent_to_all_for_facts(spark):
+    """Columns and chunks in few bytes of storage are joined where they lie; of orders only regions, nations and years go out."""
+    _, chunks, f = _written(spark)
+    out = facts.still_cited(f, chunks.withColumn("page_number", F.when(F.col("document_id") == "d1", 9).otherwise(F.col("page_number"))))
+    assert "Broadcast" not in _plan(out)
+    assert {(r.document_id, r.stale, r["n"]) for r in out.groupBy("document_id", "stale").agg(F.count("*").alias("n")).collect()} == {("d0", False, 4), ("d1", True, 4), ("d2", False, 4)}
+    plan = _plan(reports.measures(spark, SMALL))
+    assert "SortMergeJoin [o_custkey" in plan
