@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 VERSION = 1
 #: Folders that sessions are dealt over.
 SHELVES = 32
+#: Bytes of files that a task holds before it hands them on.
+READ_BYTES = 4_000_000
 #: Texts that an embedder gets at once, and how often it is tried.
 BATCH, TRIES = 16, 3
 
@@ -49,6 +51,65 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("path"), F.col("value").alias("text"))
 
 
+def local_path(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder in a file system; null for one in a store that only Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return at.getPath() if at.getScheme() == "file" else None
+
+
+def write_files(texts: DataFrame, folder: str) -> list[int]:
+    """Each row (``name, text``; names are distinct) as a file of its own, in a folder for each task; the numbers of those folders.
+
+    ``folder`` is a file system's path that all executors share.  Tasks write
+    the files themselves: Spark's writer makes a folder for each, and its
+    driver moves them one by one.  A task that is run again writes the same.
+    """
+    def run(batches):  # noqa: ANN001, ANN202
+        import os
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        shelf = TaskContext.get().partitionId()
+        os.makedirs(f"{folder}/{shelf}", exist_ok=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(f"{folder}/{shelf}/{name}", "wb") as file:
+                    file.write(text)
+        yield pa.RecordBatch.from_pydict({"shelf": pa.array([shelf], pa.int32())})
+
+    return sorted(r["shelf"] for r in texts.select("name", F.col("text").cast("binary").alias("text")).mapInArrow(run, "shelf int").collect())
+
+
+def read_files(spark: SparkSession, folder: str, shelves: list[int]) -> DataFrame:
+    """``path, text`` of the files that :func:`write_files` left, each whole; a task lists and reads one folder, so the driver lists none."""
+    def run(batches):  # noqa: ANN001, ANN202
+        import os
+
+        import pyarrow as pa
+
+        def batch(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "text": pa.array(texts, pa.binary())})
+
+        for some in batches:
+            for k in some.column(0).to_pylist():
+                names, texts, held = [], [], 0
+                with os.scandir(f"{folder}/{shelves[k]}") as files:
+                    for found in files:
+                        with open(found.path, "rb") as file:
+                            names.append(found.name)
+                            texts.append(file.read())
+                        held += len(texts[-1])
+                        if held > READ_BYTES:
+                            yield batch(names, texts)
+                            names, texts, held = [], [], 0
+                yield batch(names, texts)
+
+    n = len(shelves)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "path string, text binary").select("path", F.col("text").cast("string").alias("text"))
+
+
 def read_overrides(spark: SparkSession, *folders: str) -> tuple[DataFrame, DataFrame]:
     """Overrides from JSON files, an object or an array each; and the file names that several override."""
     schema = "pdf_filename string, markdown_filename string, document_id string, title string, region string"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from factloom.functions.frames import changed, met_as_dealt, spread
 from factloom.operators import calculations, chunking, citations, facts, quoted_tables, tables
-from factloom.plans.staging import staged
-from factloom.sources import reports
+from factloom.plans.queries import QUERIES
+from factloom.plans.staging import shared_folder, staged
+from factloom.sources import reports, stores
 from tests.conftest import SMALL
 
 
@@ -62,3 +65,17 @@ def test_what_grows_is_not_sent_to_all_for_facts(spark):
     assert {(r.document_id, r.stale, r["n"]) for r in out.groupBy("document_id", "stale").agg(F.count("*").alias("n")).collect()} == {("d0", False, 4), ("d1", True, 4), ("d2", False, 4)}
     plan = _plan(reports.measures(spark, SMALL))
     assert "SortMergeJoin [o_custkey" in plan
+
+
+def test_pages_are_files_without_a_folder_each(spark, tmp_path):
+    """A file for each page, in folders of tasks; texts come back as they were."""
+    before = set(Path(stores.local_path(spark, shared_folder(spark)), "staged").glob("markdown-*"))
+    n = QUERIES["markdown_files"](spark, SMALL).count()
+    (at,) = set(Path(stores.local_path(spark, shared_folder(spark)), "staged").glob("markdown-*")) - before
+    assert len([f for f in at.rglob("*.md") if f.is_file()]) == n == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+    assert len([f for f in at.rglob("*") if f.is_dir()]) <= 8
+    texts = {"a.md": "x\n\n", "b.md": "", "c.md": "é\r\n𝄞" * 40, "d.md": "\n"}
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string").repartition(3)
+    shelves = stores.write_files(rows, f"{tmp_path}/files")
+    assert {r.path: r.text for r in stores.read_files(spark, f"{tmp_path}/files", shelves).collect()} == texts
+    assert stores.read_files(spark, f"{tmp_path}/files", []).count() == 0
