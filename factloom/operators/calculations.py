@@ -114,12 +114,13 @@ def year_verdicts(claims: DataFrame, facts: DataFrame, default_year: int = DEFAU
     group = F.when(group == "male", "males").when(group == "female", "females").when(group == "total", "persons").otherwise(group)
     cells = facts.select("chunk_id", F.lower("entity").alias("f_entity"), F.col("value").cast("double").alias("f_value"), metric_words(F.col("metric")).alias("f_words"), F.coalesce("residence", F.lit("total")).alias("f_residence"), F.coalesce("population_group", F.lit("persons")).alias("f_group"), F.array_sort(qualifiers(F.concat_ws(" ", "metric", "title"))).alias("f_groups"), F.col("year").alias("f_year"))
     same = (F.col("c_words") == F.col("f_words")) & (F.col("c_residence") == F.col("f_residence")) & (group == F.col("f_group")) & (F.col("c_groups") == F.col("f_groups"))
-    met = asked.join(cells, "chunk_id").filter((F.col("c_region") == F.col("f_entity")) & (F.abs(F.col("c_value") - F.col("f_value")) < 1e-9))
+    # Cells grow with the tables, and few bytes in storage are many in memory: they are not sent to all.
+    met = asked.join(cells.hint("merge"), "chunk_id").filter((F.col("c_region") == F.col("f_entity")) & (F.abs(F.col("c_value") - F.col("f_value")) < 1e-9))
     other = F.col("c_year").isNotNull() & (F.size("text_years") > 0) & (F.col("text_years") != F.array("c_year"))
     wanted = F.coalesce("c_year", F.when(F.size("text_years") == 1, F.get("text_years", F.lit(0))), F.lit(default_year))
     sums = met.withColumn("same", same).groupBy("claim_id").agg(F.count_if("same").alias("n"), F.count_if(F.col("same") & F.col("f_year").isNull()).alias("n_yearless"), F.bool_or(F.col("same") & (F.col("f_year") == wanted)).alias("hit"), F.bool_or(other).alias("other"))
     verdict = F.when(F.col("n") == 0, "contradicted").when(F.col("n_yearless") > 0, None).when(F.col("other"), "contradicted").when(F.coalesce("hit", F.lit(False)), "confirmed").otherwise("contradicted")
-    return claims.select("claim_id", "metric").join(sums, "claim_id", "left").select("claim_id", F.when(F.col("n").isNotNull() & F.col("metric").isNotNull(), verdict).alias("verdict"))
+    return claims.select("claim_id", "metric").join(sums.hint("merge"), "claim_id", "left").select("claim_id", F.when(F.col("n").isNotNull() & F.col("metric").isNotNull(), verdict).alias("verdict"))
 
 
 def cell_sentences(cells: DataFrame) -> DataFrame:

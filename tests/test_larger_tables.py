@@ -42,7 +42,7 @@ def test_copies_of_proposals_are_not_shuffled(spark):
     assert [got[f"{k}:p3"][:2] for k in ("value", "twice", "gone", "unit", "late")] == [(other, "value"), ("AMBIGUOUS_TABLE_CELL", None), ("UNKNOWN_EVIDENCE_ID", None), (other, "unit"), (other, "year")]
 
 
-TABLE = "Statement 4 : Orders by district\n\n| Code | District | Orders | |\n| --- | --- | --- | --- |\n|  |  | 1997 | 1998 |\n| 1 | 2 | 3 | 4 |\n| 07 | Place | 5 | 6 |\n| 08 | Other | 7 | 8 |"
+TABLE = "Statement 4 : Orders by district\n\n| Code | District | Orders | |\n| --- | --- | --- | --- |\n|  |  | 1997 | 1998 |\n| 1 | 2 | 3 | 4 |\n| 17 | Place | 5 | 6 |\n| 18 | Other | 7 | 8 |"
 
 
 def _written(spark) -> tuple:  # noqa: ANN001
@@ -79,3 +79,11 @@ def test_pages_are_files_without_a_folder_each(spark, tmp_path):
     shelves = stores.write_files(rows, f"{tmp_path}/files")
     assert {r.path: r.text for r in stores.read_files(spark, f"{tmp_path}/files", shelves).collect()} == texts
     assert stores.read_files(spark, f"{tmp_path}/files", []).count() == 0
+
+
+def test_cells_are_not_sent_to_all_for_verdicts(spark):
+    pages, _, f = _written(spark)
+    claims = staged(citations.claims_of_facts(f, pages), "claims")
+    out = calculations.year_verdicts(claims.withColumn("region", F.col("entity")), f)
+    assert "Broadcast" not in _plan(out)
+    assert {r.verdict: r["n"] for r in out.groupBy("verdict").agg(F.count("*").alias("n")).collect()} == {"confirmed": 12}
