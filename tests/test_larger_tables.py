@@ -87,3 +87,12 @@ def test_cells_are_not_sent_to_all_for_verdicts(spark):
     out = calculations.year_verdicts(claims.withColumn("region", F.col("entity")), f)
     assert "Broadcast" not in _plan(out)
     assert {r.verdict: r["n"] for r in out.groupBy("verdict").agg(F.count("*").alias("n")).collect()} == {"confirmed": 12}
+
+
+def test_cells_and_chunks_are_not_sent_to_all_for_citations(spark):
+    pages, chunks, f = _written(spark)
+    claims = staged(citations.claims_of_facts(f, pages), "claims")
+    out = citations.validate(changed(claims, "claim_id", {"none": {}, "value": {"value": F.col("value") + 100}}), chunks, f)
+    assert "Broadcast" not in _plan(out)
+    got = {(r.mutation, r.code): r["n"] for r in out.groupBy(F.substring_index("claim_id", ":", 1).alias("mutation"), "code").agg(F.count("*").alias("n")).collect()}
+    assert got == {("none", None): 12, ("value", "CLAIM_QUOTE_NOT_FOUND"): 12}
