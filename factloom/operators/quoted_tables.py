@@ -105,7 +105,8 @@ def read_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
         F.transform(_said(words("population"), SEXES), lambda w: F.regexp_replace(w, "s+$", "")).alias("sexes"), _said(words("residence"), RESIDENCES).alias("places"),
         F.when(F.col("year").isNotNull(), F.array(F.col("year").cast("int"))).otherwise(_years(F.col("meant"))).alias("of_years"), letters(F.col("claim_region")).alias("region_words"),
     )
-    c = c.join(told, "quote_id", "left")
+    # Words of quotes are many times their bytes in storage, and claims carry many copies: neither is sent to all.
+    c = c.join(told.hint("merge"), "quote_id", "left")
     key = lambda n: F.round(n, 6)
     asked = c.filter("n_rows > 0").filter(F.size("values") > 0).withColumn("key", key(F.get("values", F.lit(0))))
     cells_ = held.select("quote_id", F.explode(F.array_distinct(F.transform("numbers", key))).alias("key"), "numbers", "label_words", "context_words", "years")
@@ -120,7 +121,7 @@ def read_claims(claims: DataFrame, quotes: DataFrame) -> DataFrame:
     )
     good = met.filter(fits).select("claim_id", "quote_id", F.lit(True).alias("carried")).distinct()
     needs = F.coalesce(F.col("n_rows"), F.lit(0)) > 0
-    return c.join(good, ["claim_id", "quote_id"], "left").select("claim_id", "quote_id", (~(needs & (F.size("values") > 0)) | F.coalesce("carried", F.lit(False))).alias("agrees"))
+    return c.join(good.hint("merge"), ["claim_id", "quote_id"], "left").select("claim_id", "quote_id", (~(needs & (F.size("values") > 0)) | F.coalesce("carried", F.lit(False))).alias("agrees"))
 
 
 # --- the one cell that a proposed row means ---------------------------------

@@ -96,3 +96,13 @@ def test_cells_and_chunks_are_not_sent_to_all_for_citations(spark):
     assert "Broadcast" not in _plan(out)
     got = {(r.mutation, r.code): r["n"] for r in out.groupBy(F.substring_index("claim_id", ":", 1).alias("mutation"), "code").agg(F.count("*").alias("n")).collect()}
     assert got == {("none", None): 12, ("value", "CLAIM_QUOTE_NOT_FOUND"): 12}
+
+
+def test_quotes_are_not_sent_to_all_for_claims(spark):
+    pages, _, f = _written(spark)
+    quote_id = F.concat_ws("/", "document_id", F.lit("1"))
+    none = F.lit(None).cast("string")
+    claims = staged(f.select(F.concat_ws("/", "document_id", "entity", F.col("year").cast("string")).alias("claim_id"), quote_id.alias("quote_id"), F.lit("It was so.").alias("claim_text"), F.col("value").cast("double").alias("value"), "year", none.alias("population"), none.alias("residence"), none.alias("claim_region")), "claims")
+    out = quoted_tables.read_claims(changed(claims, "claim_id", {"none": {}, "year": {"year": F.lit(2005)}}), pages.select(quote_id.alias("quote_id"), F.col("text").alias("quote")))
+    assert "Broadcast" not in _plan(out)
+    assert {(r.mutation, r.agrees): r["n"] for r in out.groupBy(F.substring_index("claim_id", ":", 1).alias("mutation"), "agrees").agg(F.count("*").alias("n")).collect()} == {("none", True): 12, ("year", False): 12}
