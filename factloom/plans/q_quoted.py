@@ -52,7 +52,7 @@ CHANGES = {
 
 
 #: Pages whose proposals and cells a task holds at most, on average.
-PAGES = 512
+PAGES = 256
 
 
 def _proposals(facts: DataFrame) -> DataFrame:
